@@ -13,12 +13,17 @@ from lumenrank.llm.mixing import mix_sources
 from lumenrank.llm.near_dup import near_duplicate_classes
 from lumenrank.llm.packing import pack_documents
 from lumenrank.llm.substring import repeats_digest
+from lumenrank.llm.syncmers import compare_with_edits
 from lumenrank.llm.token_store import token_files
 from lumenrank.llm.tokens import vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_edits(documents(spark, sf_dir))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
@@ -44,7 +49,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_digest(documents(spark, sf_dir), min_chars=10)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_best_fit_packing, op5_source_mix, op6_token_files, op7_substring_dedup, op8_near_duplicates, op10_line_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_syncmer_fingerprints, op4_best_fit_packing, op5_source_mix, op6_token_files, op7_substring_dedup, op8_near_duplicates, op10_line_dedup)}
 
 SQL: dict[str, str] = {}
 
@@ -105,8 +110,8 @@ g AS (
   SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS s FROM w, generate_series(1, greatest(1, len(words) - 4)) AS t(i)
   WHERE len(words) > 0),
 n AS (SELECT w.doc_id, count(g.s) AS n FROM w LEFT JOIN g ON w.doc_id = g.doc_id GROUP BY w.doc_id),
-both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
-linked AS (SELECT a, b FROM both JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+linked AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
 edges AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
 reach AS (SELECT doc_id AS v, doc_id AS u FROM n UNION SELECT r.v, e.b FROM reach r JOIN edges e ON r.u = e.a)
 SELECT n.doc_id, n.n AS n_shingles, min(r.u) AS component_id, n.doc_id = min(r.u) AS kept FROM n JOIN reach r ON r.v = n.doc_id GROUP BY n.doc_id, n.n
