@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenrank.llm.ann import nearest
 from lumenrank.llm.common import documents
 from lumenrank.llm.line_dedup import line_dedup_digest
 from lumenrank.llm.mixing import mix_sources
@@ -24,6 +25,10 @@ def op2_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(documents(spark, sf_dir))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), queries_every=50, k=5)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
@@ -49,7 +54,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_digest(documents(spark, sf_dir), min_chars=10)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_syncmer_fingerprints, op4_best_fit_packing, op5_source_mix, op6_token_files, op7_substring_dedup, op8_near_duplicates, op10_line_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_syncmer_fingerprints, op3_nearest_neighbours, op4_best_fit_packing, op5_source_mix, op6_token_files, op7_substring_dedup, op8_near_duplicates, op10_line_dedup)}
 
 SQL: dict[str, str] = {}
 
