@@ -4,9 +4,9 @@ A shard file holds a run of documents in ascending doc_id order (null ids first,
 
     magic "LRTS1\\0\\0\\0", then uint64 little-endian: documents n, ids u, low bits l, bytes of the upper part
     doc_id int64[n] | null flags, one bit a document | low parts, l bits each, n + 1 of them
-    upper part: bit (boundary >> l) + i is set for the i-th of the n + 1 boundaries | ids uint32[u]
+    upper part: bit (boundary >> l) + i is set for the i-th of the n + 1 boundaries | ids, w bytes each
 
-Boundaries start at 0 and end at u. ``EliasFano.select`` finds the i-th boundary from a sampled
+w is 2 where every id of the shard is below 65,536, else 4. Boundaries start at 0 and end at u. ``EliasFano.select`` finds the i-th boundary from a sampled
 directory of the upper part, so no table of 64-bit offsets is kept.
 
 Nulls: a null text is the empty text; a null doc_id is kept, as null, before all others. Empty
@@ -31,7 +31,7 @@ from lumenrank.llm.tokens import encoder
 
 MAGIC = b"LRTS1\0\0\0"
 
-#: A shard is closed once it holds so many ids (4 bytes each).
+#: A shard is closed once it holds so many ids.
 SHARD_IDS = 8_000_000
 
 #: Ones between two entries of the select directory.
@@ -78,18 +78,19 @@ class EliasFano:
 
 def encode_shard(doc_ids: list[int | None], lengths: list[int], ids: bytes) -> bytes:
     bounds = EliasFano.of(np.concatenate(([0], np.cumsum(np.array(lengths, dtype=np.int64)))))
-    n, u = len(doc_ids), len(ids) // 4
+    n, values = len(doc_ids), np.frombuffer(ids, dtype="<u4")
+    width = 4 if len(values) and int(values.max()) >= 1 << 16 else 2
     nulls = np.packbits(np.array([d is None for d in doc_ids], dtype=np.uint8), bitorder="little").tobytes()
     own = np.array([d or 0 for d in doc_ids], dtype="<i8").tobytes()
-    return MAGIC + np.array([n, u, bounds.low_bits, len(bounds.upper)], dtype="<u8").tobytes() + own + nulls + bounds.low + bounds.upper + ids
+    return MAGIC + np.array([n, len(values), bounds.low_bits, len(bounds.upper), width], dtype="<u8").tobytes() + own + nulls + bounds.low + bounds.upper + values.astype(f"<u{width}").tobytes()
 
 
 def decode_shard(data: bytes) -> tuple[list[int | None], EliasFano, np.ndarray]:
     """doc_ids, boundaries and ids of a shard file."""
     if data[:8] != MAGIC:
         raise ValueError("not a token shard")
-    n, u, low_bits, n_upper = (int(x) for x in np.frombuffer(data, "<u8", 4, 8))
-    at = 40
+    n, u, low_bits, n_upper, width = (int(x) for x in np.frombuffer(data, "<u8", 5, 8))
+    at = 48
     own = np.frombuffer(data, "<i8", n, at)
     at += 8 * n
     nulls = np.unpackbits(np.frombuffer(data, np.uint8, (n + 7) // 8, at), bitorder="little")[:n]
@@ -97,7 +98,7 @@ def decode_shard(data: bytes) -> tuple[list[int | None], EliasFano, np.ndarray]:
     n_low = ((n + 1) * low_bits + 7) // 8
     bounds = EliasFano(n + 1, low_bits, data[at : at + n_low], data[at + n_low : at + n_low + n_upper])
     at += n_low + n_upper
-    return [None if z else int(d) for d, z in zip(own, nulls, strict=True)], bounds, np.frombuffer(data, "<u4", u, at)
+    return [None if z else int(d) for d, z in zip(own, nulls, strict=True)], bounds, np.frombuffer(data, f"<u{width}", u, at).astype("<u4")
 
 
 def _filesystem(path: str):
