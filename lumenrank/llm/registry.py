@@ -13,6 +13,7 @@ from lumenrank.llm.line_dedup import line_dedup_digest
 from lumenrank.llm.mixing import mix_sources
 from lumenrank.llm.near_dup import near_duplicate_classes
 from lumenrank.llm.packing import pack_documents
+from lumenrank.llm.pii import personal_data_digest
 from lumenrank.llm.quality_crf import score_documents, train
 from lumenrank.llm.substring import repeats_digest
 from lumenrank.llm.syncmers import compare_with_edits
@@ -56,11 +57,15 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(documents(spark, sf_dir), percent=85)
 
 
+def op9_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data_digest(documents(spark, sf_dir))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_digest(documents(spark, sf_dir), min_chars=10)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_crf, op2_syncmer_fingerprints, op3_nearest_neighbours, op4_best_fit_packing, op5_source_mix, op6_token_files, op7_substring_dedup, op8_near_duplicates, op10_line_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_crf, op2_syncmer_fingerprints, op3_nearest_neighbours, op4_best_fit_packing, op5_source_mix, op6_token_files, op7_substring_dedup, op8_near_duplicates, op9_pii_weak_supervision, op10_line_dedup)}
 
 SQL: dict[str, str] = {}
 
