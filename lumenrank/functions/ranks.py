@@ -26,3 +26,40 @@ def global_row_number(df: DataFrame, order: list[Column], name: str = "row_numbe
     except Exception:
         ranged.unpersist()
         raise
+
+
+def average_ranks(df: DataFrame, column: str, name: str, by: list[str] | None = None) -> DataFrame:
+    """df with the rank of column from 1, equal values sharing the mean of their ranks.
+
+    Values are counted first, so ranks are found over distinct values (dealt by range when there
+    are no groups) and joined back: no task sorts all rows, and a frequent value costs one row.
+    """
+    keys = by or []
+    counts = df.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_k"))
+    if keys:
+        upto = F.sum("_k").over(Window.partitionBy(*keys).orderBy(column))
+    else:
+        counts = running_total(counts, [F.col(column)], "_k", "_upto")
+        upto = F.col("_upto")
+    ranks = counts.select(*keys, F.col(column).alias("_v"), (upto - (F.col("_k") - 1) / 2).alias(name))
+    same = F.col("_v") == F.col(column)
+    for k in keys:
+        ranks = ranks.withColumnRenamed(k, f"_k_{k}")
+        same = same & F.col(f"_k_{k}").eqNullSafe(F.col(k))
+    return df.join(ranks, same).drop("_v", *[f"_k_{k}" for k in keys])
+
+
+def running_total(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """df with the sum of value over all rows up to each one in order; order must be total.
+
+    As global_row_number: ranges are summed apart and shifted by the sums of the ranges before.
+    """
+    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
+    sums = sorted((r[0], r[1]) for r in ranged.groupBy("_part").agg(F.sum(value)).collect())
+    before, rows = 0, []
+    for part, total in sums:
+        rows.append((part, float(before)))
+        before += total or 0
+    offsets = df.sparkSession.createDataFrame(rows, "_part int, _before double")
+    inside = F.sum(value).over(Window.partitionBy("_part").orderBy(*order))
+    return ranged.withColumn("_inside", inside).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_inside")).drop("_part", "_before", "_inside")

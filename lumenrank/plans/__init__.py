@@ -1 +1 @@
-
+"""Jobs made of operators, and the registered queries."""
