@@ -114,21 +114,23 @@ def nearest_all(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "
     Queries and items are dealt into blocks; a task multiplies one block by another and keeps k for each
     query, so no side is broadcast and the best of the blocks are merged.
     """
-    q = queries.withColumn("_qb", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).withColumn("_vb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    v = vectors.withColumn("_vb", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(blocks)).cast("int")).withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    deal = lambda c, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    q = queries.select(F.col(key).alias("query"), F.col("vector").alias("qv"), deal(key, 0).alias("_qb"), every.alias("_vb"))
+    v = vectors.select(F.col(key).alias("item"), F.col("vector").alias("iv"), deal(key, 1).alias("_vb"), every.alias("_qb"))
     kind = dict(vectors.dtypes)[key]
 
     def multiply(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query": pd.Series([], dtype=object), key: pd.Series([], dtype=object), "similarity": np.zeros(0)})
-        right = right.sort_values(key, kind="stable")
-        a, b = (np.stack(x["vector"].to_numpy()) for x in (left, right))
+        right = right.sort_values("item", kind="stable")
+        a, b = np.stack(left["qv"].to_numpy()), np.stack(right["iv"].to_numpy())
         sizes = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
         near = np.where(sizes > 0, a @ b.T / np.where(sizes > 0, sizes, 1), 0.0)
-        near = np.where(left[key].to_numpy()[:, None] == right[key].to_numpy()[None, :], -np.inf, near)
-        top = np.argsort(-near, axis=1, kind="stable")[:, :k]
+        near = np.where(left["query"].to_numpy()[:, None] == right["item"].to_numpy()[None, :], -np.inf, near)
+        top = np.argsort(-near.round(12), axis=1, kind="stable")[:, :k]
         row = np.repeat(np.arange(len(left)), top.shape[1])
-        out = pd.DataFrame({"query": left[key].to_numpy()[row], key: right[key].to_numpy()[top.ravel()], "similarity": near[row, top.ravel()]})
+        out = pd.DataFrame({"query": left["query"].to_numpy()[row], key: right["item"].to_numpy()[top.ravel()], "similarity": near[row, top.ravel()]})
         return out[np.isfinite(out["similarity"])]
 
     found = q.groupBy("_qb", "_vb").cogroup(v.groupBy("_qb", "_vb")).applyInPandas(multiply, f"query {kind}, {key} {kind}, similarity double")

@@ -447,14 +447,14 @@ def batch_kpis(spark, sf_dir):
     return reports.batch_kpis(_predictions(spark, sf_dir), ["model", "kind"]).select("model", "kind", "n", _r("mean_score"), _r("max_score"), _r("max_uncertainty"))
 
 
-@query("SELECT event_id, coalesce(json_extract_string('[' || props || ']', '$[0].page'), '') AS names FROM events")
+@query("SELECT event_id, coalesce(json_extract_string('[' || props || ']', '$[0].k'), '') AS names FROM events")
 def json_names(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", reports.json_names(F.concat(F.lit("["), "props", F.lit("]")), "page").alias("names"))
+    return table(spark, sf_dir, "events").select("event_id", reports.json_names(F.concat(F.lit("["), "props", F.lit("]")), "k").alias("names"))
 
 
-@query("SELECT event_id FROM events WHERE contains(lower(props), '\"page\": 7') OR contains(lower(props), '\"page\":7')")
+@query("SELECT event_id FROM events WHERE contains(lower(props), '\"k\": 7')")
 def search_predictions(spark, sf_dir):
-    return reports.search_predictions(table(spark, sf_dir, "events"), '"page": 7', ("props",)).unionByName(reports.search_predictions(table(spark, sf_dir, "events"), '"page":7', ("props",))).select("event_id").distinct()
+    return reports.search_predictions(table(spark, sf_dir, "events"), '"K": 7', ("props",)).select("event_id")
 
 
 @query("SELECT doc_id FROM documents WHERE contains(trim(regexp_replace(lower(CASE lang WHEN 'en' THEN 'CC-BY-SA 4.0' WHEN 'de' THEN 'CC0' WHEN 'fr' THEN 'All rights reserved' ELSE 'Public Domain' END || ' ' || source), '[^a-z0-9]+', ' ', 'g')), 'cc by') OR lang = 'de'")
