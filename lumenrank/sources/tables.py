@@ -114,7 +114,7 @@ def append_exclusions(df: DataFrame, path: str) -> None:
     rows.select(F.concat_ws(",", *[f.name for f in EXCLUSIONS]).alias("value")).write.mode("append").text(path)
 
 
-_BUNDLE = T.StructType.fromDDL(
+_BUNDLE = (
     "rater_id string, session_id string, "
     "ratings array<struct<image_id:string,score:double,note:string,timestamp:string,rater_id:string>>, "
     "pairwise array<struct<left_image_id:string,right_image_id:string,winner:string,tie_flag:boolean,preference_strength:double,timestamp:string,rater_id:string>>, "
