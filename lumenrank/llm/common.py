@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,21 +47,7 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def words(text: Column) -> Column:
-    """Words of a text as the contracts cut them; a null text has none."""
-    return F.expr(f"regexp_extract_all(coalesce({_name(text)}, ''), '[^\\\\x20\\\\x09-\\\\x0D]+', 0)")
-
-
-def _name(c: Column | str) -> str:
-    return c if isinstance(c, str) else c._jc.toString()
-
-
 def word_count(text: Column) -> Column:
     """Number of words, without building them."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD_PATTERN)).cast("long")
 
-
-def batches(found: Iterator[pa.RecordBatch], schema: pa.Schema, fn) -> Iterator[pa.RecordBatch]:
-    """Apply fn(batch) -> dict of columns to every batch."""
-    for batch in found:
-        yield pa.RecordBatch.from_pydict(fn(batch), schema=schema)

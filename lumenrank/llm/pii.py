@@ -156,25 +156,25 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> t
     """Expectation-maximisation over vote patterns and their counts.
 
     Returns each pattern's probability of being personal data, the share of it, and the reliabilities:
-    for either truth, labeler and vote (1, 0, abstain), how often that vote is cast. A labeler is
-    taken to be right more often than not before it is seen (as by a few imagined votes).
+    for either truth, labeler and vote (0, 1), how often that vote is cast by a labeler that doesn't
+    abstain (abstaining tells nothing). Before any vote is seen the format is taken to be right nine times
+    in ten, as by a quarter as many votes as there are, and the others more often than not, as by a few;
+    without such an anchor the two truths could change places.
     """
-    votes = np.array([[v if v >= 0 else 2 for v in p] for p, _ in patterns]).reshape(-1, len(VOTES))
+    votes = np.array([p for p, _ in patterns]).reshape(-1, len(VOTES))
     n = np.array([c for _, c in patterns], dtype=float)
-    known = np.zeros((2, len(VOTES), 3))
-    known[1] += np.array([8.0, 2.0, 2.0])
-    known[0] += np.array([2.0, 8.0, 2.0])
-    known[1, 0] = np.array([0.9, 0.1, 1e-3]) * max(12.0, ANCHOR * n.sum())
-    known[0, 0] = np.array([0.1, 0.9, 1e-3]) * max(12.0, ANCHOR * n.sum())
+    cast, vote = votes >= 0, np.maximum(votes, 0)
+    known = np.tile(np.array([[8.0, 2.0], [2.0, 8.0]])[:, None, :], (1, len(VOTES), 1))
+    known[:, 0] = np.array([[0.9, 0.1], [0.1, 0.9]]) * max(10.0, ANCHOR * n.sum())
     reliable, share = known / known.sum(axis=2, keepdims=True), 0.5
     p = np.full(len(n), 0.5)
     for _ in range(rounds):
-        logs = [np.log(reliable[y, np.arange(len(VOTES)), votes]).sum(axis=1) for y in (0, 1)]
+        logs = [(np.log(reliable[y, np.arange(len(VOTES)), vote]) * cast).sum(axis=1) for y in (0, 1)]
         p = 1 / (1 + np.exp(np.clip(logs[0] - logs[1] + math.log((1 - share) / share), -500, 500)))
         share = float((p @ n + 2) / (n.sum() + 4))
         for y, w in ((1, p * n), (0, (1 - p) * n)):
             for k in range(len(VOTES)):
-                got = known[y, k] + np.bincount(votes[:, k], weights=w, minlength=3)
+                got = known[y, k] + np.bincount(vote[cast[:, k], k], weights=w[cast[:, k]], minlength=2)
                 reliable[y, k] = got / got.sum()
     return {q: float(x) for (q, _), x in zip(patterns, p, strict=True)}, share, reliable
 

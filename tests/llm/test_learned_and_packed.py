@@ -225,8 +225,8 @@ def base_spans(text):
 
 
 EDGES = [
-    (1, ""), (2, "a@b.c_d@e.f x@y..z 1.2.3.4.5.6.7.8 001.02.3.0255 999.1.1.1"), (3, "4111 1111-1111 1111 and 41111111111111112 +1 (017) 555-7713 +12 3"), (4, "é" * 50 + " \U0001f600 mail@x.example.com " + "1" * 60000),
-    (5, "a" * 60000 + "@"), (6, "call (555) 123-4567 or bob [at] mail.example.com"), (7, "1-" * 30000 + "1"), (8, "+1" * 200), (9, "a.b" * 20000 + "@x" + ".y" * 30000), (10, "1." * 20000), (11, "+1 2 3 4 5 6 7 8 9 " * 50),
+    (1, ""), (2, "a@b.c_d@e.f x@y..z 1.2.3.4.5.6.7.8 001.02.3.0255 999.1.1.1"), (3, "4111 1111-1111 1111 and 41111111111111112 +1 (017) 555-7713 +12 3"), (4, "é" * 50 + " \U0001f600 mail@x.example.com " + "1" * 20000),
+    (5, "a" * 15000 + "@"), (6, "call (555) 123-4567 or bob [at] mail.example.com"), (7, "1-" * 10000 + "1"), (8, "+1" * 200), (9, "a.b" * 7000 + "@x" + ".y" * 10000), (10, "1." * 5000), (11, "+1 2 3 4 5 6 7 8 9 " * 50),
 ]
 
 

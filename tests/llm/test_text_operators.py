@@ -4,7 +4,6 @@ import hashlib
 import random
 import re
 import string
-import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
