@@ -437,9 +437,10 @@ def triage(spark, sf_dir):
     return reports.triage(_predictions(spark, sf_dir), 8, ["model"]).select("model", "image_id", "section", "position")
 
 
-@query(f"--with {_PRED} SELECT model, image_id, predicted_score, row_number() OVER (ORDER BY predicted_score DESC, image_id, model) AS position FROM pred WHERE model = 'A'", ("v_predictions",))
+@query(f"--with {_PRED} SELECT model || '-' || image_id AS image_id, predicted_score, row_number() OVER (ORDER BY predicted_score DESC, model || '-' || image_id) AS position FROM pred", ("v_predictions",))
 def rank_predictions(spark, sf_dir):
-    return reports.rank_predictions(_predictions(spark, sf_dir).filter("model = 'A'")).select("model", "image_id", "predicted_score", "position")
+    each = _predictions(spark, sf_dir).withColumn("image_id", F.concat_ws("-", "model", "image_id"))
+    return reports.rank_predictions(each).select("image_id", "predicted_score", "position")
 
 
 @query(f"--with {_PRED} SELECT model, kind, count(*) AS n, round(avg(predicted_score), 6) AS mean_score, round(max(predicted_score), 6) AS max_score, round(max(uncertainty), 6) AS max_uncertainty FROM pred GROUP BY 1, 2", ("v_predictions",))
