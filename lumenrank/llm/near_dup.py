@@ -5,13 +5,18 @@ shingle, under a hash that depends on the path so far, chooses the branch. Two s
 go on together with probability s at each node, unrelated ones almost never. Rows of equal sets are
 joined first and walk the trees as one.
 
-A node is settled when it is small: its documents are compared exhaustively, those of one
-component already being spared comparison with each other. In a larger node every document is
-compared with the node's first one, which joins large groups of copies without pairs among them, and
-those that are left go one level down. The deepest nodes are compared exhaustively whatever their
-size. All links are confirmed on full sets. A pair at the threshold of 0.85 shares a first node in at
-least one of 8 trees with probability 1 - 0.15**8; a pair in nodes so mixed that they are split to
-level L meets with probability 1 - (1 - 0.85**L)**8 (0.9995 at level 3).
+Branching goes ``DEPTHS[0]`` levels down before anything is compared. In a node every document is
+compared with the node's hub, the one that meets most others over all trees; that joins large groups of
+copies without pairs among them. Then small nodes are compared exhaustively, documents of one component
+being spared comparison with each other. Nodes where that would be too much branch on to the next
+depth; the deepest are compared exhaustively whatever their size. Exhaustively means without missing a
+link, not that all pairs are looked up: sizes rule pairs out, so do the trees' first choices, and a document
+too far from the hub can only be linked with one that shares a shingle the hub lacks, by which it is
+found. What is left is confirmed on full sets.
+
+Chances of missing a pair at the threshold of 0.85: that it meets in no tree at depth 3,
+(1 - 0.85**3)**12 = 0.00001, at depth 5 (only in nodes too mixed to compare at 3) 0.0009; that it agrees in
+fewer than ``AGREE`` of 12 first choices, 0.000002.
 
 Nulls: a null text has an empty set and is linked with nothing; a row with a null doc_id is
 linked with nothing and kept. Rows that repeat a doc_id are one document: they share their links.
@@ -25,14 +30,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenrank.llm.common import small_batches, stage_table
 from lumenrank.llm.components import components
 from lumenrank.llm.words import gram_hashes, mix, text_runs, word_hashes
 
-TREES, LEVELS, SHINGLE = 8, 4, 5
+TREES, DEPTHS, SHINGLE = 12, (3, 5), 5
+
+#: First choices (of TREES) that a pair must share to be looked up.
+AGREE = 4
 
 #: A node is compared exhaustively when that takes so many comparisons or fewer, else it is split.
 NODE_PAIRS = 4_000
@@ -55,39 +63,46 @@ def shingle_sets(column: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
                 yield np.zeros(0, dtype=_U)
 
 
-def _paths(sets: list[np.ndarray], trees: int, levels: int) -> np.ndarray:
-    """Nodes of each set, trees x levels: each a hash of the shingles chosen so far."""
+def _paths(sets: list[np.ndarray], trees: int, depths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes of each set, trees x depths: hashes of the shingles chosen so far; 16 bits of each tree's first choice)."""
     sizes = np.array([len(s) for s in sets])
-    out = np.zeros((len(sets), trees * levels), dtype=_U)
+    out = np.zeros((len(sets), trees, len(depths)), dtype=_U)
+    firsts = np.zeros((len(sets), trees), dtype=np.int16)
     some = np.flatnonzero(sizes)
     if not len(some):
-        return out
+        return out, firsts
     flat = np.concatenate([sets[i] for i in some])
     starts = np.concatenate(([0], np.cumsum(sizes[some])[:-1]))
     for tree in range(trees):
         path = np.full(len(some), tree + 1, dtype=_U)
-        for level in range(levels):
-            seed = mix(path * _U(0x9E3779B97F4A7C15) + _U(level + 1))
+        for depth in range(1, depths[-1] + 1):
+            seed = mix(path * _U(0x9E3779B97F4A7C15) + _U(depth))
             # mixing by an odd factor and a shift: the order it gives depends on the path
             x = (flat ^ np.repeat(seed, sizes[some])) * _U(0xD1342543DE82EF95)
             x ^= x >> _U(29)
             x *= _U(0xAF251AF3B0F025B5)
             path = mix(path + np.minimum.reduceat(x, starts))
-            out[some, tree * levels + level] = path
-    return out
+            if depth == 1:
+                firsts[some, tree] = (path & _U(0xFFFF)).astype(np.uint16).view(np.int16)
+            if depth in depths:
+                out[some, tree, depths.index(depth)] = path
+    return out, firsts
+
 
+_SIGNED = "doc_id long, n long, s1 long, s2 long, firsts array<short>, paths array<long>"
 
-_SIGNED = "doc_id long, n long, s1 long, s2 long, paths array<long>"
 
+def _signatures(trees: int, depths: tuple[int, ...]):
+    def listed(values: np.ndarray, each: int) -> pa.ListArray:
+        return pa.ListArray.from_arrays(np.arange(0, values.size + 1, each, dtype=np.int32), pa.array(values.ravel()))
 
-def _signatures(trees: int, levels: int):
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             sets = list(shingle_sets(batch.column("text")))
             keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), dtype=np.int64).reshape(-1, 2) if sets else np.zeros((0, 2), np.int64)
-            paths = _paths(sets, trees, levels).view(np.int64)
-            listed = pa.ListArray.from_arrays(np.arange(0, paths.size + 1, trees * levels, dtype=np.int32), pa.array(paths.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), listed], names=["doc_id", "n", "s1", "s2", "paths"])
+            paths, firsts = _paths(sets, trees, depths)
+            columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), listed(firsts, trees), listed(paths.view(np.int64), trees * len(depths))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "s1", "s2", "firsts", "paths"])
 
     return run
 
@@ -97,99 +112,147 @@ def _packed_sets(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(batch.column("text"))], pa.binary())], names=["doc_id", "shingles"])
 
 
-def _confirm(percent: int):
-    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in found:
-            keep = []
-            for a, b in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), dtype=_U) for s in (a, b))
-                both = np.concatenate((x, y))
-                both.sort()
-                shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            kept = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], names=["a", "b"])
+def _overlaps(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b and how many shingles they share."""
+    for batch in found:
+        shared = []
+        for a, b in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
+            both = np.concatenate([np.frombuffer(s.as_buffer(), dtype=_U) for s in (a, b)])
+            both.sort()
+            shared.append(int(np.count_nonzero(both[1:] == both[:-1])))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared, pa.int64())], names=["a", "b", "shared"])
 
-    return run
+
+def _outside(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """hub, rep and each shingle of rep that the hub (set_a) does not have."""
+    for batch in found:
+        rows = [np.setdiff1d(*[np.frombuffer(s.as_buffer(), dtype=_U) for s in (own, hub)], assume_unique=True) for own, hub in zip(batch.column("set_b"), batch.column("set_a"), strict=True)]
+        at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        tokens = np.concatenate([*rows, np.zeros(0, dtype=_U)]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(at)), batch.column("b").take(pa.array(at)), pa.array(tokens)], names=["hub", "rep", "token"])
 
 
 class _Join:
-    """One similarity join: candidate pairs come level by level, links and components accumulate."""
+    """One similarity join: candidate pairs come depth by depth, links and components accumulate."""
 
-    def __init__(self, docs: DataFrame, percent: int, trees: int, levels: int):
+    def __init__(self, docs: DataFrame, percent: int, trees: int, depths: tuple[int, ...]):
         small_batches(docs.sparkSession)
-        self.percent, self.trees, self.levels = percent, trees, levels
+        self.percent, self.trees, self.depths = percent, trees, depths
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-        self.signed = stage_table(self.docs.mapInArrow(_signatures(trees, levels), _SIGNED), "signatures")
+        self.signed = stage_table(self.docs.mapInArrow(_signatures(trees, depths), _SIGNED), "signatures")
         # one vertex for equal sets; empty sets stay out
-        self.classes = self.signed.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("paths").alias("paths"))
-        self.links = self.same_sets()
+        classes = self.signed.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("firsts").alias("firsts"), F.first("paths").alias("paths"))
+        self.classes = stage_table(classes, "classes")
+        self.sets: DataFrame | None = None
 
     def same_sets(self) -> DataFrame:
         own = self.signed.filter("n > 0").select("s1", "s2", "doc_id")
         reps = self.classes.select("s1", "s2", "rep")
         return own.join(reps, ["s1", "s2"]).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
 
-    def nodes(self, level: int, within: DataFrame | None) -> DataFrame:
-        """Members (rep, n, tree, node, paths) of the nodes of a level that have two or more; below a node of within."""
-        at = [F.struct(F.lit(t).alias("tree"), F.element_at("paths", t * self.levels + level + 1).alias("node")) for t in range(self.trees)]
+    def nodes(self, at: int, within: DataFrame | None) -> DataFrame:
+        """Members (rep, n, firsts, paths, tree, node, members) of the nodes at a depth that have two or more; below nodes of within."""
+        place = lambda tree: F.element_at("paths", tree * len(self.depths) + at + 1)
         if within is None:
-            rows = self.classes.withColumn("x", F.explode(F.array(*at))).select("rep", "n", "paths", F.col("x.tree").alias("tree"), F.col("x.node").alias("node"))
+            every = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), place(F.lit(t)).alias("node")) for t in range(self.trees)]))
+            rows = self.classes.withColumn("x", every).select("rep", "n", "firsts", "paths", "x.tree", "x.node")
         else:
-            rows = within.withColumn("node", F.element_at("paths", F.col("tree") * self.levels + level + 1))
-        rows = rows.select("rep", "n", "tree", "node", "paths")
-        shared = rows.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("hub")).filter("members > 1")
-        return stage_table(rows.join(shared, "node"), f"nodes-{level}")
-
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b, n_a, n_b) that are links, as a table; sizes alone rule out most others."""
-        low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-        pairs = stage_table(pairs.filter(100 * low >= self.percent * high).select("a", "b").distinct(), "pairs")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        texts = self.docs.join(ids, "doc_id", "left_semi")
-        sets = stage_table(texts.mapInArrow(_packed_sets, "doc_id long, shingles binary"), "sets")
-        left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
-        right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
-        return stage_table(pairs.join(left, "a").join(right, "b").mapInArrow(_confirm(self.percent), "a long, b long").distinct(), "links")
+            rows = within.withColumn("node", place(F.col("tree")))
+        shared = rows.groupBy("node").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+        return stage_table(rows.select("rep", "n", "firsts", "paths", "tree", "node").join(shared, "node"), f"nodes-{at}")
+
+    def feasible(self) -> Column:
+        """Whether the sizes n_a and n_b allow a link."""
+        return 100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")
+
+    def agree(self) -> Column:
+        """Whether the first choices f_a and f_b allow a link."""
+        same = F.zip_with("f_a", "f_b", lambda x, y: (x == y).cast("int"))
+        return F.aggregate(same, F.lit(0), lambda t, x: t + x) >= AGREE
+
+    def with_sets(self, pairs: DataFrame) -> DataFrame:
+        left = self.sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
+        right = self.sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
+        return pairs.join(left, "a").join(right, "b")
+
+    def judged(self, pairs: DataFrame, name: str) -> DataFrame:
+        """a, b, shared, linked of pairs (a, b, n_a, n_b), by their full sets, as a table."""
+        got = self.with_sets(pairs.select("a", "b").distinct()).mapInArrow(_overlaps, "a long, b long, shared long")
+        n = self.classes.select(F.col("rep"), F.col("n"))
+        got = got.join(n.withColumnsRenamed({"rep": "a", "n": "n_a"}), "a").join(n.withColumnsRenamed({"rep": "b", "n": "n_b"}), "b")
+        linked = 100 * F.col("shared") >= self.percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))
+        return stage_table(got.groupBy("a", "b").agg(F.max("shared").alias("shared"), F.max(linked).alias("linked")), name)
+
+    def settled(self, rows: DataFrame) -> DataFrame:
+        """Pairs (a, b) to look up in mixed nodes: of an odd document and one of another component.
+
+        rows: node, hub, rep, n, firsts, shared (with the hub), component, main. A link takes
+        percent / (100 + percent) of both sizes in common. Where one of the two shares less with the hub,
+        they must share a shingle that the hub lacks: such pairs are found by those shingles.
+        """
+        odd = rows.filter("component <> main")
+        x = odd.select("node", F.col("rep").alias("x"), F.col("n").alias("n_a"), F.col("firsts").alias("f_a"), F.col("component").alias("c_x"), F.col("shared").alias("s_x"))
+        y = rows.select(F.col("node").alias("_node"), F.col("rep").alias("y"), F.col("n").alias("n_b"), F.col("firsts").alias("f_b"), F.col("component").alias("c_y"), F.col("shared").alias("s_y"))
+        enough = (100 + self.percent) * F.least("s_x", "s_y") >= self.percent * (F.col("n_a") + F.col("n_b"))
+        direct = x.join(y, (F.col("node") == F.col("_node")) & (F.col("c_x") != F.col("c_y")) & self.feasible() & F.coalesce(enough, F.lit(True)))
+        direct = direct.filter(self.agree()).select("x", "y")
+        around = rows.filter("rep <> hub AND shared IS NOT NULL").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+        tokens = stage_table(self.with_sets(around).mapInArrow(_outside, "hub long, rep long, token long"), "outside")
+        marked = odd.select("hub", "rep").distinct()
+        mine = tokens.join(marked, ["hub", "rep"], "left_semi").withColumnRenamed("rep", "x")
+        shared = mine.join(tokens.withColumnRenamed("rep", "y"), ["hub", "token"]).filter("x <> y").select("x", "y").distinct()
+        known = rows.select("rep", "n", "firsts", "component").distinct()
+        shared = shared.join(known.withColumnsRenamed({"rep": "x", "n": "n_a", "firsts": "f_a", "component": "c_x"}), "x")
+        shared = shared.join(known.withColumnsRenamed({"rep": "y", "n": "n_b", "firsts": "f_b", "component": "c_y"}), "y")
+        shared = shared.filter((F.col("c_x") != F.col("c_y")) & self.feasible() & self.agree()).select("x", "y")
+        both = direct.unionByName(shared)
+        return stage_table(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
 
     def run(self) -> DataFrame:
         """doc_id (distinct), n_shingles, component."""
         found, within = None, None
-        for level in range(self.levels):
-            members = self.nodes(level, within)
-            stars = members.filter("rep <> hub").join(self.classes.select(F.col("rep").alias("hub"), F.col("n").alias("n_a")), "hub")
-            got = self.confirmed(stars.select(F.col("hub").alias("a"), F.col("rep").alias("b"), "n_a", F.col("n").alias("n_b")))
+        for at in range(len(self.depths)):
+            members = self.nodes(at, within)
+            if self.sets is None:
+                # texts are shuffled once, to get the sets of documents that share a node
+                ids = members.select(F.col("rep").alias("doc_id")).distinct()
+                self.sets = stage_table(self.docs.join(ids, "doc_id", "left_semi").mapInArrow(_packed_sets, "doc_id long, shingles binary"), "sets")
+            # the hub of a node: whoever meets most others over all trees
+            met = members.groupBy("rep").agg(F.sum("members").alias("met"))
+            placed = members.join(met, "rep")
+            hubs = placed.groupBy("node").agg(F.max_by(F.struct("rep", "n", "firsts"), F.struct("met", -F.col("rep"))).alias("hub"))
+            around = placed.join(hubs, "node")
+            stars = around.filter("rep <> hub.rep").select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"), F.col("hub.n").alias("n_a"), F.col("n").alias("n_b")).filter(self.feasible())
+            judged = self.judged(stage_table(stars.select("a", "b").distinct(), "stars"), "judged")
+            got = judged.filter("linked").select("a", "b")
             found = got if found is None else found.unionByName(got)
             # within a node, documents of its largest component need no comparison among themselves
             labels = components(found)
-            named = members.join(labels.withColumnsRenamed({"v": "rep"}), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-            named = stage_table(named, f"named-{level}")
+            named = around.select("node", F.col("hub.rep").alias("hub"), "rep", "n", "firsts", "paths", "tree")
+            named = named.join(labels.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+            named = stage_table(named, f"named-{at}")
             parts = named.groupBy("node", "component").agg(F.count(F.lit(1)).alias("k"))
             sizes = parts.groupBy("node").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("k"))
             mixed = sizes.filter("all > k").withColumn("small", (F.col("all") - F.col("k")) * F.col("all") <= NODE_PAIRS)
-            last = level == self.levels - 1
-            open_nodes = named.join(mixed.select("node", "main", "small"), "node")
+            last = at == len(self.depths) - 1
+            seen = judged.select(F.col("a").alias("hub"), F.col("b").alias("rep"), "shared")
+            open_nodes = named.join(mixed.select("node", "main", "small"), "node").join(seen, ["hub", "rep"], "left")
+            open_nodes = stage_table(open_nodes.withColumn("shared", F.when(F.col("rep") == F.col("hub"), F.col("n")).otherwise(F.col("shared"))), f"mixed-{at}")
             settle = open_nodes if last else open_nodes.filter("small")
-            odd = settle.filter("component <> main").select("node", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x"))
-            rest = settle.select("node", F.col("rep").alias("y"), F.col("n").alias("n_y"), F.col("component").alias("c_y"))
-            near = 100 * F.least("n_x", "n_y") >= self.percent * F.greatest("n_x", "n_y")
-            pairs = odd.join(rest, (odd["node"] == rest["node"]) & (F.col("c_x") != F.col("c_y")) & near)
-            swap = F.col("x") > F.col("y")
-            pairs = pairs.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("a"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("b"), F.col("n_x").alias("n_a"), F.col("n_y").alias("n_b"))
-            found = found.unionByName(self.confirmed(pairs))
-            within = open_nodes.filter("NOT small").select("rep", "n", "tree", "paths")
+            found = found.unionByName(self.judged(self.settled(settle), "links").filter("linked").select("a", "b"))
+            within = open_nodes.filter("NOT small").select("rep", "n", "firsts", "paths", "tree")
             if last or within.isEmpty():
                 break
-        labels = components(self.links.unionByName(found))
+        labels = components(self.same_sets().unionByName(found))
         sizes = self.signed.groupBy("doc_id").agg(F.max("n").alias("n_shingles"))
         return sizes.join(labels.withColumnRenamed("v", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
 
 
-def near_duplicate_classes(docs: DataFrame, percent: int = 85, trees: int = TREES, levels: int = LEVELS) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, percent: int = 85, trees: int = TREES, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each distinct doc_id, and one for each null."""
-    found = _Join(docs, percent, trees, levels).run()
+    found = _Join(docs, percent, trees, depths).run()
     named = found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
-    nulls = docs.filter("doc_id IS NULL").select(F.lit(None).cast("long").alias("doc_id"), "text").mapInArrow(_signatures(1, 1), _SIGNED)
+    nulls = docs.filter("doc_id IS NULL").select(F.lit(None).cast("long").alias("doc_id"), "text").mapInArrow(_signatures(1, (1,)), _SIGNED)
     return named.unionByName(nulls.select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept")))
 
 
