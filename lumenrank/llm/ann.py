@@ -29,8 +29,8 @@ from lumenrank.llm.common import stage_table
 #: Vectors that centroids are fitted on, and rounds of fitting.
 SAMPLE, ROUNDS = 20_000, 8
 
-#: Vectors in one group of the search, and in a list on average.
-CHUNK, LIST_SIZE, MOST_LISTS = 8_192, 200, 4_096
+#: Vectors in one group of the search, and lists: this share of the root of the number of vectors.
+CHUNK, LISTS_OF_ROOT, MOST_LISTS = 8_192, 0.25, 4_096
 
 #: Share of the lists that a query probes (16 at least), and candidates that its lists must hold at least.
 PROBE_SHARE, PROBES, LEAST_CANDIDATES = 0.7, 16, 200
@@ -119,7 +119,7 @@ def nearest(vectors: DataFrame, queries_every: int = 50, k: int = 5, id_col: str
     if not n:
         return spark.createDataFrame([], schema)
     sample = np.array([r[0] for r in classes.orderBy(F.xxhash64("key")).limit(SAMPLE).select("vector").collect()])
-    lists = max(1, min(n // LIST_SIZE, len(sample) // 8, MOST_LISTS))
+    lists = max(1, min(int(LISTS_OF_ROOT * math.sqrt(n)), len(sample) // 8, MOST_LISTS))
     centres, turn, d = fit_centroids(_unit(sample), lists), rotation(sample.shape[1]), sample.shape[1]
     lists = len(centres)
 
