@@ -188,13 +188,15 @@ class _Join:
 
         rows: node, hub, rep, n, firsts, shared (with the hub), component, main. A link takes
         percent / (100 + percent) of both sizes in common. Where one of the two shares less with the hub,
-        they must share a shingle that the hub lacks: such pairs are found by those shingles.
+        they must share a shingle that the hub lacks: such pairs are found by those shingles. A document whose
+        size rules out a link with the hub has no shared (null) and no such shingles: its pairs are looked up directly.
         """
         odd = rows.filter("component <> main")
         x = odd.select("node", F.col("rep").alias("x"), F.col("n").alias("n_a"), F.col("firsts").alias("f_a"), F.col("component").alias("c_x"), F.col("shared").alias("s_x"))
         y = rows.select(F.col("node").alias("_node"), F.col("rep").alias("y"), F.col("n").alias("n_b"), F.col("firsts").alias("f_b"), F.col("component").alias("c_y"), F.col("shared").alias("s_y"))
-        enough = (100 + self.percent) * F.least("s_x", "s_y") >= self.percent * (F.col("n_a") + F.col("n_b"))
-        direct = x.join(y, (F.col("node") == F.col("_node")) & (F.col("c_x") != F.col("c_y")) & self.feasible() & F.coalesce(enough, F.lit(True)))
+        # least skips nulls, so they are named: a pair with one of them is not found by shingles either
+        enough = F.col("s_x").isNull() | F.col("s_y").isNull() | ((100 + self.percent) * F.least("s_x", "s_y") >= self.percent * (F.col("n_a") + F.col("n_b")))
+        direct = x.join(y, (F.col("node") == F.col("_node")) & (F.col("c_x") != F.col("c_y")) & self.feasible() & enough)
         direct = direct.filter(self.agree()).select("x", "y")
         around = rows.filter("rep <> hub AND shared IS NOT NULL").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
         tokens = stage_table(self.with_sets(around).mapInArrow(_outside, "hub long, rep long, token long"), "outside")

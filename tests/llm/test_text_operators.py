@@ -146,6 +146,24 @@ def test_near_duplicates_of_edited_copies(spark):
     assert keep_one_of_each(df).count() == len({c for _, c in got.values()})
 
 
+def test_near_duplicates_beside_the_hub(spark):
+    """Copies of a hub, a longer near copy, and one that is too long for the hub and linked with that near copy only."""
+    rng, rows = random.Random(3), []
+    for g in range(6):
+        hub = [f"h{g}_{i}" for i in range(1004)]
+        for d in range(100 * g, 100 * g + 12):
+            w = list(hub)
+            w[rng.randrange(10, 990)] = f"e{d}"
+            rows.append((d, " ".join(w)))
+        longer = hub + [f"y{g}_{i}" for i in range(10)]
+        rows += [(100 * g + 20, " ".join(hub)), (100 * g + 21, " ".join(longer)), (100 * g + 22, " ".join(longer + [f"x{g}_{i}" for i in range(167)]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicate_classes(df).collect()}
+    want = exact_components(rows)
+    assert {want[100 * g + 22] for g in range(6)} == {(1177, 100 * g) for g in range(6)}
+    assert got == want
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40, 90)] + [(1, 5), (9, 5), (9, 12), (3, 4), (4, 3)]
     got = {r.v: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
