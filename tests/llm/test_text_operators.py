@@ -164,6 +164,19 @@ def test_near_duplicates_beside_the_hub(spark):
     assert got == want
 
 
+def test_near_dedup_stage_takes_out_copies_from_80_percent_on(spark):
+    """Pairs of similarity 0.82 (490 of 600 shingles) lose one document, pairs of 0.78 (490 of 628) none."""
+    from corpus_pipeline import near_dedup
+
+    rows = []
+    for g in range(8):
+        base = [f"b{g}_{i}" for i in range(494)]
+        for d, own in enumerate((0, 110 if g < 4 else 138)):
+            rows.append((2 * g + d, " ".join(base + [f"o{g}_{i}" for i in range(own)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_dedup(spark, df, "").collect()) == [0, 2, 4, 6, *range(8, 16)]
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40, 90)] + [(1, 5), (9, 5), (9, 12), (3, 4), (4, 3)]
     got = {r.v: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
