@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -583,11 +582,8 @@ def top_concepts(spark, sf_dir):
 
 # --- models
 
-_LIGHT = {"random_forest": lambda: RandomForestRegressor(featuresCol="_x", labelCol="mean_score", numTrees=20, maxDepth=6, minInstancesPerNode=2, seed=42), "gbt": lambda: GBTRegressor(featuresCol="_x", labelCol="mean_score", maxDepth=4, maxIter=10, seed=42)}
-
-
 def _run(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...], pairs: bool = False) -> models.Run:
-    return models.train_baseline(view(spark, sf_dir, "v_features"), _labels(spark, sf_dir), cut(_splits(spark, sf_dir)), view(spark, sf_dir, "v_pairs") if pairs else None, kinds=kinds, estimators={k: f() for k, f in _LIGHT.items()})
+    return models.train_baseline(view(spark, sf_dir, "v_features"), _labels(spark, sf_dir), cut(_splits(spark, sf_dir)), view(spark, sf_dir, "v_pairs") if pairs else None, kinds=kinds)
 
 
 @query()
@@ -617,7 +613,7 @@ def local_contributions(spark, sf_dir):
 def permutation_importance(spark, sf_dir):
     features, known = view(spark, sf_dir, "v_features"), _labels(spark, sf_dir)
     run = _run(spark, sf_dir, ("elasticnet",))
-    return models.permutation_importance(run.models["elasticnet"], features.join(known, "image_id"), "mean_score", repeats=2)
+    return models.permutation_importance(run.models["elasticnet"], features.join(known, "image_id"), "mean_score")
 
 
 @query()

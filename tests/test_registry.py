@@ -1,11 +1,13 @@
 """Every registered query with SQL gives what DuckDB gives on the same tables."""
 
+import inspect
 import math
 from decimal import Decimal
 
 import duckdb
 import pytest
 
+from lumenrank.operators import models
 from lumenrank.plans import registry
 from lumenrank.plans.fixtures import TABLES
 
@@ -43,3 +45,25 @@ def test_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted({"select_collection", "pixel_phash", "crop_candidates", "feature_embedding"}))
 def test_runs(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
+
+
+def test_model_queries_use_the_operators_settings(spark, monkeypatch):
+    """Settings with which the queries call the operators; a linear model is fitted in place of the trees."""
+    seen, fit, shuffle = {}, models.fit_regressor, models.permutation_importance
+
+    def fitted(kind, train, columns, target, estimator=None):
+        seen[kind] = estimator or models.REGRESSORS[kind](train, target)
+        return fit("elasticnet", train, columns, target)
+
+    def shuffled(*given, **named):
+        call = inspect.signature(shuffle).bind(*given, **named)
+        call.apply_defaults()
+        seen["repeats"] = call.arguments["repeats"]
+
+    monkeypatch.setattr(models, "fit_regressor", fitted)
+    monkeypatch.setattr(models, "permutation_importance", shuffled)
+    registry.QUERIES["train_baseline"](spark, SF)
+    registry.QUERIES["permutation_importance"](spark, SF)
+    forest, boosted = seen["random_forest"], seen["gbt"]
+    assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getFeatureSubsetStrategy()) == (300, 12, "all")
+    assert (boosted.getMaxIter(), boosted.getStepSize(), seen["repeats"]) == (100, 0.1, 8)
