@@ -36,17 +36,10 @@ def incremental(source: DataFrame, sink: DataFrame, key: str, fn) -> DataFrame:
     return upsert(sink, fn(missing(source, sink, key)), [key], [F.col(key)])
 
 
-def analyze_batch(manifest: DataFrame, batch_id: str, run_id: str, features: DataFrame, fitted: Fitted | None, half_width: float = 0.0, existing: DataFrame | None = None, labels: DataFrame | None = None, overwrite: bool = False, neighbours: int = 5) -> tuple[DataFrame, dict[str, int]]:
-    """(predictions with those of the batch added, counts of analysed and skipped items).
-
-    Items already scored in (batch, run) are skipped unless overwrite. Each gets score, uncertainty, its eight
-    strongest features, four concepts, nearest items, label and a text. Without a model the score is null.
-    """
-    chosen = manifest.filter(F.col("import_batch_id") == batch_id).select("image_id", "relative_path")
-    n = chosen.count()
-    done = None if existing is None else existing.filter((F.col("batch_id") == batch_id) & (F.col("run_id") == run_id))
-    todo = chosen if overwrite or done is None else missing(chosen, done, "image_id")
-    rows = with_concepts(features.join(todo.select("image_id"), "image_id", "left_semi"))
+def _analysed(todo: DataFrame, run_id: str, features: DataFrame, fitted: Fitted | None, half_width: float, labels: DataFrame | None, neighbours: int) -> DataFrame:
+    """Predictions for the items of todo (batch_id, image_id, relative_path)."""
+    ids = todo.select("image_id").distinct()
+    rows = with_concepts(features.join(ids, "image_id", "left_semi"))
     columns = [c for c in feature_columns(features) if c not in CONCEPTS]
     if fitted is None:
         scored = rows.select("image_id", F.lit(None).cast("double").alias("predicted_score"))
@@ -58,7 +51,7 @@ def analyze_batch(manifest: DataFrame, batch_id: str, run_id: str, features: Dat
         strongest = each.groupBy("image_id").agg(F.transform(order, lambda x: F.struct(x["feature"].alias("feature"), x["delta_prediction"].alias("delta_prediction"))).alias("features"))
     top = top_concepts(rows).groupBy("image_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "concept", "score"))), lambda x: F.struct(x["concept"].alias("concept"), x["score"].alias("score"))).alias("concepts"))
     base = features.select("image_id", *columns)
-    near = nearest_all(as_vector(base.join(todo.select("image_id"), "image_id", "left_semi")), as_vector(base), neighbours)
+    near = nearest_all(as_vector(base.join(ids, "image_id", "left_semi")), as_vector(base), neighbours)
     near = near.withColumnRenamed("image_id", "_n").groupBy(F.col("query").alias("image_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "_n"))), lambda x: x["_n"]).alias("neighbours"))
     out = todo.join(scored, "image_id", "left").join(strongest, "image_id", "left").join(top, "image_id", "left").join(near, "image_id", "left")
     if labels is not None:
@@ -66,12 +59,31 @@ def analyze_batch(manifest: DataFrame, batch_id: str, run_id: str, features: Dat
     else:
         out = out.withColumn("label", F.lit(None).cast("double"))
     said = explanation_text(F.coalesce("predicted_score", F.lit(0.0)), F.lit(half_width), F.transform("features", lambda x: x["feature"]), F.transform("concepts", lambda x: x["concept"]))
-    found = out.select(
-        F.lit(batch_id).alias("batch_id"), F.lit(run_id).alias("run_id"), "image_id", "relative_path", item_kind(F.col("relative_path")).alias("kind"), "predicted_score", F.lit(float(half_width)).alias("uncertainty"),
+    return out.select(
+        "batch_id", F.lit(run_id).alias("run_id"), "image_id", "relative_path", item_kind(F.col("relative_path")).alias("kind"), "predicted_score", F.lit(float(half_width)).alias("uncertainty"),
         F.to_json("features").alias("top_features"), F.to_json("concepts").alias("top_concepts"), F.to_json("neighbours").alias("neighbours"), "label", said.alias("explanation"), F.current_timestamp().alias("created_at"),
     )
+
+
+def analyze_batch(manifest: DataFrame, batch_id: str, run_id: str, features: DataFrame, fitted: Fitted | None, half_width: float = 0.0, existing: DataFrame | None = None, labels: DataFrame | None = None, overwrite: bool = False, neighbours: int = 5) -> tuple[DataFrame, dict[str, int]]:
+    """(predictions with those of the batch added, counts of analysed and skipped items).
+
+    Items already scored in (batch, run) are skipped unless overwrite. Each gets score, uncertainty, its eight
+    strongest features, four concepts, nearest items, label and a text. Without a model the score is null.
+    """
+    chosen = manifest.filter(F.col("import_batch_id") == batch_id).select(F.lit(batch_id).alias("batch_id"), "image_id", "relative_path")
+    n = chosen.count()
+    done = None if existing is None else existing.filter((F.col("batch_id") == batch_id) & (F.col("run_id") == run_id))
+    todo = chosen if overwrite or done is None else missing(chosen, done, "image_id")
+    found = _analysed(todo, run_id, features, fitted, half_width, labels, neighbours)
     analysed = todo.count()
     counts = {"analyzed": analysed, "skipped": n - analysed}
     if existing is None:
         return found, counts
     return upsert(existing, found, ["batch_id", "run_id", "image_id"], [F.desc("created_at")]), counts
+
+
+def analyze_batches(manifest: DataFrame, run_id: str, features: DataFrame, fitted: Fitted | None, half_width: float = 0.0, labels: DataFrame | None = None, neighbours: int = 5) -> DataFrame:
+    """Predictions for the items of every batch, as analyze_batch gives them for one; the items are scored at once."""
+    todo = manifest.select(F.col("import_batch_id").alias("batch_id"), "image_id", "relative_path")
+    return _analysed(todo, run_id, features, fitted, half_width, labels, neighbours)

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenrank.operators import analysis, browse, concepts, curation, keys, labels, manifest, metrics, models, pixels, reports, splits, validation
+from lumenrank.plans import jobs
 from lumenrank.plans.fixtures import pixel_cubes, table, view, with_views
-from lumenrank.plans.jobs import analyze_batch
 from lumenrank.plans.stages import cut, shared_folder
 from lumenrank.streaming import streams
 
@@ -621,8 +621,7 @@ def analyze_batches(spark, sf_dir):
     features = view(spark, sf_dir, "v_features")
     run = _run(spark, sf_dir, ("elasticnet",))
     width = run.half_widths.first()["half_width"]
-    batch = view(spark, sf_dir, "v_manifest").agg(F.min("import_batch_id")).first()[0]
-    got, _ = analyze_batch(view(spark, sf_dir, "v_manifest"), batch, "run", features, run.models["elasticnet"], width, labels=_labels(spark, sf_dir))
+    got = jobs.analyze_batches(view(spark, sf_dir, "v_manifest"), "run", features, run.models["elasticnet"], width, labels=_labels(spark, sf_dir))
     return got.drop("created_at")
 
 

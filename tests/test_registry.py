@@ -6,10 +6,11 @@ from decimal import Decimal
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from lumenrank.operators import models
-from lumenrank.plans import registry
-from lumenrank.plans.fixtures import TABLES
+from lumenrank.plans import jobs, registry
+from lumenrank.plans.fixtures import TABLES, view
 
 SF = "/root/testdata/sf0.001"
 
@@ -67,3 +68,17 @@ def test_model_queries_use_the_operators_settings(spark, monkeypatch):
     forest, boosted = seen["random_forest"], seen["gbt"]
     assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getFeatureSubsetStrategy()) == (300, 12, "all")
     assert (boosted.getMaxIter(), boosted.getStepSize(), seen["repeats"]) == (100, 0.1, 8)
+
+
+def test_every_batch_is_analysed(spark):
+    """All items of the manifest, each in its own batch; a batch has what it gets when analysed alone."""
+    items = view(spark, SF, "v_manifest").select(F.col("import_batch_id").alias("batch_id"), "image_id").persist()
+    got = registry.QUERIES["analyze_batches"](spark, SF).persist()
+    assert sorted(map(tuple, got.select("batch_id", "image_id").collect()), key=repr) == sorted(map(tuple, items.collect()), key=repr)
+    batch = items.agg(F.min("batch_id")).first()[0]
+    features = view(spark, SF, "v_features")
+    run = registry._run(spark, SF, ("elasticnet",))
+    alone, counts = jobs.analyze_batch(view(spark, SF, "v_manifest"), batch, "run", features, run.models["elasticnet"], run.half_widths.first()["half_width"], labels=registry._labels(spark, SF))
+    columns = ["image_id", "kind", "predicted_score", "neighbours", "label"]
+    told = lambda df: sorted([tuple(plain(v) for v in r) for r in df.select(*columns).collect()], key=repr)
+    assert counts["skipped"] == 0 and told(alone) == told(got.filter(F.col("batch_id") == batch))
