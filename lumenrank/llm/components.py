@@ -11,19 +11,19 @@ from lumenrank.llm.common import stage_table
 def components(links: DataFrame) -> DataFrame:
     """v and component (the smallest id reachable) of every id in links (a, b).
 
-    Every id takes the least label among its neighbours and then its label's own label, until
-    nothing changes; labels travel twice as far each round. Nothing but a count reaches the driver.
+    Every id takes the least of its own and its neighbours' labels' labels, until nothing changes;
+    labels travel twice as far each round. Nothing but a yes or no reaches the driver.
     """
-    both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    edges = stage_table(both.filter(F.col("u") != F.col("v")).distinct(), "edges")
-    labels = stage_table(edges.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("component")), "labels")
+    pairs = links.select("a", "b").filter("a <> b")
+    # both ways, and each id as its own neighbour
+    ways = F.explode(F.array(*[F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u in "ab" for v in "ab"]))
+    edges = stage_table(pairs.select(ways.alias("x")).select("x.*").distinct(), "edges")
+    labels = stage_table(edges.groupBy("v").agg(F.min("u").alias("component")), "labels")
     while True:
-        near = edges.join(labels.withColumnRenamed("v", "u"), "u").groupBy("v").agg(F.min("component").alias("near"))
-        took = labels.join(near, "v").select("v", F.col("component").alias("before"), F.least("component", "near").alias("label"))
-        took = stage_table(took, "took")
-        own = took.select(F.col("v").alias("label"), F.col("label").alias("further"))
-        new = took.join(own, "label", "left").select("v", "before", F.least("label", F.coalesce("further", "label")).alias("component"))
-        new = stage_table(new, "labels")
-        if new.filter(F.col("before") != F.col("component")).isEmpty():
+        further = labels.select(F.col("v").alias("component"), F.col("component").alias("label"))
+        jumped = labels.join(further, "component").select(F.col("v").alias("u"), "label", F.col("component").alias("before"))
+        own = F.max(F.when(F.col("u") == F.col("v"), F.col("before")))
+        new = stage_table(edges.join(jumped, "u").groupBy("v").agg(F.min("label").alias("component"), own.alias("before")), "labels")
+        if new.filter("before <> component").isEmpty():
             return new.select("v", "component")
         labels = new.drop("before")

@@ -3,25 +3,26 @@
 Each of several independent trees sends a document down a path: at every node the document's least
 shingle, under a hash that depends on the path so far, chooses the branch. Two sets of similarity s
 go on together with probability s at each node, unrelated ones almost never. Rows of equal sets are
-joined first and walk the trees as one.
-
-Branching goes ``DEPTHS[0]`` levels down before anything is compared. In a node every document is
-compared with the node's hub, the one that meets most others over all trees; that joins large groups of
-copies without pairs among them. Then small nodes are compared exhaustively, documents of one component
-being spared comparison with each other. Nodes where that would be too much branch on to the next
-depth; the deepest are compared exhaustively whatever their size. Exhaustively means without missing a
-link, not that all pairs are looked up: sizes rule pairs out, so do the trees' first choices, and a document
-too far from the hub can only be linked with one that shares a shingle the hub lacks, by which it is
-found. What is left is confirmed on full sets.
-
-Chances of missing a pair at the threshold of 0.85: that it meets in no tree at depth 3,
-(1 - 0.85**3)**12 = 0.00001, at depth 5 (only in nodes too mixed to compare at 3) 0.0009; that it agrees in
-fewer than ``AGREE`` of 12 first choices, 0.000002. At 0.8 depth 3 misses 0.00018, depth 4 0.0018 (depth 5
-would miss 0.0085, so a join at 0.8 stops at 4), and the first choices 0.00006.
+joined first and walk the trees as one. A node of at most ``SMALL`` members is compared where it arises,
+a larger one is branched on, down to ``DEPTH``; there it is compared whatever its size.
+
+Comparing a node is exhaustive, but makes no pairs within groups of copies. Every member is compared with
+the node's hub, the one that meets most others over all trees, and a hub settles all its nodes at once. Two
+members x, y beside hub h are then told apart by what sets them off from it: with the symmetric differences
+D = x ^ h and E = y ^ h the sets x and y differ by |D| + |E| - 2 |D & E|, so a link needs |D & E| to reach a
+number that sizes alone give. Where that number is 0 the link is certain, and the member nearest to the hub has
+it too. Otherwise x and y must share one of the rarest elements of D and E, as many of each as can lie outside
+an overlap of that size; members of one component need no link among themselves. What is left is
+confirmed on full sets. Elements that many members share are met as stars around their least holder first,
+and pair by pair only between components that this leaves apart.
+
+Chances of missing a pair: at the threshold of 0.85 it meets in no tree at depth 3 with (1 - 0.85**3)**12 =
+0.00001, at 0.8 with 0.0002; in nodes that stay small on the way less. Nothing else loses a link.
 
 Nulls: a null text has an empty set and is linked with nothing; a row with a null doc_id is
 linked with nothing and kept. Rows that repeat a doc_id are one document: they share their links.
-An empty table gives no rows.
+Ties of hubs go to the smaller id. Very long texts are hashed one by one (``small_batches`` bounds what a
+worker holds). An empty table gives no rows. Other columns are ignored, and kept by ``keep_one_of_each``.
 """
 
 from __future__ import annotations
@@ -38,13 +39,13 @@ from lumenrank.llm.common import small_batches, stage_table
 from lumenrank.llm.components import components
 from lumenrank.llm.words import gram_hashes, mix, text_runs, word_hashes
 
-TREES, DEPTHS, SHINGLE = 12, (3, 5), 5
+TREES, DEPTH, SHINGLE = 12, 3, 5
 
-#: First choices (of TREES) that a pair must share to be looked up.
-AGREE = 4
+#: A node of so many members is not branched on.
+SMALL = 4
 
-#: A node is compared exhaustively when that takes so many comparisons or fewer, else it is split.
-NODE_PAIRS = 4_000
+#: Pairs of one hub that share a task, on average (a hub's set is sent once to each such task).
+SPREAD = 1_000
 
 _U = np.uint64
 
@@ -64,46 +65,40 @@ def shingle_sets(column: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
                 yield np.zeros(0, dtype=_U)
 
 
-def _paths(sets: list[np.ndarray], trees: int, depths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """(nodes of each set, trees x depths: hashes of the shingles chosen so far; 16 bits of each tree's first choice)."""
+def _paths(sets: list[np.ndarray], trees: int) -> np.ndarray:
+    """Nodes of each set, trees x DEPTH: hashes of the shingles chosen so far."""
     sizes = np.array([len(s) for s in sets])
-    out = np.zeros((len(sets), trees, len(depths)), dtype=_U)
-    firsts = np.zeros((len(sets), trees), dtype=np.int16)
+    out = np.zeros((len(sets), trees, DEPTH), dtype=_U)
     some = np.flatnonzero(sizes)
     if not len(some):
-        return out, firsts
+        return out
     flat = np.concatenate([sets[i] for i in some])
     starts = np.concatenate(([0], np.cumsum(sizes[some])[:-1]))
     for tree in range(trees):
         path = np.full(len(some), tree + 1, dtype=_U)
-        for depth in range(1, depths[-1] + 1):
-            seed = mix(path * _U(0x9E3779B97F4A7C15) + _U(depth))
+        for depth in range(DEPTH):
+            seed = mix(path * _U(0x9E3779B97F4A7C15) + _U(depth + 1))
             # mixing by an odd factor and a shift: the order it gives depends on the path
             x = (flat ^ np.repeat(seed, sizes[some])) * _U(0xD1342543DE82EF95)
             x ^= x >> _U(29)
             x *= _U(0xAF251AF3B0F025B5)
             path = mix(path + np.minimum.reduceat(x, starts))
-            if depth == 1:
-                firsts[some, tree] = (path & _U(0xFFFF)).astype(np.uint16).view(np.int16)
-            if depth in depths:
-                out[some, tree, depths.index(depth)] = path
-    return out, firsts
+            out[some, tree, depth] = path
+    return out
 
 
-_SIGNED = "doc_id long, n long, s1 long, s2 long, firsts array<short>, paths array<long>"
+_SIGNED = "doc_id long, n long, s1 long, s2 long, paths array<long>"
 
 
-def _signatures(trees: int, depths: tuple[int, ...]):
-    def listed(values: np.ndarray, each: int) -> pa.ListArray:
-        return pa.ListArray.from_arrays(np.arange(0, values.size + 1, each, dtype=np.int32), pa.array(values.ravel()))
-
+def _signatures(trees: int):
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             sets = list(shingle_sets(batch.column("text")))
             keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), dtype=np.int64).reshape(-1, 2) if sets else np.zeros((0, 2), np.int64)
-            paths, firsts = _paths(sets, trees, depths)
-            columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), listed(firsts, trees), listed(paths.view(np.int64), trees * len(depths))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "s1", "s2", "firsts", "paths"])
+            paths = _paths(sets, trees).view(np.int64).ravel()
+            ends = np.arange(0, len(paths) + 1, trees * DEPTH, dtype=np.int32)
+            columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.ListArray.from_arrays(ends, pa.array(paths))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "s1", "s2", "paths"])
 
     return run
 
@@ -113,36 +108,82 @@ def _packed_sets(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(batch.column("text"))], pa.binary())], names=["doc_id", "shingles"])
 
 
+def _set(value: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), dtype=_U)
+
+
 def _overlaps(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b and how many shingles they share."""
+    """The pair's columns and how many shingles the two share."""
     for batch in found:
         shared = []
         for a, b in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-            both = np.concatenate([np.frombuffer(s.as_buffer(), dtype=_U) for s in (a, b)])
+            both = np.concatenate((_set(a), _set(b)))
             both.sort()
             shared.append(int(np.count_nonzero(both[1:] == both[:-1])))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared, pa.int64())], names=["a", "b", "shared"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in "ab"), batch.column("n_a"), batch.column("n_b"), pa.array(shared, pa.int64())], names=["a", "b", "n_a", "n_b", "shared"])
 
 
-def _outside(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """hub, rep and each shingle of rep that the hub (set_a) does not have."""
+def _differences(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """hub, rep and the shingles that only one of them has."""
     for batch in found:
-        rows = [np.setdiff1d(*[np.frombuffer(s.as_buffer(), dtype=_U) for s in (own, hub)], assume_unique=True) for own, hub in zip(batch.column("set_b"), batch.column("set_a"), strict=True)]
-        at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        tokens = np.concatenate([*rows, np.zeros(0, dtype=_U)]).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(at)), batch.column("b").take(pa.array(at)), pa.array(tokens)], names=["hub", "rep", "token"])
+        rows = [np.setxor1d(_set(a), _set(b), assume_unique=True) for a, b in zip(batch.column("set_a"), batch.column("set_b"), strict=True)]
+        ends = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
+        tokens = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*rows, np.zeros(0, dtype=_U)]).view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), tokens], names=["hub", "rep", "tokens"])
+
+
+_PREFIXES = "hub long, token long, rep long, n long, d long, e long, component long, odd boolean, cross boolean, among boolean"
+
+
+def _prefixes(percent: int):
+    """The rarest elements of each member's difference from its hub: as many as can lie outside a link's overlap.
+
+    cross: with a member of the main component the overlap is least; among: with another odd one.
+    """
+    unit = 2 * (100 + percent)
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            out = {name: [] for name in ("at", "token", "cross", "among")}
+            d, e, odd = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("d", "e", "odd"))
+            low, least_main, least_odd = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("low", "least_main", "least_odd"))
+            for i, (tokens, often) in enumerate(zip(batch.column("tokens"), batch.column("often"), strict=True)):
+                own = tokens.values.to_numpy()
+                common = often.values.to_numpy() if often.is_valid else own[:0]
+                # rare ones by their hash, then common ones by their number
+                place = np.zeros(len(own), dtype=np.int64)
+                if len(common):
+                    by = np.argsort(common, kind="stable")
+                    at = np.minimum(np.searchsorted(common[by], own), len(common) - 1)
+                    place = np.where(common[by][at] == own, by[at] + 1, 0)
+                own = own[np.lexsort((own, place))]
+                # the overlap with a partner whose e is at least this
+                need = [max(1, -(-(int(e[i]) + int(max(low[i], least))) // unit)) for least in ((least_main[i] if odd[i] else least_odd[i]), least_odd[i])]
+                cross, among = (max(0, int(d[i]) - k + 1) for k in need)
+                among = among if odd[i] else 0
+                k = max(cross, among)
+                out["at"].append(np.full(k, i))
+                out["token"].append(own[:k])
+                out["cross"].append(np.arange(k) < cross)
+                out["among"].append(np.arange(k) < among)
+            at, token, cross, among = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out.values())
+            kept = batch.select(["hub", "rep", "n", "d", "e", "component", "odd"]).take(pa.array(at.astype(np.int64)))
+            columns = dict(zip(kept.schema.names, kept.columns, strict=True)) | {"token": pa.array(token.astype(np.int64)), "cross": pa.array(cross.astype(bool)), "among": pa.array(among.astype(bool))}
+            yield pa.RecordBatch.from_pydict({name.split()[0]: columns[name.split()[0]] for name in _PREFIXES.split(", ")})
+
+    return run
 
 
 class _Join:
-    """One similarity join: candidate pairs come depth by depth, links and components accumulate."""
+    """One similarity join: links and components accumulate."""
 
-    def __init__(self, docs: DataFrame, percent: int, trees: int, depths: tuple[int, ...]):
+    def __init__(self, docs: DataFrame, percent: int, trees: int):
         small_batches(docs.sparkSession)
-        self.percent, self.trees, self.depths = percent, trees, depths
+        self.percent, self.trees = percent, trees
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-        self.signed = stage_table(self.docs.mapInArrow(_signatures(trees, depths), _SIGNED), "signatures")
+        self.signed = stage_table(self.docs.mapInArrow(_signatures(trees), _SIGNED), "signatures")
         # one vertex for equal sets; empty sets stay out
-        classes = self.signed.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("firsts").alias("firsts"), F.first("paths").alias("paths"))
+        classes = self.signed.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("paths").alias("paths"))
         self.classes = stage_table(classes, "classes")
         self.sets: DataFrame | None = None
 
@@ -151,115 +192,142 @@ class _Join:
         reps = self.classes.select("s1", "s2", "rep")
         return own.join(reps, ["s1", "s2"]).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
 
-    def nodes(self, at: int, within: DataFrame | None) -> DataFrame:
-        """Members (rep, n, firsts, paths, tree, node, members) of the nodes at a depth that have two or more; below nodes of within."""
-        place = lambda tree: F.element_at("paths", tree * len(self.depths) + at + 1)
-        if within is None:
-            every = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), place(F.lit(t)).alias("node")) for t in range(self.trees)]))
-            rows = self.classes.withColumn("x", every).select("rep", "n", "firsts", "paths", "x.tree", "x.node")
-        else:
-            rows = within.withColumn("node", place(F.col("tree")))
-        shared = rows.groupBy("node").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-        return stage_table(rows.select("rep", "n", "firsts", "paths", "tree", "node").join(shared, "node"), f"nodes-{at}")
+    def nodes(self) -> DataFrame:
+        """node, rep, n, members of the nodes that are compared: small ones as they arise, all at the last depth."""
+        each = [F.struct(*[F.col("paths")[tree * DEPTH + k].alias(f"node_{k}") for k in range(DEPTH)]) for tree in range(self.trees)]
+        open_, done = self.classes.select("rep", "n", F.explode(F.array(*each)).alias("x")).select("rep", "n", "x.*"), None
+        for k in range(DEPTH):
+            here = F.col(f"node_{k}")
+            shared = open_.groupBy(here).agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+            placed = stage_table(open_.join(shared, f"node_{k}"), f"nodes-{k}")
+            settled = placed if k == DEPTH - 1 else placed.filter(F.col("members") <= SMALL)
+            settled = settled.select(here.alias("node"), "rep", "n", "members")
+            done = settled if done is None else done.unionByName(settled)
+            open_ = placed.filter(F.col("members") > SMALL).drop("members", f"node_{k}")
+        return done
 
     def feasible(self) -> Column:
         """Whether the sizes n_a and n_b allow a link."""
         return 100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")
 
-    def agree(self) -> Column:
-        """Whether the first choices f_a and f_b allow a link."""
-        same = F.zip_with("f_a", "f_b", lambda x, y: (x == y).cast("int"))
-        return F.aggregate(same, F.lit(0), lambda t, x: t + x) >= AGREE
-
     def with_sets(self, pairs: DataFrame) -> DataFrame:
+        """pairs (a, b, ...; a table) with set_a and set_b. A hub's set goes to several tasks, by a hash of b."""
+        lanes = max(16, pairs.count() // SPREAD)
+        dealt = pairs.withColumn("lane", F.pmod(F.xxhash64("b"), F.lit(lanes)))
         left = self.sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
         right = self.sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
-        return pairs.join(left, "a").join(right, "b")
+        heads = dealt.select("a", "lane").distinct().join(left, "a")
+        return dealt.join(right, "b").join(heads, ["a", "lane"])
 
     def judged(self, pairs: DataFrame, name: str) -> DataFrame:
-        """a, b, shared, linked of pairs (a, b, n_a, n_b), by their full sets, as a table."""
-        got = self.with_sets(pairs.select("a", "b").distinct()).mapInArrow(_overlaps, "a long, b long, shared long")
-        n = self.classes.select(F.col("rep"), F.col("n"))
-        got = got.join(n.withColumnsRenamed({"rep": "a", "n": "n_a"}), "a").join(n.withColumnsRenamed({"rep": "b", "n": "n_b"}), "b")
-        linked = 100 * F.col("shared") >= self.percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))
-        return stage_table(got.groupBy("a", "b").agg(F.max("shared").alias("shared"), F.max(linked).alias("linked")), name)
-
-    def settled(self, rows: DataFrame) -> DataFrame:
-        """Pairs (a, b) to look up in mixed nodes: of an odd document and one of another component.
-
-        rows: node, hub, rep, n, firsts, shared (with the hub), component, main. A link takes
-        percent / (100 + percent) of both sizes in common. Where one of the two shares less with the hub,
-        they must share a shingle that the hub lacks: such pairs are found by those shingles. A document whose
-        size rules out a link with the hub has no shared (null) and no such shingles: its pairs are looked up directly.
+        """a, b, n_a, n_b, shared, linked of distinct pairs (a, b, n_a, n_b), by their full sets, as a table."""
+        got = self.with_sets(stage_table(pairs.select("a", "b", "n_a", "n_b").distinct(), f"{name}-pairs")).mapInArrow(_overlaps, "a long, b long, n_a long, n_b long, shared long")
+        # rows that repeat a doc_id have several sets: the one that shares most counts
+        got = got.groupBy("a", "b", "n_a", "n_b").agg(F.max("shared").alias("shared"))
+        return stage_table(got.withColumn("linked", 100 * F.col("shared") >= self.percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))), name)
+
+    def beside_hubs(self, judged: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(members of hubs beside which several components lie, certain links among them).
+
+        Members: hub, rep, n, d (shingles that set it off from the hub), e, component, odd (not in the hub's main
+        component), low (what a partner's e is at least, by sizes alone), least_main, least_odd, size. Two members
+        x, y of one hub are linked where 2 (100 + percent) |D & E| >= e of x + e of y.
         """
-        odd = rows.filter("component <> main")
-        x = odd.select("node", F.col("rep").alias("x"), F.col("n").alias("n_a"), F.col("firsts").alias("f_a"), F.col("component").alias("c_x"), F.col("shared").alias("s_x"))
-        y = rows.select(F.col("node").alias("_node"), F.col("rep").alias("y"), F.col("n").alias("n_b"), F.col("firsts").alias("f_b"), F.col("component").alias("c_y"), F.col("shared").alias("s_y"))
-        # least skips nulls, so they are named: a pair with one of them is not found by shingles either
-        enough = F.col("s_x").isNull() | F.col("s_y").isNull() | ((100 + self.percent) * F.least("s_x", "s_y") >= self.percent * (F.col("n_a") + F.col("n_b")))
-        direct = x.join(y, (F.col("node") == F.col("_node")) & (F.col("c_x") != F.col("c_y")) & self.feasible() & enough)
-        direct = direct.filter(self.agree()).select("x", "y")
-        around = rows.filter("rep <> hub AND shared IS NOT NULL").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-        tokens = stage_table(self.with_sets(around).mapInArrow(_outside, "hub long, rep long, token long"), "outside")
-        marked = odd.select("hub", "rep").distinct()
-        mine = tokens.join(marked, ["hub", "rep"], "left_semi").withColumnRenamed("rep", "x")
-        shared = mine.join(tokens.withColumnRenamed("rep", "y"), ["hub", "token"]).filter("x <> y").select("x", "y").distinct()
-        known = rows.select("rep", "n", "firsts", "component").distinct()
-        shared = shared.join(known.withColumnsRenamed({"rep": "x", "n": "n_a", "firsts": "f_a", "component": "c_x"}), "x")
-        shared = shared.join(known.withColumnsRenamed({"rep": "y", "n": "n_b", "firsts": "f_b", "component": "c_y"}), "y")
-        shared = shared.filter((F.col("c_x") != F.col("c_y")) & self.feasible() & self.agree()).select("x", "y")
-        both = direct.unionByName(shared)
-        return stage_table(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+        p = self.percent
+        rows = judged.select(F.col("a").alias("hub"), F.col("b").alias("rep"), F.col("n_b").alias("n"), F.col("n_a").alias("n_hub"), (F.col("n_a") + F.col("n_b") - 2 * F.col("shared")).alias("d"))
+        rows = rows.join(labels.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        rows = rows.withColumn("e", (100 + p) * F.col("d") - (100 - p) * F.col("n"))
+        parts = rows.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("k"), F.min("e").alias("least"))
+        parts = stage_table(parts, "parts")
+        mains = parts.groupBy("hub").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("size"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
+        odd_least = F.min(F.when(F.col("component") != F.col("main"), F.col("least")))
+        bounds = parts.join(mains, "hub").groupBy("hub", "main", "size").agg(F.min(F.when(F.col("component") == F.col("main"), F.col("least"))).alias("least_main"), odd_least.alias("least_odd"))
+        small, large = F.ceil(F.lit(p) * F.col("n") / 100), F.floor(F.lit(100) * F.col("n") / p)
+        low = F.when(small > F.col("n_hub"), 2 * p * small - (100 + p) * F.col("n_hub")).when(large < F.col("n_hub"), (100 + p) * F.col("n_hub") - 200 * large).otherwise(-(100 - p) * F.col("n_hub"))
+        rows = stage_table(rows.withColumn("low", low).join(bounds, "hub").withColumn("odd", F.col("component") != F.col("main")).drop("main", "n_hub"), "beside")
+        nearest = rows.groupBy("hub").agg(F.min(F.struct("e", "rep", "component")).alias("y"))
+        sure = rows.join(nearest, "hub").filter((F.col("e") + F.col("y.e") <= 0) & (F.col("rep") != F.col("y.rep")) & (F.col("component") != F.col("y.component")))
+        return rows, sure.select(F.col("y.rep").alias("a"), F.col("rep").alias("b"))
+
+    def prefixes(self, rows: DataFrame) -> DataFrame:
+        """Elements by which members of a hub may find each other, as a table."""
+        pairs = stage_table(rows.select(F.col("hub").alias("a"), F.col("rep").alias("b")), "beside-pairs")
+        found = self.with_sets(pairs).mapInArrow(_differences, "hub long, rep long, tokens array<long>")
+        found = stage_table(rows.join(found, ["hub", "rep"]), "differences")
+        # common elements come last: those that more than the root of the members have, at most root x mean |D| of a hub
+        often = found.select("hub", "size", F.explode("tokens").alias("token")).groupBy("hub", "size", "token").agg(F.count(F.lit(1)).alias("k")).filter("k > 2 AND k * k > size")
+        often = often.groupBy("hub").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "token"))), lambda x: x["token"]).alias("often"))
+        lanes = max(16, pairs.count() // SPREAD)
+        found = found.withColumn("lane", F.pmod(F.xxhash64("rep"), F.lit(lanes)))
+        heads = found.select("hub", "lane").distinct().join(often, "hub")
+        return stage_table(found.join(heads, ["hub", "lane"], "left").mapInArrow(_prefixes(self.percent), _PREFIXES), "prefixes")
+
+    def possible(self) -> Column:
+        """Whether x and y, of different components, may be linked: by their sizes and differences."""
+        unit = 2 * (100 + self.percent)
+        return (F.col("c_x") != F.col("c_y")) & (F.col("e_x") + F.col("e_y") <= unit * F.least("d_x", "d_y")) & (100 * F.least("n_x", "n_y") >= self.percent * F.greatest("n_x", "n_y"))
+
+    def candidates(self, tokens: DataFrame) -> DataFrame:
+        """a, b, n_a, n_b of members of different components that share an element that they may find each other by."""
+
+        def side(s: str) -> DataFrame:
+            return tokens.select("hub", "token", *[F.col(c).alias(f"{k}_{s}") for k, c in zip("rndecoxa", ("rep", "n", "d", "e", "component", "odd", "cross", "among"), strict=True)])
+
+        cross = ~F.col("o_y") & F.col("x_x") & F.col("x_y")
+        among = F.col("o_y") & F.col("a_x") & F.col("a_y") & (F.col("r_x") < F.col("r_y"))
+        met = side("x").filter("o_x").join(side("y").withColumnsRenamed({"hub": "h", "token": "t"}), (F.col("hub") == F.col("h")) & (F.col("token") == F.col("t")) & self.possible() & (cross | among))
+        return _ordered(met)
+
+    def stars(self, tokens: DataFrame) -> DataFrame:
+        """Of each element, pairs of its least odd holder with the other odd ones: as many as there are holders."""
+        mine = tokens.filter("among").select("hub", "token", F.col("rep").alias("r_y"), *[F.col(c).alias(f"{k}_y") for k, c in zip("ndec", ("n", "d", "e", "component"), strict=True)])
+        first = mine.groupBy("hub", "token").agg(F.min(F.struct("r_y", "n_y", "d_y", "e_y", "c_y")).alias("x"))
+        met = mine.join(first, ["hub", "token"]).select("*", *[F.col(f"x.{k}_y").alias(f"{k}_x") for k in "rndec"]).filter(F.col("r_x") != F.col("r_y")).filter(self.possible())
+        return _ordered(met)
 
     def run(self) -> DataFrame:
         """doc_id (distinct), n_shingles, component."""
-        found, within = None, None
-        for at in range(len(self.depths)):
-            members = self.nodes(at, within)
-            if self.sets is None:
-                # texts are shuffled once, to get the sets of documents that share a node
-                ids = members.select(F.col("rep").alias("doc_id")).distinct()
-                self.sets = stage_table(self.docs.join(ids, "doc_id", "left_semi").mapInArrow(_packed_sets, "doc_id long, shingles binary"), "sets")
-            # the hub of a node: whoever meets most others over all trees
-            met = members.groupBy("rep").agg(F.sum("members").alias("met"))
-            placed = members.join(met, "rep")
-            hubs = placed.groupBy("node").agg(F.max_by(F.struct("rep", "n", "firsts"), F.struct("met", -F.col("rep"))).alias("hub"))
-            around = placed.join(hubs, "node")
-            stars = around.filter("rep <> hub.rep").select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"), F.col("hub.n").alias("n_a"), F.col("n").alias("n_b")).filter(self.feasible())
-            judged = self.judged(stage_table(stars.select("a", "b").distinct(), "stars"), "judged")
-            got = judged.filter("linked").select("a", "b")
-            found = got if found is None else found.unionByName(got)
-            # within a node, documents of its largest component need no comparison among themselves
+        members = self.nodes()
+        # texts are shuffled once, to get the sets of documents that share a node
+        ids = members.select(F.col("rep").alias("doc_id")).distinct()
+        self.sets = stage_table(self.docs.join(ids, "doc_id", "left_semi").mapInArrow(_packed_sets, "doc_id long, shingles binary"), "sets")
+        # the hub of a node: whoever meets most others over all trees
+        met = members.groupBy("rep").agg(F.sum("members").alias("met"))
+        placed = stage_table(members.join(met, "rep"), "placed")
+        hubs = placed.groupBy("node").agg(F.max(F.struct("met", -F.col("rep"), "rep", "n")).alias("hub"))
+        around = placed.join(hubs, "node").filter("rep <> hub.rep")
+        judged = self.judged(around.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"), F.col("hub.n").alias("n_a"), F.col("n").alias("n_b")), "hubs")
+        found = judged.filter("linked").select("a", "b")
+        rows, sure = self.beside_hubs(judged, components(found))
+        found = found.unionByName(sure)
+        tokens = self.prefixes(rows)
+        starred = self.judged(self.stars(tokens), "stars").filter("linked").select("a", "b")
+        if not starred.isEmpty():
+            found = found.unionByName(starred)
             labels = components(found)
-            named = around.select("node", F.col("hub.rep").alias("hub"), "rep", "n", "firsts", "paths", "tree")
-            named = named.join(labels.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-            named = stage_table(named, f"named-{at}")
-            parts = named.groupBy("node", "component").agg(F.count(F.lit(1)).alias("k"))
-            sizes = parts.groupBy("node").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("k"))
-            mixed = sizes.filter("all > k").withColumn("small", (F.col("all") - F.col("k")) * F.col("all") <= NODE_PAIRS)
-            last = at == len(self.depths) - 1
-            seen = judged.select(F.col("a").alias("hub"), F.col("b").alias("rep"), "shared")
-            open_nodes = named.join(mixed.select("node", "main", "small"), "node").join(seen, ["hub", "rep"], "left")
-            open_nodes = stage_table(open_nodes.withColumn("shared", F.when(F.col("rep") == F.col("hub"), F.col("n")).otherwise(F.col("shared"))), f"mixed-{at}")
-            settle = open_nodes if last else open_nodes.filter("small")
-            found = found.unionByName(self.judged(self.settled(settle), "links").filter("linked").select("a", "b"))
-            within = open_nodes.filter("NOT small").select("rep", "n", "firsts", "paths", "tree")
-            if last or within.isEmpty():
-                break
+            tokens = tokens.drop("component").join(labels.select(F.col("v").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        found = found.unionByName(self.judged(self.candidates(tokens), "links").filter("linked").select("a", "b"))
         labels = components(self.same_sets().unionByName(found))
         sizes = self.signed.groupBy("doc_id").agg(F.max("n").alias("n_shingles"))
         return sizes.join(labels.withColumnRenamed("v", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
 
 
-def near_duplicate_classes(docs: DataFrame, percent: int = 85, trees: int = TREES, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
+def _ordered(met: DataFrame) -> DataFrame:
+    """a, b, n_a, n_b with a < b, of pairs r_x, r_y."""
+    first = F.col("r_x") < F.col("r_y")
+    columns = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(name) for name, x, y in (("a", "r_x", "r_y"), ("b", "r_y", "r_x"), ("n_a", "n_x", "n_y"), ("n_b", "n_y", "n_x"))]
+    return met.select(*columns).distinct()
+
+
+def near_duplicate_classes(docs: DataFrame, percent: int = 85, trees: int = TREES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each distinct doc_id, and one for each null."""
-    found = _Join(docs, percent, trees, depths).run()
+    found = _Join(docs, percent, trees).run()
     named = found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
-    nulls = docs.filter("doc_id IS NULL").select(F.lit(None).cast("long").alias("doc_id"), "text").mapInArrow(_signatures(1, (1,)), _SIGNED)
+    nulls = docs.filter("doc_id IS NULL").select(F.lit(None).cast("long").alias("doc_id"), "text").mapInArrow(_signatures(1), _SIGNED)
     return named.unionByName(nulls.select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept")))
 
 
-def keep_one_of_each(docs: DataFrame, percent: int = 85, trees: int = TREES, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, percent: int = 85, trees: int = TREES) -> DataFrame:
     """docs without the documents whose component has a smaller id; columns as they are."""
-    lost = near_duplicate_classes(docs, percent, trees, depths).filter("NOT kept").select("doc_id")
+    lost = near_duplicate_classes(docs, percent, trees).filter("NOT kept").select("doc_id")
     return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)

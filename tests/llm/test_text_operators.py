@@ -91,7 +91,7 @@ def test_substring_dedup_of_random_words(spark):
     assert sorted(map(tuple, repeats_digest(df).collect())) == want
 
 
-def exact_components(rows):
+def exact_components(rows, percent=85):
     sets = {}
     for d, t in rows:
         w = WORD.findall((t or "").translate(LOWER))
@@ -106,9 +106,9 @@ def exact_components(rows):
     ids = [(d, s) for d, ss in sets.items() for s in ss if s and d is not None]
     for k, (a, x) in enumerate(ids):
         for b, y in ids[:k]:
-            if a != b and 100 * min(len(x), len(y)) >= 85 * max(len(x), len(y)):
+            if a != b and 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
                 both = len(x & y)
-                if 100 * both >= 85 * (len(x) + len(y) - both):
+                if 100 * both >= percent * (len(x) + len(y) - both):
                     p, q = root(a), root(b)
                     up[max(p, q)] = min(p, q)
     return {d: (max(map(len, ss)), root(d)) for d, ss in sets.items() if d is not None}
@@ -164,6 +164,28 @@ def test_near_duplicates_beside_the_hub(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_near_duplicates_of_copies_of_copies(spark, percent):
+    """Edits pile up from copy to copy, so families lie just within and just beyond the threshold of a common hub."""
+    rng, rows = random.Random(percent), []
+    for g in range(3):
+        texts = [[f"t{g}_{rng.randrange(90)}" for _ in range(rng.choice((60, 150, 400)))]]
+        for _ in range(90):
+            w = list(rng.choice(texts))
+            for _ in range(rng.randint(1, 3)):
+                at = rng.randrange(len(w))
+                if rng.random() < 0.2:
+                    w[at : at + 12] = []
+                else:
+                    w[at] = f"t{g}_{rng.randrange(90)}" if rng.random() < 0.7 else f"edit{rng.randrange(4)}"
+            texts.append(w)
+        rows += [(len(rows) + i, " ".join(w)) for i, w in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicate_classes(df, percent=percent).collect()}
+    want = exact_components(rows, percent)
+    assert got == want and len({c for _, c in want.values()}) > 10
+
+
 def test_near_dedup_stage_takes_out_copies_from_80_percent_on(spark):
     """Pairs of similarity 0.82 (490 of 600 shingles) lose one document, pairs of 0.78 (490 of 628) none."""
     from corpus_pipeline import near_dedup
