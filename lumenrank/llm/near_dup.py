@@ -12,9 +12,10 @@ members x, y beside hub h are then told apart by what sets them off from it: wit
 D = x ^ h and E = y ^ h the sets x and y differ by |D| + |E| - 2 |D & E|, so a link needs |D & E| to reach a
 number that sizes alone give. Where that number is 0 the link is certain, and the member nearest to the hub has
 it too. Otherwise x and y must share one of the rarest elements of D and E, as many of each as can lie outside
-an overlap of that size; members of one component need no link among themselves. What is left is
-confirmed on full sets. Elements that many members share are met as stars around their least holder first,
-and pair by pair only between components that this leaves apart.
+an overlap of that size (fewer for the member nearer to the hub), and at the first that they share enough of both must
+follow; members of one component need no link among themselves. What is left is confirmed on full sets.
+Elements that many odd members share are met as stars around their least holder first, and pair by pair only between
+components that this leaves apart.
 
 Chances of missing a pair: at the threshold of 0.85 it meets in no tree at depth 3 with (1 - 0.85**3)**12 =
 0.00001, at 0.8 with 0.0002; in nodes that stay small on the way less. Nothing else loses a link.
@@ -132,21 +133,21 @@ def _differences(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), tokens], names=["hub", "rep", "tokens"])
 
 
-_PREFIXES = "hub long, token long, rep long, n long, d long, e long, component long, odd boolean, cross boolean, among boolean"
+_PREFIXES = "hub long, token long, rep long, n long, d long, e long, component long, odd boolean, low boolean, left long"
 
 
 def _prefixes(percent: int):
     """The rarest elements of each member's difference from its hub: as many as can lie outside a link's overlap.
 
-    cross: with a member of the main component the overlap is least; among: with another odd one.
+    low: those that are enough where the partner's e is as large or larger. left: elements from this one on, which bound
+    the overlap of a pair whose first common element it is.
     """
     unit = 2 * (100 + percent)
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            out = {name: [] for name in ("at", "token", "cross", "among")}
-            d, e, odd = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("d", "e", "odd"))
-            low, least_main, least_odd = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("low", "least_main", "least_odd"))
+            out = {name: [] for name in ("at", "token", "low", "left")}
+            d, e, least = (batch.column(c).to_numpy() for c in ("d", "e", "least"))
             for i, (tokens, often) in enumerate(zip(batch.column("tokens"), batch.column("often"), strict=True)):
                 own = tokens.values.to_numpy()
                 common = often.values.to_numpy() if often.is_valid else own[:0]
@@ -158,17 +159,14 @@ def _prefixes(percent: int):
                     place = np.where(common[by][at] == own, by[at] + 1, 0)
                 own = own[np.lexsort((own, place))]
                 # the overlap with a partner whose e is at least this
-                need = [max(1, -(-(int(e[i]) + int(max(low[i], least))) // unit)) for least in ((least_main[i] if odd[i] else least_odd[i]), least_odd[i])]
-                cross, among = (max(0, int(d[i]) - k + 1) for k in need)
-                among = among if odd[i] else 0
-                k = max(cross, among)
-                out["at"].append(np.full(k, i))
-                out["token"].append(own[:k])
-                out["cross"].append(np.arange(k) < cross)
-                out["among"].append(np.arange(k) < among)
-            at, token, cross, among = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out.values())
+                low, high = (max(0, int(d[i]) - max(1, -(-(int(e[i]) + other) // unit)) + 1) for other in (int(e[i]), min(int(e[i]), int(least[i]))))
+                out["at"].append(np.full(high, i))
+                out["token"].append(own[:high])
+                out["low"].append(np.arange(high) < low)
+                out["left"].append(int(d[i]) - np.arange(high))
+            at, token, low, left = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out.values())
             kept = batch.select(["hub", "rep", "n", "d", "e", "component", "odd"]).take(pa.array(at.astype(np.int64)))
-            columns = dict(zip(kept.schema.names, kept.columns, strict=True)) | {"token": pa.array(token.astype(np.int64)), "cross": pa.array(cross.astype(bool)), "among": pa.array(among.astype(bool))}
+            columns = dict(zip(kept.schema.names, kept.columns, strict=True)) | {"token": pa.array(token.astype(np.int64)), "low": pa.array(low.astype(bool)), "left": pa.array(left.astype(np.int64))}
             yield pa.RecordBatch.from_pydict({name.split()[0]: columns[name.split()[0]] for name in _PREFIXES.split(", ")})
 
     return run
@@ -230,21 +228,24 @@ class _Join:
         """(members of hubs beside which several components lie, certain links among them).
 
         Members: hub, rep, n, d (shingles that set it off from the hub), e, component, odd (not in the hub's main
-        component), low (what a partner's e is at least, by sizes alone), least_main, least_odd, size. Two members
-        x, y of one hub are linked where 2 (100 + percent) |D & E| >= e of x + e of y.
+        component), least (what the e of a partner is at least), size (members). Two members x, y of one hub are linked
+        where 2 (100 + percent) |D & E| >= e of x + e of y.
         """
         p = self.percent
         rows = judged.select(F.col("a").alias("hub"), F.col("b").alias("rep"), F.col("n_b").alias("n"), F.col("n_a").alias("n_hub"), (F.col("n_a") + F.col("n_b") - 2 * F.col("shared")).alias("d"))
         rows = rows.join(labels.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         rows = rows.withColumn("e", (100 + p) * F.col("d") - (100 - p) * F.col("n"))
-        parts = rows.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("k"), F.min("e").alias("least"))
-        parts = stage_table(parts, "parts")
-        mains = parts.groupBy("hub").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("size"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
-        odd_least = F.min(F.when(F.col("component") != F.col("main"), F.col("least")))
-        bounds = parts.join(mains, "hub").groupBy("hub", "main", "size").agg(F.min(F.when(F.col("component") == F.col("main"), F.col("least"))).alias("least_main"), odd_least.alias("least_odd"))
+        parts = stage_table(rows.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("k"), F.min("e").alias("e")), "parts")
+        mains = parts.groupBy("hub").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("size"), F.min("e").alias("least_all"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
+        odd_least = F.min(F.when(F.col("component") != F.col("main"), F.col("e")))
+        bounds = parts.join(mains, "hub").groupBy("hub", "main", "size", "least_all").agg(odd_least.alias("least_odd"))
+        # by sizes alone, d is at least the difference from the hub; by the triangle inequality, partners differ from it about alike
         small, large = F.ceil(F.lit(p) * F.col("n") / 100), F.floor(F.lit(100) * F.col("n") / p)
-        low = F.when(small > F.col("n_hub"), 2 * p * small - (100 + p) * F.col("n_hub")).when(large < F.col("n_hub"), (100 + p) * F.col("n_hub") - 200 * large).otherwise(-(100 - p) * F.col("n_hub"))
-        rows = stage_table(rows.withColumn("low", low).join(bounds, "hub").withColumn("odd", F.col("component") != F.col("main")).drop("main", "n_hub"), "beside")
+        by_size = F.when(small > F.col("n_hub"), 2 * p * small - (100 + p) * F.col("n_hub")).when(large < F.col("n_hub"), (100 + p) * F.col("n_hub") - 200 * large).otherwise(-(100 - p) * F.col("n_hub"))
+        odd = F.col("component") != F.col("main")
+        least = F.greatest(by_size, F.col("e") - 2 * (100 - p) * large, F.when(odd, F.col("least_all")).otherwise(F.col("least_odd")))
+        rows = rows.join(bounds, "hub").withColumn("odd", odd).withColumn("least", least)
+        rows = stage_table(rows.select("hub", "rep", "n", "d", "e", "component", "odd", "least", "size"), "beside")
         nearest = rows.groupBy("hub").agg(F.min(F.struct("e", "rep", "component")).alias("y"))
         sure = rows.join(nearest, "hub").filter((F.col("e") + F.col("y.e") <= 0) & (F.col("rep") != F.col("y.rep")) & (F.col("component") != F.col("y.component")))
         return rows, sure.select(F.col("y.rep").alias("a"), F.col("rep").alias("b"))
@@ -268,19 +269,25 @@ class _Join:
         return (F.col("c_x") != F.col("c_y")) & (F.col("e_x") + F.col("e_y") <= unit * F.least("d_x", "d_y")) & (100 * F.least("n_x", "n_y") >= self.percent * F.greatest("n_x", "n_y"))
 
     def candidates(self, tokens: DataFrame) -> DataFrame:
-        """a, b, n_a, n_b of members of different components that share an element that they may find each other by."""
+        """a, b, n_a, n_b of members of different components that share an element that they may find each other by.
+
+        x is the one with the larger e. Members of the main component need not meet each other.
+        """
 
         def side(s: str) -> DataFrame:
-            return tokens.select("hub", "token", *[F.col(c).alias(f"{k}_{s}") for k, c in zip("rndecoxa", ("rep", "n", "d", "e", "component", "odd", "cross", "among"), strict=True)])
+            return tokens.select("hub", "token", "low", "odd", *[F.col(c).alias(f"{k}_{s}") for k, c in zip("rndecl", ("rep", "n", "d", "e", "component", "left"), strict=True)])
 
-        cross = ~F.col("o_y") & F.col("x_x") & F.col("x_y")
-        among = F.col("o_y") & F.col("a_x") & F.col("a_y") & (F.col("r_x") < F.col("r_y"))
-        met = side("x").filter("o_x").join(side("y").withColumnsRenamed({"hub": "h", "token": "t"}), (F.col("hub") == F.col("h")) & (F.col("token") == F.col("t")) & self.possible() & (cross | among))
-        return _ordered(met)
+        x, low = side("x"), side("y").filter("low").withColumnsRenamed({"hub": "h", "token": "t"})
+        above = (F.col("e_x") > F.col("e_y")) | (F.col("e_x") == F.col("e_y")) & (F.col("r_x") > F.col("r_y"))
+        # a linked pair meets this bound at its first common element
+        reach = F.col("e_x") + F.col("e_y") <= 2 * (100 + self.percent) * F.least("l_x", "l_y")
+        met = (F.col("hub") == F.col("h")) & (F.col("token") == F.col("t")) & above & reach & self.possible()
+        found = [_ordered(x.filter(a).drop("low", "odd").join(low.filter(b).drop("low", "odd"), met)) for a, b in (("odd", "true"), ("NOT odd", "odd"))]
+        return found[0].unionByName(found[1])
 
     def stars(self, tokens: DataFrame) -> DataFrame:
         """Of each element, pairs of its least odd holder with the other odd ones: as many as there are holders."""
-        mine = tokens.filter("among").select("hub", "token", F.col("rep").alias("r_y"), *[F.col(c).alias(f"{k}_y") for k, c in zip("ndec", ("n", "d", "e", "component"), strict=True)])
+        mine = tokens.filter("odd").select("hub", "token", F.col("rep").alias("r_y"), *[F.col(c).alias(f"{k}_y") for k, c in zip("ndec", ("n", "d", "e", "component"), strict=True)])
         first = mine.groupBy("hub", "token").agg(F.min(F.struct("r_y", "n_y", "d_y", "e_y", "c_y")).alias("x"))
         met = mine.join(first, ["hub", "token"]).select("*", *[F.col(f"x.{k}_y").alias(f"{k}_x") for k in "rndec"]).filter(F.col("r_x") != F.col("r_y")).filter(self.possible())
         return _ordered(met)
