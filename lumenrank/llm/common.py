@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenrank.plans.stages import cut as stage_table
+from lumenrank.plans.stages import new_path
+
+__all__ = ["TEXT_BATCH_ROWS", "WORD_PATTERN", "documents", "free_names", "new_path", "small_batches", "stage_table", "word_count"]
+
 #: Rows in one Arrow batch of texts; a batch of the longest documents must fit in a Python worker.
 TEXT_BATCH_ROWS = 512
 
@@ -20,31 +22,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by rows, unless the session already has a smaller bound."""
+    """Bound Arrow batches by rows, unless the session already has a smaller bound.
+
+    The bound is a setting of the session that Spark reads when a plan runs, so it stays set. Spark bounds a batch by
+    bytes too (spark.sql.execution.arrow.maxBytesPerBatch).
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > TEXT_BATCH_ROWS:
         spark.conf.set(key, str(TEXT_BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        found = tempfile.mkdtemp(prefix="lumenrank-")
-        spark.sparkContext.setCheckpointDir(found)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found
-
-
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage is cut, lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """Names like those wanted that no column has, whatever its case."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 def word_count(text: Column) -> Column:

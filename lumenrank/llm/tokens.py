@@ -76,6 +76,8 @@ class WordLevel:
         from tokenizers import Tokenizer
 
         self._coder = Tokenizer.from_file(path)
+        self._model = self._coder.model
+        self._letters = {b: c for c, b in _byte_alphabet().items()}
         self._special = tuple(t.content for t in self._coder.get_added_tokens_decoder().values())
         self._pieces = _Pieces(self._piece)
 
@@ -85,6 +87,8 @@ class WordLevel:
     def _piece(self, piece: str) -> bytes:
         if len(piece) > 1 and piece[-1] in ".," and piece[-2].isalpha() and piece[-2] < "\u0130":
             return self._pieces[piece[:-1]] + self._pieces[piece[-1]]
+        if piece.isalpha() and piece.islower() and max(piece) < "\u0130":  # nothing to normalise or to cut
+            return np.array([t.id for t in self._model.tokenize("".join(map(self._letters.__getitem__, piece.encode())))], dtype="<u4").tobytes()
         return self._whole(piece) if piece else b""
 
     def ids(self, text: str) -> bytes:
