@@ -3,18 +3,20 @@
 A k-mer of code points is an anchor if its least s-mer (under a hash) is its first or its last one.
 Whether it is depends on the k-mer alone, so an edit changes only the anchors that touch it, and
 equal passages have equal anchors wherever they lie. A fingerprint is the ``SKETCH`` least distinct
-anchor hashes, in hexadecimal; likeness estimates the share of common anchors of two texts from the
-least hashes of both.
+anchor hashes with the place of their first occurrence, in hexadecimal. Likeness is positional: of the least
+anchors of two texts, it is the share that both have in the same order (the longest chain that rises in both).
 
 Nulls: a null text is the empty text, whose fingerprint is empty; two empty fingerprints have
 likeness 1, an empty and another one 0. A text shorter than a k-mer has one anchor, itself. A null
 doc_id comes after all others in descending order; rows that repeat a doc_id follow by text. An empty
-table gives no rows. Other columns are ignored.
+table gives no rows. Very long texts are hashed one by one; a text must fit in a Python worker. Other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,25 +70,39 @@ def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(text: str) -> np.ndarray:
-    """The least distinct 32-bit anchor hashes of a text, ascending."""
-    hashes = (anchors(text)[1] >> _U(32)).astype(np.uint32)
+    """The least distinct 32-bit anchor hashes of a text, ascending, and the place of each (its first): rows of two."""
+    at, hashes = anchors(text)
+    hashes = (hashes >> _U(32)).astype(np.uint32)
     if len(hashes) > 4 * SKETCH:
-        few = np.unique(np.partition(hashes, 2 * SKETCH)[: 2 * SKETCH])
-        if len(few) >= SKETCH:
-            return few[:SKETCH]
-    return np.unique(hashes)[:SKETCH]
+        few = hashes <= np.partition(hashes, 2 * SKETCH)[2 * SKETCH]
+        if len(np.unique(hashes[few])) >= SKETCH:
+            at, hashes = at[few], hashes[few]
+    least, first = np.unique(hashes, return_index=True)
+    return np.column_stack((least[:SKETCH], at[first[:SKETCH]].astype(np.uint32)))
 
 
 def fingerprint(least: np.ndarray) -> str:
     return least.astype(">u4").tobytes().hex()
 
 
+def chain(places: np.ndarray) -> int:
+    """The length of the longest strictly rising chain of pairs of places."""
+    tails: list[int] = []
+    # equal first places fall in the second, so that a chain takes one of them
+    for y in places[np.lexsort((-places[:, 1], places[:, 0])), 1].tolist():
+        k = bisect_left(tails, y)
+        tails[k : k + 1] = [y]
+    return len(tails)
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of common anchors among the least of both."""
+    """Share of the least anchors of both that lie in the same order in both."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    union = np.union1d(a, b)[:SKETCH]
-    return float(np.isin(union, a, assume_unique=True)[np.isin(union, b, assume_unique=True)].sum()) / len(union)
+    union = np.union1d(a[:, 0], b[:, 0])[:SKETCH]
+    common, at, to = np.intersect1d(a[:, 0], b[:, 0], assume_unique=True, return_indices=True)
+    near = common <= union[-1]
+    return chain(np.column_stack((a[at[near], 1], b[to[near], 1])).astype(np.int64)) / len(union)
 
 
 def match_positions(a: str, b: str) -> list[tuple[int, int]]:
