@@ -8,7 +8,8 @@ What comes back is a compressed bitmap of dropped lines for the documents that l
 
 Nulls: a null text is one empty line; a null doc_id counts as one document after all others.
 Keys are only compared where they have ``min_chars`` code points or more. Rows that repeat a doc_id
-are one document, told apart by their text for positions. An empty table gives no rows.
+are one document, told apart by their text for positions. Lines of very long texts are keyed in Spark; a text itself
+must fit in a Python worker. An empty table gives no rows. Other columns, whatever their names, are kept.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenrank.llm.common import small_batches
+from lumenrank.llm.common import free_names, small_batches
 from lumenrank.llm.first_seen import LAST_DOC, rows_after_first
 
 _SPACE = " \t\n\x0b\x0c\r"
@@ -74,34 +75,43 @@ def read_bitmap(packed: bytes | None, n: int) -> np.ndarray:
     return bits
 
 
-def keep_first_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
-    """docs with text cut to its kept lines, and n_lines (before) and n_dropped; other columns as they are."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    held = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    lost = dropped_lines(docs, min_chars)
-    keyed = docs.select(*held).withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_DOC))).withColumn("_tag", _tag())
-    both = keyed.join(lost.select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), F.col("dropped").alias("_dropped")), ["_doc", "_tag"], "left").drop("_doc", "_tag")
+def _kept(docs: DataFrame, min_chars: int, counted: bool) -> DataFrame:
+    """docs with text cut to its kept lines; counted: with two more columns, its lines before and those dropped."""
+    small_batches(docs.sparkSession)
+    held = docs.columns
+    doc, tag, dropped, n_lines, n_dropped = free_names(held, "doc", "tag", "dropped", "n_lines", "n_dropped")
+    lost = dropped_lines(docs, min_chars).select(F.col("doc").alias(doc), F.col("tag").alias(tag), F.col("dropped").alias(dropped))
+    keyed = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_DOC)), tag: _tag()})
+    both = keyed.join(lost, [doc, tag], "left").drop(doc, tag)
 
     def keep(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             texts, total, gone = [], [], []
-            for text, packed in zip(batch.column("text").to_pylist(), batch.column("_dropped").to_pylist(), strict=True):
-                lines = (text or "").split("\n")
-                bits = read_bitmap(packed, len(lines))
-                texts.append("\n".join(x for x, d in zip(lines, bits, strict=True) if not d) if packed else text)
-                total.append(len(lines))
-                gone.append(int(bits.sum()))
+            for text, packed in zip(batch.column("text").to_pylist(), batch.column(dropped).to_pylist(), strict=True):
+                if packed:
+                    lines = text.split("\n")
+                    bits = read_bitmap(packed, len(lines))
+                    text = "\n".join(x for x, d in zip(lines, bits, strict=True) if not d)
+                    total.append(len(lines))
+                    gone.append(int(bits.sum()))
+                else:
+                    total.append((text or "").count("\n") + 1)
+                    gone.append(0)
+                texts.append(text)
             columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in held]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=[*held, "n_lines", "n_dropped"])
+            more = [pa.array(total, pa.int64()), pa.array(gone, pa.int64())] if counted else []
+            yield pa.RecordBatch.from_arrays([*columns, *more], names=[*held, *([n_lines, n_dropped] if counted else [])])
+
+    more = [T.StructField(n_lines, T.LongType()), T.StructField(n_dropped, T.LongType())] if counted else []
+    return both.mapInArrow(keep, T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in held), *more]))
+
 
-    fields = [T.StructField(c, docs.schema[c].dataType) for c in held]
-    return both.mapInArrow(keep, T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]))
+def keep_first_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
+    """docs with text cut to its kept lines; other columns as they are."""
+    return _kept(docs, min_chars, counted=False)
 
 
 def line_dedup_digest(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of each document."""
-    kept = keep_first_lines(docs.select("doc_id", "text"), min_chars)
+    kept = _kept(docs.select("doc_id", "text"), min_chars, counted=True)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
-
-

@@ -7,7 +7,8 @@ source's threshold: nothing is sorted, reruns agree, and a larger budget takes a
 
 Nulls: a null text has size 0; a null source is a source of its own, last in order; a null doc_id
 hashes as the empty string. Rows that repeat a doc_id of a source are taken together. An empty table
-gives no rows. Other columns are ignored by ``mix_sources`` and kept by ``take_mix``.
+gives no rows. Very long texts are only counted, in Spark. Other columns, whatever their names, are ignored by
+``mix_sources`` and kept by ``take_mix``.
 """
 
 from __future__ import annotations
@@ -117,7 +118,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), s
 def take_mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """The documents of the mix: each as often as it is taken, with the columns of docs. Texts are not shuffled."""
     limits, small = mix_limits(_sized(docs), weights, share, most)
-    limits = limits.select("source", F.col("whole").alias("_whole"), F.col("threshold").alias("_threshold"))
-    both = _join_sources(docs.withColumn("_h", mix_hash(F.col("doc_id"))), limits, small)
-    times = F.col("_whole") + F.when(F.col("_whole") >= int(most), 0).otherwise((F.col("_h") <= F.col("_threshold")).cast("long"))
-    return both.withColumn("_times", times).filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*docs.columns)
+    # the row travels as one column, so that its own names clash with nothing
+    held = docs.select(F.struct("*").alias("row"), F.col("source").alias("source"), mix_hash(F.col("doc_id")).alias("h"))
+    times = _join_sources(held, limits.select("source", "whole", "threshold"), small).withColumn("times", _repeats(most)).filter("times > 0")
+    return times.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy")).select("row.*")

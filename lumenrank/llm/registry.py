@@ -42,7 +42,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(documents(spark, sf_dir), weights=(5.0, 2.0, 1.0), share=1.5, most=2.0)
-    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +89,7 @@ whole AS (
 parts AS (SELECT *, target - whole * source_size AS rest FROM whole),
 hashes AS (SELECT source, h, sum(size) AS n FROM sized GROUP BY source, h),
 running AS (SELECT source, h, n, sum(n) OVER (PARTITION BY source ORDER BY h) AS upto FROM hashes)
-SELECT s.doc_id, s.size, p.source_size, round(p.target, 6) AS target,
+SELECT s.doc_id, s.size, p.source_size, p.target,
   CAST(s.size * (p.whole + CASE WHEN p.whole < 2 AND (r.upto <= p.rest OR (r.upto - r.n <= p.rest AND r.upto - p.rest < p.rest - (r.upto - r.n))) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM sized s JOIN parts p ON s.source IS NOT DISTINCT FROM p.source JOIN running r ON s.source IS NOT DISTINCT FROM r.source AND s.h = r.h
 """
