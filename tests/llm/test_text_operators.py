@@ -17,8 +17,8 @@ from lumenrank.llm.mixing import mix_hash, mix_sources, take_mix
 from lumenrank.llm.near_dup import keep_one_of_each, near_duplicate_classes
 from lumenrank.llm.substring import repeats_digest
 from lumenrank.llm.suffix_automaton import SuffixAutomaton, remove_reference_spans
-from lumenrank.llm.syncmers import anchors, compare_with_edits, fingerprint, likeness, match_positions, sketch
-from lumenrank.llm.words import gram_hashes, text_runs, word_hashes
+from lumenrank.llm.syncmers import K, S, _smers, anchors, compare_with_edits, likeness, match_positions, sketch
+from lumenrank.llm.words import gram_hashes, mix, text_runs, word_hashes
 
 SF = "/root/testdata/sf0.001"
 LAST = 1 << 70
@@ -52,7 +52,23 @@ def test_line_dedup(spark, odd, none, which):
         kept = [x for x in lines if len(strip(x)) < 10 or first[strip(x)] == (LAST - 1 if d is None else d)]
         want.append((d, len(lines), len(lines) - len(kept), sha("\n".join(kept))))
     assert sorted(map(tuple, line_dedup_digest(df).collect()), key=key) == sorted(want, key=key)
-    assert set(df.columns) <= set(keep_first_lines(df).columns)
+    assert keep_first_lines(df).columns == df.columns
+
+
+CLASHING = ("_doc", "_tag", "_dropped", "doc", "tag", "dropped", "n_lines", "n_dropped", "N_lines_", "_source", "_whole", "_threshold", "whole", "threshold", "h", "_h", "times", "_times", "copy", "_copy", "row", "target", "source_size")
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns named as anything inside the operators come back as they were."""
+    text = "the same long line\nand one of its own"
+    rows = [(d, f"{text} {d}", f"s{d % 2}", *[f"{c}{d}" for c in CLASHING]) for d in range(6)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "source", *CLASHING])
+    for stage in (keep_first_lines, take_mix, keep_one_of_each):
+        got = stage(df)
+        assert got.columns == df.columns
+        own = {tuple(r)[3:] for r in got.collect()}
+        assert own and own <= {r[3:] for r in rows}, stage
+    assert {r.text for r in keep_first_lines(df).collect()} == {f"{text} 0", *(f"and one of its own {d}" for d in range(1, 6))}
 
 
 @pytest.mark.parametrize("which", ["odd", "small", "none"])
@@ -206,16 +222,50 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).isEmpty()
 
 
+def plain_sketch(text):
+    """{hash: first place} of the 64 least closed syncmers, k-mer by k-mer, from the hashes of single s-mers."""
+    mask = (1 << 64) - 1
+
+    def mixed(x):
+        return int(mix(np.array([x & mask], dtype=np.uint64))[0]) >> 32
+
+    if len(text) < K:
+        total = len(text)
+        for c in text:
+            total = total * 0x9E3779B97F4A7C15 + ord(c) & mask
+        return {mixed(total): 0} if text else {}
+    smer = lambda i: int(_smers(np.array([ord(c) for c in text[i : i + S]], dtype=np.uint64))[0])
+    hashes, found = [smer(i) for i in range(len(text) - S + 1)], {}
+    for i in range(len(text) - K + 1):
+        inner = hashes[i : i + K - S + 1]
+        if min(inner) in (inner[0], inner[-1]):
+            found.setdefault(mixed(inner[0] * 3 + inner[(K - S) // 2] * 0xC2B2AE3D27D4EB4F + inner[-1] * 0x9E3779B97F4A7C15), i)
+    return dict(sorted(found.items())[:64])
+
+
+def plain_likeness(a, b):
+    if not a or not b:
+        return float(a == b)
+    union = sorted({*a, *b})[:64]
+    places = [(a[h], b[h]) for h in union if h in a and h in b]
+    best = {}
+    for p in sorted(places):
+        best[p] = 1 + max((n for q, n in best.items() if q[0] < p[0] and q[1] < p[1]), default=0)
+    return max(best.values(), default=0) / len(union)
+
+
 @pytest.mark.parametrize("which", ["odd", "small", "none"])
 def test_fingerprints(spark, odd, none, which):
-    df = {"odd": odd, "none": none}.get(which) or small(spark)
+    df = {"odd": odd, "none": none}.get(which) or small(spark).filter("n_chars < 4000")
     rows = sorted(((d, t or "") for d, t in rows_of(df)), key=lambda r: (-r[0] if r[0] is not None else LAST, r[1]))
-    got = Counter(tuple(r)[:5] for r in compare_with_edits(df).collect())
-    want = Counter()
+    got = Counter(tuple(r) for r in compare_with_edits(df).collect())
+    told = lambda x: "".join(f"{h:08x}{i:08x}" for h, i in x.items())
+    want, plain = Counter(), {t: plain_sketch(t) for _, t in rows}
     for (d, t), (_, n) in zip(rows, rows[1:] + rows[:1]):
         h = len(t) // 2
         e = t[: len(t) - h] + n[:h]
-        want[d, len(t), sha(e), fingerprint(sketch(t)), fingerprint(sketch(e))] += 1
+        own, other = plain[t], plain_sketch(e)
+        want[d, len(t), sha(e), told(own), told(other), plain_likeness(own, other), plain_likeness(own, plain[n])] += 1
     assert got == want
 
 
@@ -228,6 +278,9 @@ def test_syncmers_are_context_free():
     assert 0.15 < len(at) / len(text) < 0.3
     pairs = match_positions(text, "some other words " + text)
     assert pairs and all(b - a == len("some other words ") for a, b in pairs)
+    words = text.split(" ")
+    rng.shuffle(words)
+    assert likeness(sketch(text), sketch(" ".join(words))) < 0.2
     a, b = sketch(text), sketch(text[:1500] + "".join(rng.choice("abcdefgh ") for _ in range(1500)))
     assert likeness(a, a) == 1.0 and abs(likeness(a, b) - 1 / 3) < 0.2
     assert likeness(sketch(""), sketch("")) == 1.0 and likeness(sketch(""), a) == 0.0
