@@ -2,30 +2,30 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenrank.plans.stages import cut
+
 
 def global_row_number(df: DataFrame, order: list[Column], name: str = "row_number") -> DataFrame:
     """df with a row number from 1 in the given order.
 
     Rows are dealt by range, numbered inside each range, and shifted by the sizes of the ranges
-    before; only those sizes (one number a partition) pass through the driver.
+    before; only those sizes (one number a partition) pass through the driver. The ranges are written as a
+    table, so that numbers stay right when executors are lost.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
-    try:
-        sizes = sorted((r[0], r[1]) for r in ranged.groupBy("_part").count().collect())
-        before, rows = 0, []
-        for part, n in sizes:
-            rows.append((part, before))
-            before += n
-        offsets = df.sparkSession.createDataFrame(rows, "_part int, _before long")
-        inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-        out = ranged.withColumn("_inside", inside).join(F.broadcast(offsets), "_part")
-        return out.withColumn(name, (F.col("_before") + F.col("_inside")).cast("long")).drop("_part", "_before", "_inside")
-    except Exception:
-        ranged.unpersist()
-        raise
+    ranged = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before, rows = 0, []
+    for part, n in sorted((r[0], r[1]) for r in ranged.groupBy("_part").count().collect()):
+        rows.append((part, before))
+        before += n
+    offsets = df.sparkSession.createDataFrame(rows, "_part int, _before long")
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    out = ranged.withColumn("_inside", inside).join(F.broadcast(offsets), "_part")
+    return out.withColumn(name, (F.col("_before") + F.col("_inside")).cast("long")).drop("_part", "_before", "_inside")
 
 
 def average_ranks(df: DataFrame, column: str, name: str, by: list[str] | None = None) -> DataFrame:
@@ -54,7 +54,7 @@ def running_total(df: DataFrame, order: list[Column], value: str, name: str) ->
 
     As global_row_number: ranges are summed apart and shifted by the sums of the ranges before.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
+    ranged = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
     sums = sorted((r[0], r[1]) for r in ranged.groupBy("_part").agg(F.sum(value)).collect())
     before, rows = 0, []
     for part, total in sums:
@@ -63,3 +63,35 @@ def running_total(df: DataFrame, order: list[Column], value: str, name: str) ->
     offsets = df.sparkSession.createDataFrame(rows, "_part int, _before double")
     inside = F.sum(value).over(Window.partitionBy("_part").orderBy(*order))
     return ranged.withColumn("_inside", inside).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_inside")).drop("_part", "_before", "_inside")
+
+
+def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> dict[str, list[float | None]]:
+    """Exact quantiles of columns, interpolated between neighbours; None for a column without values.
+
+    Values are counted, and the counts summed in order by ranges; the few values at the asked ranks are all that
+    reaches the driver (two for each column and share), so neither a column nor a frequent value lands in one task.
+    """
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])
+    counts = df.select(F.explode(cells).alias("x")).select("x.*").filter("v IS NOT NULL").groupBy("i", "v").agg(F.count(F.lit(1)).alias("k"))
+    summed = cut(running_total(counts, [F.col("i"), F.col("v")], "k", "upto"), "sums")
+    sizes = {r[0]: r[1] for r in summed.groupBy("i").agg(F.sum("k")).collect()}
+    asked, before = [], 0
+    for i in range(len(columns)):
+        n = sizes.get(i, 0)
+        if n:
+            asked += [(i, float(before + rank)) for rank in sorted({f(p * (n - 1)) for p in shares for f in (math.floor, math.ceil)})]
+        before += n
+    if not asked:
+        return {c: [None] * len(shares) for c in columns}
+    ranks = df.sparkSession.createDataFrame(asked, "i int, rank double")
+    hit = summed.join(F.broadcast(ranks), "i").filter((F.col("rank") >= F.col("upto") - F.col("k")) & (F.col("rank") < F.col("upto")))
+    at = {(r[0], int(r[1])): r[2] for r in hit.select("i", "rank", "v").collect()}
+    out, before = {}, 0
+    for i, c in enumerate(columns):
+        n, got = sizes.get(i, 0), []
+        for p in shares:
+            place = p * (n - 1)
+            low, high = math.floor(place), math.ceil(place)
+            got.append(None if not n else at[i, before + low] if low == high else (high - place) * at[i, before + low] + (place - low) * at[i, before + high])
+        out[c], before = got, before + n
+    return out

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenrank.functions.ranks import quantiles
 from lumenrank.functions.tdist import two_sided
 
 
@@ -26,7 +27,7 @@ def long_form(df: DataFrame, columns: list[str], key: str = "image_id") -> DataF
 
 def quantile_selectors(df: DataFrame, column: str = "mean_score") -> tuple[Column, Column]:
     """(high: the top tenth, mid: from the 40 % to the 60 % quantile) as conditions on column."""
-    q = df.agg(F.percentile(column, F.array(F.lit(0.4), F.lit(0.6), F.lit(0.9)))).first()[0] or [None] * 3
+    q = quantiles(df, [column], [0.4, 0.6, 0.9])[column]
     return F.col(column) >= F.lit(q[2]), F.col(column).between(F.lit(q[0]), F.lit(q[1]))
 
 
@@ -75,7 +76,9 @@ def correlation(features: DataFrame) -> DataFrame:
 
 def medians(features: DataFrame) -> DataFrame:
     """One row with the median of every feature."""
-    return features.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in feature_columns(features)])
+    names = feature_columns(features)
+    middle = quantiles(features, names, [0.5])
+    return features.sparkSession.createDataFrame([tuple(middle[c][0] for c in names)], ", ".join(f"`{c}` double" for c in names))
 
 
 def median_deviation(features: DataFrame, k: int | None = None) -> DataFrame:
@@ -108,30 +111,41 @@ def nearest(vectors: DataFrame, item: object, k: int = 5, key: str = "image_id")
     return found.select(key, F.when(size > 0, _dot("vector", "_q") / size).otherwise(0.0).alias("similarity")).orderBy(F.desc("similarity"), key).limit(k)
 
 
-def nearest_all(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "image_id", blocks: int = 16) -> DataFrame:
+#: Queries and items in one block of nearest_all, about, and cells of their product that are held at once.
+BLOCK_ROWS, SLICE_CELLS = 4_096, 4_000_000
+
+
+def nearest_all(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "image_id") -> DataFrame:
     """query, key, similarity, rank: the k nearest items of every query, exactly.
 
-    Queries and items are dealt into blocks; a task multiplies one block by another and keeps k for each
-    query, so no side is broadcast and the best of the blocks are merged.
+    Queries and items are dealt into blocks of about BLOCK_ROWS; a task multiplies one block by another, slice by slice,
+    and keeps k for each query, so no side is broadcast, no group grows with the table, and the best of the
+    blocks are merged. All pairs are compared: the work grows with the product of both sides.
     """
-    deal = lambda c, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    q = queries.select(F.col(key).alias("query"), F.col("vector").alias("qv"), deal(key, 0).alias("_qb"), every.alias("_vb"))
-    v = vectors.select(F.col(key).alias("item"), F.col("vector").alias("iv"), deal(key, 1).alias("_vb"), every.alias("_qb"))
+    n_q, n_v = (max(1, -(-df.count() // BLOCK_ROWS)) for df in (queries, vectors))
+    deal = lambda c, seed, n: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select(F.col(key).alias("query"), F.col("vector").alias("qv"), deal(key, 0, n_q).alias("_qb"), every(n_v).alias("_vb"))
+    v = vectors.select(F.col(key).alias("item"), F.col("vector").alias("iv"), deal(key, 1, n_v).alias("_vb"), every(n_q).alias("_qb"))
     kind = dict(vectors.dtypes)[key]
 
     def multiply(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query": pd.Series([], dtype=object), key: pd.Series([], dtype=object), "similarity": np.zeros(0)})
         right = right.sort_values("item", kind="stable")
-        a, b = np.stack(left["qv"].to_numpy()), np.stack(right["iv"].to_numpy())
-        sizes = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
-        near = np.where(sizes > 0, a @ b.T / np.where(sizes > 0, sizes, 1), 0.0)
-        near = np.where(left["query"].to_numpy()[:, None] == right["item"].to_numpy()[None, :], -np.inf, near)
-        top = np.argsort(-near.round(12), axis=1, kind="stable")[:, :k]
-        row = np.repeat(np.arange(len(left)), top.shape[1])
-        out = pd.DataFrame({"query": left["query"].to_numpy()[row], key: right["item"].to_numpy()[top.ravel()], "similarity": near[row, top.ravel()]})
-        return out[np.isfinite(out["similarity"])]
+        items, b = right["item"].to_numpy(), np.stack(right["iv"].to_numpy())
+        size_b, out = np.linalg.norm(b, axis=1)[None, :], []
+        step = max(1, SLICE_CELLS // len(right))
+        for at in range(0, len(left), step):
+            asked, a = left["query"].to_numpy()[at : at + step], np.stack(left["qv"].to_numpy()[at : at + step])
+            sizes = np.linalg.norm(a, axis=1)[:, None] * size_b
+            near = np.where(sizes > 0, a @ b.T / np.where(sizes > 0, sizes, 1), 0.0)
+            near = np.where(asked[:, None] == items[None, :], -np.inf, near)
+            top = np.argsort(-near.round(12), axis=1, kind="stable")[:, :k]
+            row = np.repeat(np.arange(len(asked)), top.shape[1])
+            one = pd.DataFrame({"query": asked[row], key: items[top.ravel()], "similarity": near[row, top.ravel()]})
+            out.append(one[np.isfinite(one["similarity"])])
+        return pd.concat(out)
 
     found = q.groupBy("_qb", "_vb").cogroup(v.groupBy("_qb", "_vb")).applyInPandas(multiply, f"query {kind}, {key} {kind}, similarity double")
     w = Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 12)), key)

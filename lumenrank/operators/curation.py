@@ -42,7 +42,10 @@ def select_collection(items: DataFrame, key_a: str, key_b: str, order: list[str]
     rest = cut(items.withColumn("_k", F.struct(*order)))
     kept = None
     while True:
-        first = [F.col(k).isNull() | (F.row_number().over(Window.partitionBy(k).orderBy(*by)) == 1) for k in (key_a, key_b)]
+        # a null key is a group of its row alone
+        alone = F.concat(F.lit("null "), F.to_json(F.struct(*order)))
+        groups = [F.when(F.col(k).isNull(), alone).otherwise(F.concat(F.lit("key "), F.col(k).cast("string"))) for k in (key_a, key_b)]
+        first = [F.row_number().over(Window.partitionBy(g).orderBy(*by)) == 1 for g in groups]
         judged = rest.withColumn("_fa", first[0]).withColumn("_fb", first[1])
         now = cut(judged.filter("_fa AND _fb").drop("_fa", "_fb"))
         kept = now if kept is None else kept.unionByName(now)

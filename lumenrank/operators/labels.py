@@ -63,19 +63,24 @@ def aggregate_ratings(ratings: DataFrame, pairs: DataFrame | None = None, trim:
     return labels.join(win_rate(pairs), "image_id", "left").withColumn("pairwise_win_rate", F.coalesce("pairwise_win_rate", F.lit(0.5)))
 
 
+#: Parts that each rater's ratings are cut into where pairs are made.
+RATER_PARTS = 8
+
+
 def pseudo_pairs(ratings: DataFrame, min_gap: float = 2.0, max_pairs_per_rater: int | None = None) -> DataFrame:
     """Preferences that a rater's own ratings imply: every two ratings at least min_gap apart, the earlier on the left.
 
-    The rows of a rater grow with the square of the rater's ratings. max_pairs_per_rater samples by hash
-    (off by default). A prolific rater is spread over tasks by the left row.
+    The rows of a rater grow with the square of the rater's ratings. A prolific rater is spread over tasks: left rows
+    are dealt to ``RATER_PARTS`` parts, and each part meets all right rows. max_pairs_per_rater (off by default) keeps the
+    pairs of least hash, which saves later work but not the join.
     """
     order = Window.partitionBy("rater_id").orderBy("rating_timestamp", "rating_id")
     numbered = ratings.filter(F.col("rater_id").isNotNull()).withColumn("_n", F.row_number().over(order))
     one = numbered.select("rater_id", "rating_id", "image_id", SCORE, "_n")
-    left = one.select("rater_id", F.col("rating_id").alias("_lr"), F.col("image_id").alias("left_image_id"), F.col(SCORE).alias("_ls"), F.col("_n").alias("_ln"))
-    right = numbered.select(F.col("rater_id").alias("_rater"), F.col("rating_id").alias("_rr"), F.col("image_id").alias("right_image_id"), F.col(SCORE).alias("_rs"), F.col("_n").alias("_rn"), F.col("rating_timestamp").alias("timestamp"))
+    left = one.select("rater_id", F.pmod("_n", F.lit(RATER_PARTS)).alias("_part"), F.col("rating_id").alias("_lr"), F.col("image_id").alias("left_image_id"), F.col(SCORE).alias("_ls"), F.col("_n").alias("_ln"))
+    right = numbered.select(F.col("rater_id").alias("_rater"), F.explode(F.sequence(F.lit(0), F.lit(RATER_PARTS - 1))).alias("_to"), F.col("rating_id").alias("_rr"), F.col("image_id").alias("right_image_id"), F.col(SCORE).alias("_rs"), F.col("_n").alias("_rn"), F.col("rating_timestamp").alias("timestamp"))
     gap = F.abs(F.col("_ls") - F.col("_rs"))
-    both = left.join(right, (F.col("rater_id") == F.col("_rater")) & (F.col("_ln") < F.col("_rn")) & (gap >= min_gap))
+    both = left.join(right, (F.col("rater_id") == F.col("_rater")) & (F.col("_part") == F.col("_to")) & (F.col("_ln") < F.col("_rn")) & (gap >= min_gap))
     pairs = both.select(
         F.sha2(F.concat_ws("|", "_lr", "_rr"), 256).alias("pair_id"),
         "left_image_id",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenrank.functions.ranks import average_ranks
+from lumenrank.functions.ranks import average_ranks, quantiles
 
 
 
@@ -92,8 +92,11 @@ def ece(df: DataFrame, y: str = "y", p: str = "p", n_bins: int = 10) -> DataFram
 
 def conformal(df: DataFrame, y: str = "y", p: str = "p", alpha: float = 0.1, by: list[str] | None = None) -> DataFrame:
     """Half width that holds 1 - alpha of the absolute errors; 0 without rows."""
-    half = F.percentile(F.abs(F.col(y) - F.col(p)), F.lit(1 - alpha))
-    return df.groupBy(*(by or [])).agg(F.coalesce(half, F.lit(0.0)).alias("half_width"))
+    error = F.abs(F.col(y) - F.col(p)).cast("double")
+    if not by:
+        half = quantiles(df.select(error.alias("_e")), ["_e"], [1 - alpha])["_e"][0]
+        return df.sparkSession.createDataFrame([(half or 0.0,)], "half_width double")
+    return df.groupBy(*by).agg(F.coalesce(F.percentile(error, F.lit(1 - alpha)), F.lit(0.0)).alias("half_width"))
 
 
 def ensemble(predictions: DataFrame, item: str = "image_id", p: str = "p") -> DataFrame:

@@ -13,9 +13,11 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenrank.functions.ranks import global_row_number, quantiles
 from lumenrank.operators.analysis import feature_columns
 from lumenrank.operators.metrics import conformal, ensemble, ranking_metrics, regression_metrics
 from lumenrank.operators.splits import seeded, training_frame
+from lumenrank.plans.stages import cut
 
 
 @dataclass
@@ -29,7 +31,8 @@ class Scaler:
 
     @classmethod
     def fit(cls, train: DataFrame, columns: list[str]) -> Scaler:
-        middle = train.agg(*[F.coalesce(F.percentile(c, F.lit(0.5)), F.lit(0.0)) for c in columns]).first()
+        found = quantiles(train, columns, [0.5])
+        middle = [found[c][0] or 0.0 for c in columns]
         filled = [F.coalesce(F.col(c).cast("double"), F.lit(float(m))) for c, m in zip(columns, middle, strict=True)]
         stats = train.agg(*[F.avg(x) for x in filled], *[F.stddev_pop(x) for x in filled]).first()
         n = len(columns)
@@ -66,7 +69,7 @@ def _elastic_net(train: DataFrame, target: str) -> LinearRegression:
 
 REGRESSORS: dict[str, Callable[[DataFrame, str], object]] = {
     "elasticnet": _elastic_net,
-    "random_forest": lambda train, y: RandomForestRegressor(featuresCol="_x", labelCol=y, numTrees=300, minInstancesPerNode=2, featureSubsetStrategy="all", maxDepth=12, seed=42),
+    "random_forest": lambda train, y: RandomForestRegressor(featuresCol="_x", labelCol=y, numTrees=300, minInstancesPerNode=2, featureSubsetStrategy="all", maxDepth=30, seed=42),
     "gbt": lambda train, y: GBTRegressor(featuresCol="_x", labelCol=y, maxDepth=4, maxIter=100, stepSize=0.1, seed=42),
 }
 
@@ -93,7 +96,7 @@ class Run:
 def train_baseline(features: DataFrame, labels: DataFrame, splits: DataFrame, pairs: DataFrame | None = None, target: str = "mean_score", holdout: int = 0, kinds: tuple[str, ...] = ("elasticnet", "random_forest", "gbt"), estimators: dict[str, object] | None = None) -> Run:
     """Fit each kind on the train rows and judge it on the val and test rows."""
     columns = feature_columns(features)
-    frame = training_frame(features, labels, splits, target, holdout).persist()
+    frame = cut(training_frame(features, labels, splits, target, holdout), "frame")
     train = frame.filter("role = 'train'")
     models = {k: fit_regressor(k, train, columns, target, (estimators or {}).get(k)) for k in kinds}
     judged = None
@@ -130,7 +133,7 @@ def pair_features(features: DataFrame, pairs: DataFrame, ids: DataFrame | None =
 def train_ranking(features: DataFrame, train_pairs: DataFrame, eval_pairs: DataFrame) -> dict[str, object]:
     """A logistic preference model on feature differences: available, model, metrics; or why it is not."""
     columns = feature_columns(features)
-    train, judged = pair_features(features, train_pairs).persist(), pair_features(features, eval_pairs)
+    train, judged = cut(pair_features(features, train_pairs), "pairs"), pair_features(features, eval_pairs)
     seen = {r[0]: r[1] for r in train.groupBy("y").count().collect()}
     if len(seen) < 2:
         return {"available": False, "reason": "no preferences to learn from" if not seen else "all preferences have the same side"}
@@ -164,8 +167,8 @@ def local_contributions(fitted: Fitted, features: DataFrame, reference: DataFram
     Every item becomes one probe for each feature and one base row, and the model runs once.
     """
     columns = fitted.scaler.columns
-    middle = reference.agg(*[F.percentile(c, F.lit(0.5)).alias(f"_m_{c}") for c in columns])
-    rows = features.crossJoin(F.broadcast(middle))
+    middle = quantiles(reference, columns, [0.5])
+    rows = features.withColumns({f"_m_{c}": F.lit(middle[c][0]).cast("double") for c in columns})
     probes = F.array(*[F.struct(F.lit(name).alias("feature"), (F.col(name).cast("double") if name else F.lit(None).cast("double")).alias("value"), *[(F.col(c) if c == name else F.col(f"_m_{c}")).cast("double").alias(c) for c in columns]) for name in [*columns, ""]])
     scored = fitted.predict(rows.select("image_id", F.explode(probes).alias("x")).select("image_id", "x.*"))
     base = scored.filter("feature = ''").select("image_id", F.col("p").alias("_base"))
@@ -180,10 +183,8 @@ def local_contributions(fitted: Fitted, features: DataFrame, reference: DataFram
 
 def permutation_importance(fitted: Fitted, df: DataFrame, target: str, repeats: int = 8, seed: int = 42) -> DataFrame:
     """feature, importance_mean, importance_std: how much R2 falls when a feature's values are shuffled among rows."""
-    from lumenrank.functions.ranks import global_row_number
-
     columns = fitted.scaler.columns
-    rows = global_row_number(df.select("image_id", F.col(target).cast("double").alias("_y"), *columns), [F.col("image_id")], "_i").persist()
+    rows = global_row_number(df.select("image_id", F.col(target).cast("double").alias("_y"), *columns), [F.col("image_id")], "_i")
     base = regression_metrics(fitted.predict(rows), "_y", "p").first()["r2"]
     scored = None
     for r in range(repeats):
@@ -211,3 +212,11 @@ def evaluate(features: DataFrame, labels: DataFrame, k: int = 2) -> dict[str, Da
 
     high, mid = quantile_selectors(features.join(labels.select("image_id", "mean_score"), "image_id"))
     return {"groups": compare_groups(features, labels.select("image_id", "mean_score"), high, mid), "correlation": correlation(features), "projection": embed(features, k)}
+
+
+def write_evaluation(tables: dict[str, DataFrame], root: str, run_id: str) -> dict[str, str]:
+    """Write the tables of an evaluation beside a run, in its folder; returns where each lies."""
+    paths = {name: f"{root.rstrip('/')}/{run_id}/{name}" for name in tables}
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(paths[name])
+    return paths

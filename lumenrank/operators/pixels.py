@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenrank.plans.stages import cut
+
 ID = "image_id"
 
 
@@ -198,11 +200,13 @@ def horizon(px: DataFrame) -> DataFrame:
 
 
 def symmetry(px: DataFrame) -> DataFrame:
-    """Correlation of an image with its mirror image; 0 without spread."""
-    g = gray(px).withColumn("_w", F.max("x").over(Window.partitionBy(ID)))
-    other = g.select(F.col(ID).alias("_id"), F.col("y").alias("_y"), (F.col("_w") - F.col("x")).alias("_x"), F.col("gray").alias("_g"))
-    both = g.join(other, (F.col(ID) == F.col("_id")) & (F.col("y") == F.col("_y")) & (F.col("x") == F.col("_x")))
-    return both.groupBy(ID).agg(F.coalesce(F.nanvl(F.corr("gray", "_g"), F.lit(0.0)), F.lit(0.0)).alias("symmetry"))
+    """Correlation of an image with its mirror image; 0 without spread. A row of pixels is an array; its mirror has the same sums."""
+    rows = gray(px).groupBy(ID, "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", F.col("gray").cast("double").alias("v")))), lambda p: p["v"]).alias("a"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda t, v: t + v)
+    sums = rows.select(ID, F.size("a").alias("n"), total("a").alias("s"), total(F.transform("a", lambda v: v * v)).alias("q"), total(F.zip_with("a", F.reverse("a"), lambda u, v: u * v)).alias("m"))
+    n, s, q, m = F.sum("n"), F.sum("s"), F.sum("q"), F.sum("m")
+    spread = n * q - s * s
+    return sums.groupBy(ID).agg(F.when(spread > 1e-9 * n * q, (n * m - s * s) / spread).otherwise(0.0).alias("symmetry"))
 
 
 def composition_features(px: DataFrame, masks: DataFrame | None = None) -> DataFrame:
@@ -228,26 +232,38 @@ def composition_features(px: DataFrame, masks: DataFrame | None = None) -> DataF
     return horizon(px).join(mass, ID).join(symmetry(px), ID).join(s.withColumn("rule_of_thirds_distance", F.least(*points)), ID)
 
 
+def _wave_weights(sizes: DataFrame, side: int, low: int) -> DataFrame:
+    """n, at, weight: what a pixel at a place of n adds to each low frequency of a reduction to side cells.
+
+    A pixel that covers several cells adds to each; one of several in a cell adds its share. A row for each place
+    of each image size that occurs.
+    """
+    cos = F.array(*[F.array(*[F.lit(math.sqrt((1 if u == 0 else 2) / side) * math.cos(math.pi * (2 * i + 1) * u / (2 * side))) for i in range(side)]) for u in range(low)])
+    each = sizes.select(F.explode(F.array("h", "w")).alias("n")).distinct().withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    cells = F.when(F.col("n") >= side, F.array(F.floor(F.col("at") * side / F.col("n")))).otherwise(F.sequence(F.ceil(F.col("at") * side / F.col("n")), F.ceil((F.col("at") + 1) * side / F.col("n")) - 1))
+    each = each.withColumn("cells", cells).withColumn("share", F.when(F.col("n") >= side, 1 / F.count(F.lit(1)).over(Window.partitionBy("n", F.col("cells")[0]))).otherwise(1.0))
+    weight = F.transform(cos, lambda wave: F.col("share") * F.aggregate("cells", F.lit(0.0), lambda t, i: t + F.element_at(wave, i.cast("int") + 1)))
+    return each.select("n", "at", weight.alias("weight"))
+
+
 def phash(px: DataFrame, side: int = 32, low: int = 8) -> DataFrame:
-    """image_id, phash: 64 bits of the low cosine frequencies of a 32 x 32 reduction, against their median."""
+    """image_id, phash: 64 bits of the low cosine frequencies of a side x side reduction, against their median.
+
+    Reduction and cosines are linear and go row by column, so a pixel's weights are those of its row times those of its
+    column: no image is blown up to the side.
+    """
     g = gray(px)
-    w = Window.partitionBy(ID)
-    g = g.withColumn("_h", F.max("y").over(w) + 1).withColumn("_w", F.max("x").over(w) + 1)
-
-    def cells(at: str, n: str) -> Column:
-        first, last = F.ceil(F.col(at) * side / F.col(n)), F.ceil((F.col(at) + 1) * side / F.col(n)) - 1
-        return F.when(F.col(n) >= side, F.array(F.floor(F.col(at) * side / F.col(n)))).otherwise(F.sequence(first, last))
-
-    small = g.withColumn("i", F.explode(cells("y", "_h"))).withColumn("j", F.explode(cells("x", "_w"))).groupBy(ID, "i", "j").agg(F.avg("gray").alias("v"))
-    cos = [[math.sqrt((1 if u == 0 else 2) / side) * math.cos(math.pi * (2 * k + 1) * u / (2 * side)) for k in range(side)] for u in range(low)]
-    wave = [F.array(*[F.lit(x) for x in row]) for row in cos]
-    across = small.groupBy(ID, "i").agg(*[F.sum(F.col("v") * F.element_at(wave[v], F.col("j").cast("int") + 1)).alias(f"_{v}") for v in range(low)])
-    down = across.groupBy(ID).agg(*[F.round(F.sum(F.col(f"_{v}") * F.element_at(wave[u], F.col("i").cast("int") + 1)), 9).alias(f"c_{u}_{v}") for u in range(low) for v in range(low)])
-    cells_ = F.array(*[F.col(f"c_{u}_{v}") for u in range(low) for v in range(low)])
-    rest = F.array_sort(F.slice(cells_, low + 1, low * (low - 1)))
+    sizes = g.groupBy(ID).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+    weights = F.broadcast(_wave_weights(sizes, side, low))
+    across = g.join(sizes.select(ID, "w"), ID).join(weights, (F.col("n") == F.col("w")) & (F.col("at") == F.col("x")))
+    across = across.groupBy(ID, "y").agg(*[F.sum(F.col("gray") * F.col("weight")[v]).alias(f"_{v}") for v in range(low)])
+    down = across.join(sizes.select(ID, "h"), ID).join(weights, (F.col("n") == F.col("h")) & (F.col("at") == F.col("y")))
+    down = down.groupBy(ID).agg(*[F.round(F.sum(F.col(f"_{v}") * F.col("weight")[u]), 9).alias(f"c_{u}_{v}") for u in range(low) for v in range(low)])
+    cells = F.array(*[F.col(f"c_{u}_{v}") for u in range(low) for v in range(low)])
+    rest = F.array_sort(F.slice(cells, low + 1, low * (low - 1)))
     half = low * (low - 1) // 2
     middle = (F.element_at(rest, half) + F.element_at(rest, half + 1)) / 2
-    return down.withColumn("_m", middle).select(ID, F.array_join(F.transform(cells_, lambda c: F.when(c > F.col("_m"), "1").otherwise("0")), "").alias("phash"))
+    return down.withColumn("_m", middle).select(ID, F.array_join(F.transform(cells, lambda c: F.when(c > F.col("_m"), "1").otherwise("0")), "").alias("phash"))
 
 
 def region_table(px: DataFrame, importance: str, tile: int = 32, region: str | None = None) -> DataFrame:
@@ -289,9 +305,9 @@ EXTRACTORS = {"color": color_features, "texture": texture_features, "composition
 
 
 def extract(px: DataFrame, extractors: tuple[str, ...] = ("color", "texture", "composition")) -> DataFrame:
-    """image_id and the features of the chosen extractors; the cloud mask is found once."""
-    px = gray(px).repartition(ID)
-    masks = cloud_mask(px)
+    """image_id and the features of the chosen extractors; pixels and the cloud mask are made once, as a table by image."""
+    masks = cut(cloud_mask(gray(px).repartition(ID)), "pixels")
+    px = masks.select(*[c for c in masks.columns if c in (ID, "y", "x", "r", "g", "b", "gray")])
     out = px.select(ID).distinct()
     for name in extractors:
         out = out.join(EXTRACTORS[name](px, masks), ID, "left")

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenrank.functions.ranks import global_row_number, quantiles
+
 
 def seeded(seed: int, *columns: str) -> Column:
     """A reproducible order: MD5 of the seed and the columns."""
@@ -16,21 +18,23 @@ def seeded(seed: int, *columns: str) -> Column:
 def score_bins(df: DataFrame, column: str, n_bins: int = 5, name: str = "score_bin") -> DataFrame:
     """df with a quantile bin of column: right-closed, equal edges merged, at least 2 asked for.
 
-    The bin is the number of distinct edges above the least that lie below the value; the edges are one row.
+    The bin is the number of distinct edges above the least that lie below the value.
     """
-    distinct = df.agg(F.count_distinct(column)).first()[0]
+    # no more values are looked for than there are bins
+    distinct = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(n_bins).count()
     q = max(2, min(n_bins, distinct))
-    edges = df.agg(F.percentile(column, F.array(*[F.lit(i / q) for i in range(q + 1)])).alias("_edges"))
-    inner = F.array_distinct("_edges")
-    below = F.size(F.filter(inner, lambda e: (e > F.element_at("_edges", 1)) & (e < F.col(column))))
-    return df.crossJoin(F.broadcast(edges)).withColumn(name, F.when(F.col(column).isNotNull(), below).cast("int")).drop("_edges")
+    edges = quantiles(df, [column], [i / q for i in range(q + 1)])[column]
+    inner = sorted({e for e in edges if e is not None and e > edges[0]})
+    below = sum((F.when(F.col(column) > e, 1).otherwise(0) for e in inner), F.lit(0))
+    return df.withColumn(name, F.when(F.col(column).isNotNull(), below).cast("int"))
 
 
 def grouped_holdout(df: DataFrame, group: str, fraction: float = 0.2, seed: int = 42) -> DataFrame:
     """df with partition 'test' for a share of the groups (rounded up) and 'dev' for the rest."""
     groups = df.select(group).filter(F.col(group).isNotNull()).distinct()
     n = groups.count()
-    test = groups.orderBy(seeded(seed, group), group).limit(math.ceil(fraction * n)).withColumn("partition", F.lit("test"))
+    placed = global_row_number(groups, [seeded(seed, group), F.col(group)], "_place")
+    test = placed.filter(F.col("_place") <= math.ceil(fraction * n)).select(group, F.lit("test").alias("partition"))
     return df.join(test, group, "left").withColumn("partition", F.coalesce("partition", F.lit("dev")))
 
 

@@ -2,37 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenrank.operators import analysis, browse, concepts, curation, keys, labels, manifest, metrics, models, pixels, reports, splits, validation
 from lumenrank.plans import jobs
-from lumenrank.plans.fixtures import pixel_cubes, table, view, with_views
-from lumenrank.plans.stages import cut, shared_folder
+from lumenrank.plans.fixtures import pixel_cubes, table, view
+from lumenrank.plans.registering import QUERIES, SQL, Query, query
+from lumenrank.plans.registering import rounded as _r
+from lumenrank.plans.stages import cut, new_path
 from lumenrank.streaming import streams
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, views: tuple[str, ...] = ()) -> Callable[[Query], Query]:
-    """Register a query under its name, with its SQL over views."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = f"{with_views(*views)}{', ' if sql.lstrip().startswith('--with') else ' '}{sql.replace('--with', '')}" if views else sql
-        return f
-
-    return add
-
-
-def _r(c: str | Column, name: str | None = None) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name or str(c))
 
 
 # --- labels
@@ -382,7 +364,7 @@ def diverse_order(spark, sf_dir):
 
 @query(
     f"""--with {_DIVERSE}, o AS (SELECT position FROM ordered WHERE image_id NOT IN (SELECT image_id FROM v_ratings WHERE rater_id = '5')), n AS (SELECT count(*) AS n FROM ordered)
-SELECT coalesce(arg_min(position, (position - 1501 + n) % n), 1501) AS next_position FROM o, n""",
+SELECT coalesce(arg_min(position, ((position - 1501) % n + n) % n), any_value(least(1501, n))) AS next_position FROM n LEFT JOIN o ON true""",
     ("v_manifest", "v_ratings"),
 )
 def next_unrated(spark, sf_dir):
@@ -630,7 +612,7 @@ def analyze_batches(spark, sf_dir):
 
 def _streamed(spark: SparkSession, sf_dir: str, name: str, shape: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The last complete result of a stream over the events table, as a table in the shared folder."""
-    base = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = new_path(spark, name)
     schema = table(spark, sf_dir, "events").schema
     # a file source watches a folder; the table's own files are picked by name
     events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(f"{sf_dir}/events.parquet*")
@@ -667,3 +649,9 @@ def exclusions_stream(spark, sf_dir):
         return streams.exclusion_state(log)
 
     return _streamed(spark, sf_dir, "exclusions", shape)
+
+
+# sources, sinks, validation, masks and streams register themselves beside these
+from lumenrank.plans import more_queries  # noqa: E402, F401
+
+__all__ = ["QUERIES", "SQL", "Query"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,85 +33,117 @@ def _filesystem(spark: SparkSession, path: str):
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Replace a Parquet or CSV table. It is written beside the old one and swapped, so df may read the old one."""
+    """Replace a Parquet or CSV table. It is written beside the old one and swapped, so df may read the old one.
+
+    The old table is put aside before the swap and deleted after it: a crash leaves one of the two whole.
+    """
     spark = df.sparkSession
-    staged = f"{path.rstrip('/')}__{uuid.uuid4().hex}"
+    plain, own = path.rstrip("/"), uuid.uuid4().hex
+    staged, aside = f"{plain}__{own}", f"{plain}__old_{own}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    if path.rstrip("/").endswith(".csv"):
-        writer.option("header", True).csv(staged)
+    if plain.endswith(".csv"):
+        writer.option("header", True).option("escape", '"').csv(staged)
     else:
         writer.parquet(staged)
     fs, target = _filesystem(spark, path)
-    fs.delete(target, True)
-    fs.rename(spark._jvm.org.apache.hadoop.fs.Path(staged), target)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    there = fs.exists(target)
+    if there and not fs.rename(target, at(aside)):
+        raise OSError(f"cannot move {path}")
+    if not fs.rename(at(staged), target):
+        if there:
+            fs.rename(at(aside), target)
+        raise OSError(f"cannot replace {path}")
+    if there:
+        fs.delete(at(aside), True)
 
 
 def read_annotations(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
     """All annotation logs of a folder, CSV and Parquet, conformed by name (files may order columns differently)."""
-    out = empty_table(spark, schema)
     fs, root = _filesystem(spark, folder)
     if not fs.exists(root):
+        return empty_table(spark, schema)
+    every = lambda ending: spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{ending}")
+    out = empty_table(spark, schema)
+    # the headers decide: files that agree on theirs are read together; one job finds them all
+    lines = every("csv").text(folder).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    heads = lines.filter("start = 0").groupBy("file").agg(F.min_by("value", F.monotonically_increasing_id()).alias("head"))
+    for r in heads.groupBy("head").agg(F.collect_list("file").alias("files")).collect():
+        out = out.unionByName(conform(spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(r["files"]), schema))
+    try:
+        found = every("parquet").option("mergeSchema", True).parquet(folder)
+    except AnalysisException as error:
+        if not _missing(error):
+            raise
         return out
-    orders: dict[tuple[str, ...], list[str]] = {}
-    found = fs.listFiles(root, True)
-    parquet = []
-    while found.hasNext():
-        path = found.next().getPath().toString()
-        name = path.rsplit("/", 1)[-1]
-        if name.startswith(("_", ".")):
-            continue
-        if name.endswith(".csv"):
-            # the header decides: files that agree on it are read together
-            head = spark.read.text(path).limit(1).collect()
-            if head:
-                orders.setdefault(tuple(head[0][0].split(",")), []).append(path)
-        elif name.endswith(".parquet"):
-            parquet.append(path)
-    for paths in orders.values():
-        out = out.unionByName(conform(spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(paths), schema))
-    if parquet:
-        out = out.unionByName(conform(spark.read.option("mergeSchema", True).option("basePath", folder).parquet(*parquet), schema))
-    return out
+    return out.unionByName(conform(found, schema))
+
+
+def _append_by_rater(rows: DataFrame, folder: str) -> None:
+    # one file a rater and batch, more for a rater with very many rows
+    rows.withColumn("rater", F.col("rater_id")).hint("rebalance", "rater").write.mode("append").partitionBy("rater").parquet(folder)
 
 
 def append_ratings(df: DataFrame, folder: str) -> None:
     """Add rating events; ids and times that are missing are given once, when written."""
     rows = conform(df, RATINGS)
     rows = rows.withColumn("rating_id", F.coalesce("rating_id", F.uuid())).withColumn("rating_timestamp", F.coalesce("rating_timestamp", F.current_timestamp()))
-    rows.withColumn("rater", F.col("rater_id")).write.mode("append").partitionBy("rater").parquet(folder)
+    _append_by_rater(rows, folder)
 
 
 def append_pairwise(df: DataFrame, folder: str) -> None:
     """Add preference events."""
     rows = conform(df, PAIRWISE)
     rows = rows.withColumn("pair_id", F.coalesce("pair_id", F.uuid())).withColumn("timestamp", F.coalesce("timestamp", F.current_timestamp()))
-    rows.withColumn("rater", F.col("rater_id")).write.mode("append").partitionBy("rater").parquet(folder)
+    _append_by_rater(rows, folder)
+
+
+# Fixed value: the header of the older layout of exclusion logs.
+OLD_EXCLUSIONS = "image_id,excluded,reason,timestamp"
+
+
+def split_csv(line: Column) -> Column:
+    """The fields of a CSV line; a field in quotes may hold commas and doubled quotes."""
+    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("[^"]*(?:""[^"]*)*"[^,]*|[^,]*)'), F.lit(1))
+    inner = lambda x: F.replace(F.regexp_replace(x, '^"|"(?=[^"]*$)', ""), F.lit('""'), F.lit('"'))
+    return F.transform(raw, lambda x: F.when(x.startswith('"'), inner(x)).otherwise(x))
 
 
 def parse_exclusions(lines: DataFrame) -> DataFrame:
-    """Exclusion events from the lines (column value) of either layout.
+    """Exclusion events from the lines of logs (value, file) of either layout, the rest of a log's lines as its header says.
 
-    Four fields: image_id, excluded, reason, timestamp, where the reason may hold `reason | path`. Five or
-    more: image_id, relative_path, excluded, reason, and the rest, which is the timestamp.
+    Under the header of the older layout, four fields are image_id, excluded, reason, timestamp, where the reason may
+    hold `reason | path`. Five or more are image_id, relative_path, excluded, reason, and the rest, which is
+    the timestamp. Other lines go.
     """
-    v = F.split("value", ",", -1)
-    n = F.size(v)
+    # one row a file of the older layout
+    old_files = lines.filter(F.trim("value") == OLD_EXCLUSIONS).select("file").distinct().withColumn("_old", F.lit(True))
+    rows = lines.join(F.broadcast(old_files), "file", "left").filter((F.trim("value") != "") & ~F.col("value").startswith("image_id,")).withColumn("_v", split_csv(F.col("value")))
+    v, n = F.col("_v"), F.size("_v")
     both = F.split(F.element_at(v, 3), r" \| ", 2)
     old = F.struct(v[0].alias("image_id"), F.when(F.size(both) == 2, both[1]).otherwise("").alias("relative_path"), v[1].alias("excluded"), both[0].alias("reason"), v[3].alias("timestamp"))
     new = F.struct(v[0].alias("image_id"), v[1].alias("relative_path"), v[2].alias("excluded"), v[3].alias("reason"), F.array_join(F.slice(v, F.lit(5), F.greatest(n - 4, F.lit(0))), ",").alias("timestamp"))
-    picked = lines.filter((F.trim("value") != "") & ~F.col("value").startswith("image_id,")).select(F.when(n == 4, old).when(n >= 5, new).alias("x"))
+    picked = rows.select(F.when((n == 4) & F.col("_old"), old).when(n >= 5, new).alias("x"))
     return picked.filter("x IS NOT NULL").select("x.*").select(*[f.name for f in EXCLUSIONS])
 
 
 def read_exclusions(spark: SparkSession, path: str) -> DataFrame:
     fs, p = _filesystem(spark, path)
-    return parse_exclusions(spark.read.text(path)) if fs.exists(p) else empty_table(spark, EXCLUSIONS)
+    if not fs.exists(p):
+        return empty_table(spark, EXCLUSIONS)
+    return parse_exclusions(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")))
 
 
 def append_exclusions(df: DataFrame, path: str) -> None:
-    """Add exclusion and restore events as CSV lines, in the five-field layout."""
-    rows = df.select("image_id", F.coalesce("relative_path", F.lit("")).alias("relative_path"), F.initcap(F.col("excluded").cast("string")).alias("excluded"), F.regexp_replace(F.coalesce("reason", F.lit("")), ",", ";").alias("reason"), (F.coalesce("timestamp", F.current_timestamp().cast("string")) if "timestamp" in df.columns else F.current_timestamp().cast("string")).alias("timestamp"))
-    rows.select(F.concat_ws(",", *[f.name for f in EXCLUSIONS]).alias("value")).write.mode("append").text(path)
+    """Add exclusion and restore events as CSV lines, in the five-field layout. Line breaks in a field become spaces."""
+    at = F.coalesce("timestamp", F.current_timestamp().cast("string")) if "timestamp" in df.columns else F.current_timestamp().cast("string")
+    rows = df.select("image_id", F.coalesce("relative_path", F.lit("")).alias("relative_path"), F.initcap(F.col("excluded").cast("string")).alias("excluded"), F.coalesce("reason", F.lit("")).alias("reason"), at.alias("timestamp"))
+
+    def field(c: str) -> Column:
+        plain = F.regexp_replace(c, r"[\r\n]+", " ")
+        return F.when(plain.rlike('[",]'), F.concat(F.lit('"'), F.replace(plain, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(plain)
+
+    rows.select(F.concat_ws(",", *[field(f.name) for f in EXCLUSIONS]).alias("value")).write.mode("append").text(path)
 
 
 _BUNDLE = (
@@ -152,11 +184,15 @@ def decode_data_urls(df: DataFrame, column: str = "data_url") -> DataFrame:
     return there.withColumn("content", F.try_to_binary(body, F.lit("base64"))).withColumn("suffix", F.when(F.lower(head).rlike("jpe?g"), ".jpg").otherwise(".png")).drop(column)
 
 
+#: Items in one exported document, about.
+EXPORT_ITEMS = 10_000
+
+
 def export_manifest(manifest: DataFrame, name: str, rater_hint: str = "", shards: int | None = None) -> DataFrame:
-    """shard, document: JSON documents of a header and an array of items, by id; one, or several by hash."""
+    """shard, document: JSON documents of a header and an array of items, by id; by hash of the id into documents of about EXPORT_ITEMS."""
     item = F.struct("image_id", "relative_path", F.coalesce("width", F.lit(0)).alias("width"), F.coalesce("height", F.lit(0)).alias("height"))
-    shard = F.lit(0) if shards is None else F.pmod(F.hash("image_id"), F.lit(shards))
-    lists = manifest.groupBy(shard.cast("int").alias("shard")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    shards = shards or max(1, -(-manifest.count() // EXPORT_ITEMS))
+    lists = manifest.groupBy(F.pmod(F.hash("image_id"), F.lit(shards)).cast("int").alias("shard")).agg(F.array_sort(F.collect_list(item)).alias("items"))
     return lists.select("shard", F.to_json(F.struct(F.lit(name).alias("package_name"), F.lit(rater_hint).alias("rater_hint"), F.size("items").alias("n_items"), "items")).alias("document"))
 
 

@@ -51,10 +51,3 @@ def stream_scores(images: DataFrame, score: Callable[[DataFrame], DataFrame], si
         sink(score(batch), number)
 
     return images.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def drain(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there now, into a table in memory (its rows must be few), and return that."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return df.sparkSession.table(name)

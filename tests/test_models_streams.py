@@ -10,6 +10,13 @@ from lumenrank.plans.jobs import analyze_batch
 from lumenrank.streaming import streams
 
 
+def drain(df, name):
+    """Run a stream over what is there now, into a table in memory, and return that."""
+    df.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.table(name)
+
+
+
 def small():
     return {"random_forest": RandomForestRegressor(featuresCol="_x", labelCol="mean_score", numTrees=5, maxDepth=4), "gbt": GBTRegressor(featuresCol="_x", labelCol="mean_score", maxIter=3)}
 
@@ -112,5 +119,5 @@ def test_streams_equal_batch(spark, tmp_path):
     query.awaitTermination()
     want = {r.image_id: r.mean_score for r in aggregate_ratings(log).collect()}
     assert {r.image_id: r.mean_score for r in seen} == want
-    running = streams.drain(streams.running_labels(spark.readStream.schema(RATINGS).option("recursiveFileLookup", True).parquet(folder)), "running")
+    running = drain(streams.running_labels(spark.readStream.schema(RATINGS).option("recursiveFileLookup", True).parquet(folder)), "running")
     assert {r.image_id: r.mean_score for r in running.collect()} == pytest.approx(want)
