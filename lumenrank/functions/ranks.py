@@ -92,6 +92,6 @@ def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> dict[st
         for p in shares:
             place = p * (n - 1)
             low, high = math.floor(place), math.ceil(place)
-            got.append(None if not n else at[i, before + low] if low == high else (high - place) * at[i, before + low] + (place - low) * at[i, before + high])
+            got.append(None if not n else at[i, before + low] if low == high or at[i, before + low] == at[i, before + high] else (high - place) * at[i, before + low] + (place - low) * at[i, before + high])
         out[c], before = got, before + n
     return out

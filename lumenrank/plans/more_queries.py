@@ -52,12 +52,12 @@ def rating_logs(spark, sf_dir):
     return got.select("rating_id", "image_id", "rater_id", "rating_session_id", _r("raw_score_1_to_10", "score"), "note")
 
 
-@query("SELECT pair_id, left_image_id, right_image_id, rater_id, winner, tie_flag, round(preference_strength, 6) AS preference_strength FROM v_pairs", ("v_pairs",))
+@query("SELECT pair_id, left_image_id, right_image_id, rater_id, winner, tie_flag, round(preference_strength, 9) AS preference_strength FROM v_pairs", ("v_pairs",))
 def pairwise_logs(spark, sf_dir):
     folder = new_path(spark, "pairwise")
     tables.append_pairwise(view(spark, sf_dir, "v_pairs"), folder)
     got = tables.read_annotations(spark, folder, PAIRWISE)
-    return got.select("pair_id", "left_image_id", "right_image_id", "rater_id", "winner", "tie_flag", _r("preference_strength"))
+    return got.select("pair_id", "left_image_id", "right_image_id", "rater_id", "winner", "tie_flag", F.round("preference_strength", 9).alias("preference_strength"))
 
 
 @query(
@@ -336,14 +336,14 @@ _COLOR = ("mean_brightness", "contrast", "dynamic_range", "saturation_mean", "la
 
 
 @query(
-    f"""--with {_HSV}, {_CLOUD}, {_LAB} SELECT image_id, round(avg((r + g + b) / 3), 4) AS mean_brightness, round(stddev_pop((r + g + b) / 3), 4) AS contrast, round(max((r + g + b) / 3) - min((r + g + b) / 3), 4) AS dynamic_range,
-  round(avg(sat), 4) AS saturation_mean, round(avg(la), 4) AS lab_a_mean, round(avg(lb2), 4) AS lab_b_mean, round((avg(b) + 1) / (avg(r) + 1), 4) AS blue_orange_balance, round(avg(lb2) - avg(la), 4) AS color_temperature_proxy,
-  round(avg(cloud), 4) AS cloud_area_fraction, round(1 - avg(cloud), 4) AS sky_area_fraction, {", ".join(f"round(count(*) FILTER (WHERE least(floor(hue / 22.5), 7) = {i}) / count(*) / 22.5, 4) AS hue_bin_{i}" for i in range(8))} FROM lab GROUP BY image_id""",
+    f"""--with {_HSV}, {_CLOUD}, {_LAB} SELECT image_id, round(avg((r + g + b) / 3) + 1e-9, 4) AS mean_brightness, round(stddev_pop((r + g + b) / 3) + 1e-9, 4) AS contrast, round(max((r + g + b) / 3) - min((r + g + b) / 3) + 1e-9, 4) AS dynamic_range,
+  round(avg(sat) + 1e-9, 4) AS saturation_mean, round(avg(la) + 1e-9, 4) AS lab_a_mean, round(avg(lb2) + 1e-9, 4) AS lab_b_mean, round((avg(b) + 1) / (avg(r) + 1) + 1e-9, 4) AS blue_orange_balance, round(avg(lb2) - avg(la) + 1e-9, 4) AS color_temperature_proxy,
+  round(avg(cloud) + 1e-9, 4) AS cloud_area_fraction, round(1 - avg(cloud) + 1e-9, 4) AS sky_area_fraction, {", ".join(f"round(count(*) FILTER (WHERE least(floor(hue / 22.5), 7) = {i}) / count(*) / 22.5 + 1e-9, 4) AS hue_bin_{i}" for i in range(8))} FROM lab GROUP BY image_id""",
     ("v_pixels",),
 )
 def color_features(spark, sf_dir):
-    """Every colour feature."""
-    return pixels.color_features(pixel_cubes(spark, sf_dir)).select("image_id", *[F.round(c, 4).alias(c) for c in _COLOR])
+    """Every colour feature (shares of 192 pixel values can lie half way between two roundings, so both sides add a little)."""
+    return pixels.color_features(pixel_cubes(spark, sf_dir)).select("image_id", *[F.round(F.col(c) + 1e-9, 4).alias(c) for c in _COLOR])
 
 
 # beyond an edge the row or column inside it is seen again

@@ -66,8 +66,8 @@ def read_annotations(spark: SparkSession, folder: str, schema: T.StructType) ->
     every = lambda ending: spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{ending}")
     out = empty_table(spark, schema)
     # the headers decide: files that agree on theirs are read together; one job finds them all
-    lines = every("csv").text(folder).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
-    heads = lines.filter("start = 0").groupBy("file").agg(F.min_by("value", F.monotonically_increasing_id()).alias("head"))
+    lines = every("csv").text(folder).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")).withColumn("at", F.monotonically_increasing_id())
+    heads = lines.filter("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("head"))
     for r in heads.groupBy("head").agg(F.collect_list("file").alias("files")).collect():
         out = out.unionByName(conform(spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(r["files"]), schema))
     try:

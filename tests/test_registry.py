@@ -66,7 +66,7 @@ def test_model_queries_use_the_operators_settings(spark, monkeypatch):
     registry.QUERIES["train_baseline"](spark, SF)
     registry.QUERIES["permutation_importance"](spark, SF)
     forest, boosted = seen["random_forest"], seen["gbt"]
-    assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getFeatureSubsetStrategy()) == (300, 12, "all")
+    assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getFeatureSubsetStrategy()) == (300, 30, "all")
     assert (boosted.getMaxIter(), boosted.getStepSize(), seen["repeats"]) == (100, 0.1, 8)
 
 

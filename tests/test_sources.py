@@ -61,10 +61,17 @@ def test_annotation_logs(spark, tmp_path):
 
 
 def test_exclusion_layouts(spark, tmp_path):
-    path = tmp_path / "e.csv"
-    path.write_text("image_id,relative_path,excluded,reason,timestamp\na,True,blur | p/a.jpg,2024\nb,p/b.jpg,False,ok,Mon, 1 Jan\n\nx,y\n")
-    got = [tuple(r) for r in tables.read_exclusions(spark, str(path)).orderBy("image_id").collect()]
-    assert got == [("a", "p/a.jpg", "True", "blur", "2024"), ("b", "p/b.jpg", "False", "ok", "Mon, 1 Jan")]
+    old, new = tmp_path / "old.csv", tmp_path / "e.csv"
+    old.write_text("image_id,excluded,reason,timestamp\na,True,blur | p/a.jpg,2024\nz,p/z.jpg,True,dark,2025\nx,y\n")
+    new.write_text('image_id,relative_path,excluded,reason,timestamp\na,True,blur | p/a.jpg,2024\nb,p/b.jpg,False,ok,Mon, 1 Jan\n\nc,p/c.jpg,True,"too dark, ""blurry""",2026\nd,,True,,\n')
+    told = lambda path: [tuple(r) for r in tables.read_exclusions(spark, str(path)).orderBy("image_id").collect()]
+    assert told(old) == [("a", "p/a.jpg", "True", "blur", "2024"), ("z", "p/z.jpg", "True", "dark", "2025")]
+    # four fields are the older layout under its header only
+    assert told(new) == [("b", "p/b.jpg", "False", "ok", "Mon, 1 Jan"), ("c", "p/c.jpg", "True", 'too dark, "blurry"', "2026"), ("d", "", "True", "", "")]
+    log = str(tmp_path / "quoted")
+    rows = [("e", "p,1", True, 'commas, and "quotes"', "2026"), ("f", None, False, None, "2027")]
+    tables.append_exclusions(spark.createDataFrame(rows, "image_id string, relative_path string, excluded boolean, reason string, timestamp string"), log)
+    assert told(log) == [("e", "p,1", "True", 'commas, and "quotes"', "2026"), ("f", "", "False", "", "2027")]
     folder = str(tmp_path / "log")
     tables.append_exclusions(spark.createDataFrame([("c", None, True, "dup")], "image_id string, relative_path string, excluded boolean, reason string"), folder)
     assert tables.read_exclusions(spark, folder).first().excluded == "True"
