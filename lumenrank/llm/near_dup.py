@@ -7,8 +7,9 @@ joined first and walk the trees as one. A node of at most ``SMALL`` members is c
 a larger one is branched on, down to ``DEPTH``; there it is compared whatever its size.
 
 Comparing a node is exhaustive, but makes no pairs within groups of copies. Every member is compared with
-the node's hub, the one that meets most others over all trees, and a hub settles all its nodes at once. Two
-members x, y beside hub h are then told apart by what sets them off from it: with the symmetric differences
+the node's hub, the one that meets most others over all trees, and a hub settles all its nodes at once. Beside a hub
+of at most ``LANE`` members those that are not joined yet are compared in the hub's task. Beside a larger one, two
+members x, y are told apart by what sets them off from hub h: with the symmetric differences
 D = x ^ h and E = y ^ h the sets x and y differ by |D| + |E| - 2 |D & E|, so a link needs |D & E| to reach a
 number that sizes alone give. Where that number is 0 the link is certain, and the member nearest to the hub has
 it too. Otherwise x and y must share one of the rarest elements of D and E, as many of each as can lie outside
@@ -45,8 +46,8 @@ TREES, DEPTH, SHINGLE = 12, 3, 5
 #: A node of so many members is not branched on.
 SMALL = 4
 
-#: Pairs of one hub that share a task, on average (a hub's set is sent once to each such task).
-SPREAD = 1_000
+#: Members beside a hub that meet in one task. Hubs with more, or with more shingles, are cut into lanes of so many.
+LANE, LANE_SHINGLES = 64, 4_000_000
 
 _U = np.uint64
 
@@ -105,32 +106,75 @@ def _signatures(trees: int):
 
 
 def _packed_sets(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """v (the first half of the set's hash) and shingles of each text."""
     for batch in found:
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(batch.column("text"))], pa.binary())], names=["doc_id", "shingles"])
+        packed = [s.tobytes() for s in shingle_sets(batch.column("text"))]
+        keys = [int.from_bytes(xxhash.xxh3_128_digest(s)[:8], "little", signed=True) for s in packed]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(packed, pa.binary())], names=["v", "shingles"])
 
 
-def _set(value: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(value.as_buffer(), dtype=_U)
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    both = np.concatenate((a, b))
+    both.sort()
+    return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
-def _overlaps(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pair's columns and how many shingles the two share."""
-    for batch in found:
-        shared = []
-        for a, b in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-            both = np.concatenate((_set(a), _set(b)))
-            both.sort()
-            shared.append(int(np.count_nonzero(both[1:] == both[:-1])))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in "ab"), batch.column("n_a"), batch.column("n_b"), pa.array(shared, pa.int64())], names=["a", "b", "n_a", "n_b", "shared"])
+_COMPARED = "a long, b long, n_a long, n_b long, shared long, linked boolean, size long, tokens array<long>"
 
 
-def _differences(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """hub, rep and the shingles that only one of them has."""
-    for batch in found:
-        rows = [np.setxor1d(_set(a), _set(b), assume_unique=True) for a, b in zip(batch.column("set_a"), batch.column("set_b"), strict=True)]
-        ends = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
-        tokens = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*rows, np.zeros(0, dtype=_U)]).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), tokens], names=["hub", "rep", "tokens"])
+def _compare(percent: int, members: bool):
+    """Rows a, lane, b, n_b, size, whole, shingles, sorted by a and lane, the hub (b = a) first, to compared pairs.
+
+    Each member is compared with its hub; of a hub that is cut into lanes (not whole) the elements that set the member
+    off are given too. The members of a whole hub are compared among themselves, but for those that are joined already
+    and those that sizes and differences keep apart; their links are given (members: whether to do so).
+    """
+
+    def linked(n: int, m: int, shared: int) -> bool:
+        return 100 * shared >= percent * (n + m - shared)
+
+    def settle(hub: int, rows: list) -> Iterator[tuple]:
+        (n_hub, own), rows = (rows[0][1], rows[0][4]), rows[1:]
+        kept, root = [], []
+        for b, n, size, whole, shingles in rows:
+            shared = _shared(own, shingles)
+            joined = linked(n_hub, n, shared)
+            yield hub, b, n_hub, n, shared, joined, size, None if whole else np.setxor1d(own, shingles, assume_unique=True).view(np.int64)
+            if whole and members:
+                kept.append((n_hub + n - 2 * shared, n, b, shingles))
+                root.append(-1 if joined else len(root))
+        # the odd ones with all others: differences from the hub bound the difference of two
+        for i, (d, n, b, x) in enumerate(kept):
+            for j in range(i):
+                e, m, c, y = kept[j]
+                if root[i] != root[j] and (100 + percent) * abs(d - e) <= (100 - percent) * (n + m) and 100 * min(n, m) >= percent * max(n, m):
+                    shared = _shared(x, y)
+                    if linked(n, m, shared):
+                        yield b, c, n, m, shared, True, 0, None
+                        old, new = max(root[i], root[j]), min(root[i], root[j])
+                        root[:] = [new if r == old else r for r in root]
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, out = None, [], []
+
+        def told() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [[]] * 8
+            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.int64(), pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _COMPARED.split(", ")])
+
+        for batch in found:
+            for hub, lane, b, n, size, whole, shingles in zip(*(batch.column(c).to_pylist() for c in ("a", "lane", "b", "n_b", "size", "whole", "shingles")), strict=True):
+                if (hub, lane) != key:
+                    out += settle(key[0], held) if key else ()
+                    key, held = (hub, lane), []
+                held.append((b, n, size, whole, np.frombuffer(shingles, dtype=_U)))
+            yield told()
+            out = []
+        if key:
+            out += settle(key[0], held)
+            yield told()
+
+    return run
 
 
 _PREFIXES = "hub long, token long, rep long, n long, d long, e long, component long, odd boolean, low boolean, left long"
@@ -182,57 +226,56 @@ class _Join:
         self.signed = stage_table(self.docs.mapInArrow(_signatures(trees), _SIGNED), "signatures")
         # one vertex for equal sets; empty sets stay out
         classes = self.signed.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("paths").alias("paths"))
-        self.classes = stage_table(classes, "classes")
+        self.classes = stage_table(classes.withColumnRenamed("s1", "v"), "classes")
         self.sets: DataFrame | None = None
+        # whether rows repeat an id, so that a set can come more than once
+        self.repeats = not self.signed.groupBy("doc_id").count().filter("count > 1").isEmpty()
 
     def same_sets(self) -> DataFrame:
         own = self.signed.filter("n > 0").select("s1", "s2", "doc_id")
-        reps = self.classes.select("s1", "s2", "rep")
+        reps = self.classes.select(F.col("v").alias("s1"), "s2", "rep")
         return own.join(reps, ["s1", "s2"]).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
 
     def nodes(self) -> DataFrame:
-        """node, rep, n, members of the nodes that are compared: small ones as they arise, all at the last depth."""
+        """node, v, n, members of the nodes that are compared: small ones as they arise, all at the last depth."""
         each = [F.struct(*[F.col("paths")[tree * DEPTH + k].alias(f"node_{k}") for k in range(DEPTH)]) for tree in range(self.trees)]
-        open_, done = self.classes.select("rep", "n", F.explode(F.array(*each)).alias("x")).select("rep", "n", "x.*"), None
+        open_, done = self.classes.select("v", "n", F.explode(F.array(*each)).alias("x")).select("v", "n", "x.*"), None
         for k in range(DEPTH):
             here = F.col(f"node_{k}")
             shared = open_.groupBy(here).agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
             placed = stage_table(open_.join(shared, f"node_{k}"), f"nodes-{k}")
             settled = placed if k == DEPTH - 1 else placed.filter(F.col("members") <= SMALL)
-            settled = settled.select(here.alias("node"), "rep", "n", "members")
+            settled = settled.select(here.alias("node"), "v", "n", "members")
             done = settled if done is None else done.unionByName(settled)
             open_ = placed.filter(F.col("members") > SMALL).drop("members", f"node_{k}")
         return done
 
-    def feasible(self) -> Column:
-        """Whether the sizes n_a and n_b allow a link."""
-        return 100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")
-
-    def with_sets(self, pairs: DataFrame) -> DataFrame:
-        """pairs (a, b, ...; a table) with set_a and set_b. A hub's set goes to several tasks, by a hash of b."""
-        lanes = max(16, pairs.count() // SPREAD)
-        dealt = pairs.withColumn("lane", F.pmod(F.xxhash64("b"), F.lit(lanes)))
-        left = self.sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
-        right = self.sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
-        heads = dealt.select("a", "lane").distinct().join(left, "a")
-        return dealt.join(right, "b").join(heads, ["a", "lane"])
-
-    def judged(self, pairs: DataFrame, name: str) -> DataFrame:
-        """a, b, n_a, n_b, shared, linked of distinct pairs (a, b, n_a, n_b), by their full sets, as a table."""
-        got = self.with_sets(stage_table(pairs.select("a", "b", "n_a", "n_b").distinct(), f"{name}-pairs")).mapInArrow(_overlaps, "a long, b long, n_a long, n_b long, shared long")
-        # rows that repeat a doc_id have several sets: the one that shares most counts
-        got = got.groupBy("a", "b", "n_a", "n_b").agg(F.max("shared").alias("shared"))
-        return stage_table(got.withColumn("linked", 100 * F.col("shared") >= self.percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))), name)
+    def compared(self, pairs: DataFrame, name: str, members: bool) -> DataFrame:
+        """Distinct pairs (a, b, n_a, n_b) compared on their full sets, as a table (see _compare).
+
+        A hub's set goes once to each of its lanes, a member's once to each of its hubs.
+        """
+        pairs = stage_table(pairs.select("a", "b", "n_a", "n_b").distinct(), f"{name}-pairs")
+        sizes = pairs.groupBy("a", "n_a").agg(F.count(F.lit(1)).alias("size"), F.sum("n_b").alias("held"))
+        lanes = F.greatest(F.ceil(F.col("size") / LANE), F.ceil(F.col("held") / LANE_SHINGLES))
+        dealt = pairs.join(sizes.select("a", "size", lanes.alias("lanes")), "a").withColumn("lane", F.pmod(F.xxhash64("b"), F.col("lanes"))).withColumn("whole", F.col("lanes") == 1)
+        columns = ("a", "lane", "b", "n_b", "size", "whole")
+        heads = dealt.select("a", "lane", F.col("a").alias("b"), F.col("n_a").alias("n_b"), "size", "whole").distinct()
+        rows = dealt.select(*columns).unionByName(heads.select(*columns)).join(self.sets.withColumnRenamed("v", "b"), "b")
+        n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.repartition(n, "a", "lane").sortWithinPartitions("a", "lane", F.col("b") != F.col("a"), "b")
+        return stage_table(rows.mapInArrow(_compare(self.percent, members), _COMPARED), name)
 
     def beside_hubs(self, judged: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(members of hubs beside which several components lie, certain links among them).
 
         Members: hub, rep, n, d (shingles that set it off from the hub), e, component, odd (not in the hub's main
-        component), least (what the e of a partner is at least), size (members). Two members x, y of one hub are linked
+        component), least (what the e of a partner is at least), size (members), tokens. Hubs that are one lane are settled
+        already and left out. Two members x, y of one hub are linked
         where 2 (100 + percent) |D & E| >= e of x + e of y.
         """
         p = self.percent
-        rows = judged.select(F.col("a").alias("hub"), F.col("b").alias("rep"), F.col("n_b").alias("n"), F.col("n_a").alias("n_hub"), (F.col("n_a") + F.col("n_b") - 2 * F.col("shared")).alias("d"))
+        rows = judged.filter("tokens IS NOT NULL").select(F.col("a").alias("hub"), F.col("b").alias("rep"), F.col("n_b").alias("n"), F.col("n_a").alias("n_hub"), (F.col("n_a") + F.col("n_b") - 2 * F.col("shared")).alias("d"), "tokens")
         rows = rows.join(labels.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         rows = rows.withColumn("e", (100 + p) * F.col("d") - (100 - p) * F.col("n"))
         parts = stage_table(rows.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("k"), F.min("e").alias("e")), "parts")
@@ -245,21 +288,17 @@ class _Join:
         odd = F.col("component") != F.col("main")
         least = F.greatest(by_size, F.col("e") - 2 * (100 - p) * large, F.when(odd, F.col("least_all")).otherwise(F.col("least_odd")))
         rows = rows.join(bounds, "hub").withColumn("odd", odd).withColumn("least", least)
-        rows = stage_table(rows.select("hub", "rep", "n", "d", "e", "component", "odd", "least", "size"), "beside")
+        rows = stage_table(rows.select("hub", "rep", "n", "d", "e", "component", "odd", "least", "size", "tokens"), "beside")
         nearest = rows.groupBy("hub").agg(F.min(F.struct("e", "rep", "component")).alias("y"))
         sure = rows.join(nearest, "hub").filter((F.col("e") + F.col("y.e") <= 0) & (F.col("rep") != F.col("y.rep")) & (F.col("component") != F.col("y.component")))
         return rows, sure.select(F.col("y.rep").alias("a"), F.col("rep").alias("b"))
 
     def prefixes(self, rows: DataFrame) -> DataFrame:
         """Elements by which members of a hub may find each other, as a table."""
-        pairs = stage_table(rows.select(F.col("hub").alias("a"), F.col("rep").alias("b")), "beside-pairs")
-        found = self.with_sets(pairs).mapInArrow(_differences, "hub long, rep long, tokens array<long>")
-        found = stage_table(rows.join(found, ["hub", "rep"]), "differences")
         # common elements come last: those that more than the root of the members have, at most root x mean |D| of a hub
-        often = found.select("hub", "size", F.explode("tokens").alias("token")).groupBy("hub", "size", "token").agg(F.count(F.lit(1)).alias("k")).filter("k > 2 AND k * k > size")
+        often = rows.select("hub", "size", F.explode("tokens").alias("token")).groupBy("hub", "size", "token").agg(F.count(F.lit(1)).alias("k")).filter("k > 2 AND k * k > size")
         often = often.groupBy("hub").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "token"))), lambda x: x["token"]).alias("often"))
-        lanes = max(16, pairs.count() // SPREAD)
-        found = found.withColumn("lane", F.pmod(F.xxhash64("rep"), F.lit(lanes)))
+        found = rows.withColumn("lane", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / LANE)))
         heads = found.select("hub", "lane").distinct().join(often, "hub")
         return stage_table(found.join(heads, ["hub", "lane"], "left").mapInArrow(_prefixes(self.percent), _PREFIXES), "prefixes")
 
@@ -296,25 +335,28 @@ class _Join:
         """doc_id (distinct), n_shingles, component."""
         members = self.nodes()
         # texts are shuffled once, to get the sets of documents that share a node
-        ids = members.select(F.col("rep").alias("doc_id")).distinct()
-        self.sets = stage_table(self.docs.join(ids, "doc_id", "left_semi").mapInArrow(_packed_sets, "doc_id long, shingles binary"), "sets")
+        ids = members.select("v").distinct().join(self.classes.select("v", F.col("rep").alias("doc_id")), "v").select("doc_id").distinct()
+        sets = self.docs.join(ids, "doc_id", "left_semi").mapInArrow(_packed_sets, "v long, shingles binary")
+        self.sets = stage_table(sets.dropDuplicates(["v"]) if self.repeats else sets, "sets")
         # the hub of a node: whoever meets most others over all trees
-        met = members.groupBy("rep").agg(F.sum("members").alias("met"))
-        placed = stage_table(members.join(met, "rep"), "placed")
-        hubs = placed.groupBy("node").agg(F.max(F.struct("met", -F.col("rep"), "rep", "n")).alias("hub"))
-        around = placed.join(hubs, "node").filter("rep <> hub.rep")
-        judged = self.judged(around.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"), F.col("hub.n").alias("n_a"), F.col("n").alias("n_b")), "hubs")
+        met = members.groupBy("v").agg(F.sum("members").alias("met"))
+        placed = stage_table(members.join(met, "v"), "placed")
+        hubs = placed.groupBy("node").agg(F.max(F.struct("met", -F.col("v"), "v", "n")).alias("hub"))
+        around = placed.join(hubs, "node").filter("v <> hub.v")
+        judged = self.compared(around.select(F.col("hub.v").alias("a"), F.col("v").alias("b"), F.col("hub.n").alias("n_a"), F.col("n").alias("n_b")), "hubs", members=True)
         found = judged.filter("linked").select("a", "b")
-        rows, sure = self.beside_hubs(judged, components(found))
-        found = found.unionByName(sure)
-        tokens = self.prefixes(rows)
-        starred = self.judged(self.stars(tokens), "stars").filter("linked").select("a", "b")
-        if not starred.isEmpty():
-            found = found.unionByName(starred)
+        if not judged.filter("tokens IS NOT NULL").isEmpty():
+            rows, sure = self.beside_hubs(judged, components(found))
+            tokens = self.prefixes(rows)
+            starred = self.compared(self.stars(tokens), "stars", members=False).filter("linked").select("a", "b")
+            found = found.unionByName(sure).unionByName(starred)
             labels = components(found)
             tokens = tokens.drop("component").join(labels.select(F.col("v").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        found = found.unionByName(self.judged(self.candidates(tokens), "links").filter("linked").select("a", "b"))
-        labels = components(self.same_sets().unionByName(found))
+            found = found.unionByName(self.compared(self.candidates(tokens), "links", members=False).filter("linked").select("a", "b"))
+        # back to documents: rows that repeat an id join its sets
+        reps = self.classes.select("v", "rep")
+        links = found.join(reps.withColumnsRenamed({"v": "a", "rep": "x"}), "a").join(reps.withColumnsRenamed({"v": "b", "rep": "y"}), "b")
+        labels = components(self.same_sets().unionByName(links.select(F.col("x").alias("a"), F.col("y").alias("b"))))
         sizes = self.signed.groupBy("doc_id").agg(F.max("n").alias("n_shingles"))
         return sizes.join(labels.withColumnRenamed("v", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
 
