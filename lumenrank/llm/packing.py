@@ -1,33 +1,38 @@
-"""Best-fit packing of token sequences, in bulk-synchronous steps.
+"""Best-fit packing of token sequences in bulk-synchronous rounds.
 
-Pieces and open gaps are ordered by size. As sizes are whole numbers up to the capacity, both
-sides are runs of equal size: a sweep from the longest pieces down takes, for each run of pieces,
-the smallest gaps that hold them (the successor gaps), gives out the gaps by rank within the run,
-turns what is left of them into smaller gaps, and goes on. The sweep sees only how many pieces
-of each length there are (at most ``capacity`` rows, whatever the corpus holds); the ranks, and each
-piece's place, are found where the pieces are.
+Units (pieces, tiny ones bundled) and open gaps are tables. The longest units open as many sequences as all
+tokens need at least. In each round units and gaps are range-sorted together by size, from the largest down, gaps
+first among equals, and matched by a distributed successor sweep: every unit takes the smallest gap before it that no
+longer unit has taken, just as a closing bracket meets its opening one. Running sums give each bracket its depth
+(only a sum and a minimum of each range pass through the driver), and at each depth gaps and units alternate, so the rank in
+the sorted order resolves all conflicts. What is left of a gap is a smaller gap of the next round. When a round matches
+nothing, the longest units that are left open as many sequences as their tokens need.
+
+A round takes at most one unit for each gap; units have ``TINY`` tokens or more (but for one), so a sequence of
+``capacity`` is full after capacity / TINY rounds, whatever the number of documents.
 
 Nulls: a null text is the empty text (its document holds just the end id); a null doc_id is kept.
-Repeated rows are packed as often as they occur. An empty table gives no rows. Other columns are
-ignored.
+Repeated rows are packed as often as they occur; ties of length go by doc_id, piece and checksum, equal rows in any
+order. A very long text is encoded at once, which must fit in a Python worker. An empty table gives no rows. Other
+columns are ignored by ``pack_documents`` and kept by ``place_pieces``.
 """
 
 from __future__ import annotations
 
-import bisect
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenrank.llm.common import small_batches, stage_table
+from lumenrank.functions.ranks import global_row_number
+from lumenrank.llm.common import free_names, small_batches, stage_table
 from lumenrank.llm.tokens import encoder
 
-#: Pieces in one block that ranks equal lengths together.
-RANK_ROWS = 100_000
+#: Pieces of so many tokens or fewer are bundled, in order of length, into units of at least so many.
+TINY = 32
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -53,86 +58,87 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: i
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, _PIECES)
 
 
-def best_fit_sweep(counts: Iterable[tuple[int, int]], capacity: int) -> dict[str, np.ndarray]:
-    """Where pieces of each length go, as runs: (length, first rank, first sequence, pieces a sequence, offset).
+def bundled(pieces: DataFrame, rank: str) -> DataFrame:
+    """rank, unit, within (place in the unit), size (of the unit) of pieces with a rank by falling length.
 
-    counts: pieces of each length. A piece of a length and rank r belongs to the last run of that
-    length with first rank <= r; with i = r - first rank it lies in sequence ``first + i // each``
-    at ``offset + (i % each) * length``.
+    A longer piece is a unit of its own (its rank); tiny ones share one with their neighbours in rank.
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}  # size of the gap: runs of (first sequence, sequences)
-    sizes: list[int] = []
-    opened, runs = 0, []
-
-    def leave(size: int, first: int, n: int) -> None:
-        if size and n:
-            if size not in gaps:
-                gaps[size] = []
-                bisect.insort(sizes, size)
-            gaps[size].append((first, n))
-
-    for length, left in sorted(counts, reverse=True):
-        rank = 0
-        while left:
-            at = bisect.bisect_left(sizes, length)
-            if at < len(sizes):
-                size = sizes[at]
-                first, n = gaps[size].pop()
-                if not gaps[size]:
-                    del gaps[size]
-                    sizes.pop(at)
-            else:
-                size, first, n = capacity, opened, -(-left // (capacity // length))
-                opened += n
-            each = size // length
-            taken = min(left, n * each)
-            full, rest = divmod(taken, each)
-            runs.append((length, rank, first, each, capacity - size))
-            leave(size - each * length, first, full)
-            if rest:
-                leave(size - rest * length, first + full, 1)
-            leave(size, first + full + bool(rest), n - full - bool(rest))
-            rank, left = rank + taken, left - taken
-    names = ("length", "rank", "first", "each", "offset")
-    return dict(zip(names, np.array(runs, dtype=np.int64).reshape(-1, 5).T, strict=True))
-
-
-def rank_by_length(pieces: DataFrame) -> tuple[DataFrame, list[tuple[int, int]]]:
-    """pieces with the rank of each among those of its length (from 0), and the number of each length.
-
-    A common length is ranked in blocks, each in a task of its own; the blocks' sizes give the offsets.
+    tiny = stage_table(pieces.filter(F.col("length") <= TINY).select(rank, "length"), "tiny")
+    alone = pieces.filter(F.col("length") > TINY).select(rank, F.col(rank).alias("unit"), F.lit(0).cast("long").alias("within"), F.col("length").alias("size"))
+    # tokens before each tiny piece: they come last in rank, so ranges of ranks have them in order
+    first = tiny.agg(F.min(rank)).first()[0]
+    if first is None:
+        return alone
+    block = F.floor((F.col(rank) - first) / 65_536)
+    sums = tiny.groupBy(block.alias("block")).agg(F.sum("length").alias("n"))
+    blocks = sums.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    inside = F.sum("length").over(Window.partitionBy("block").orderBy(rank)) - F.col("length")
+    # a row for each 65,536 pieces
+    placed = tiny.withColumn("block", block).withColumn("inside", inside).join(F.broadcast(blocks), "block").withColumn("at", F.col("before") + F.col("inside"))
+    placed = stage_table(placed.select(rank, "length", "at", F.floor(F.col("at") / TINY).alias("bundle")), "placed")
+    # at most TINY pieces each
+    bundles = placed.groupBy("bundle").agg(F.min(rank).alias("unit"), F.min("at").alias("start"), F.sum("length").alias("size"))
+    shared = placed.join(bundles, "bundle").select(rank, "unit", (F.col("at") - F.col("start")).alias("within"), "size")
+    return alone.unionByName(shared)
+
+
+def sweep(units: DataFrame, gaps: DataFrame) -> DataFrame:
+    """unit, size, sequence, room: units matched with gaps (sequence, room), each gap once, as a table.
+
+    Going from the largest size down, a unit takes the last gap that is still open.
     """
-    n = pieces.count()
-    blocks = max(16, -(-n // RANK_ROWS))
-    pieces = pieces.withColumn("_block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)).cast("int"))
-    sized = pieces.groupBy("length", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("length").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
-    sized = stage_table(sized.withColumn("_before", F.coalesce(before, F.lit(0))), "lengths")
-    counts = [(r[0], r[1]) for r in sized.groupBy("length").agg(F.sum("_n")).collect()]
-    inside = F.row_number().over(Window.partitionBy("length", "_block").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = pieces.withColumn("_inside", inside).join(sized.drop("_n"), ["length", "_block"])
-    return ranked.withColumn("rank", F.col("_before") + F.col("_inside")).drop("_block", "_inside", "_before"), counts
+    spark = units.sparkSession
+    order = [F.desc("size"), F.col("closes"), F.col("id")]
+    events = gaps.select(F.col("sequence").alias("id"), F.col("room").alias("size"), F.lit(False).alias("closes")).unionByName(units.select(F.col("unit").alias("id"), "size", F.lit(True).alias("closes")))
+    dealt = stage_table(events.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "events")
+    within = Window.partitionBy("part").orderBy(*order)
+    dealt = dealt.withColumn("sum", F.sum(F.when(F.col("closes"), -1).otherwise(1)).over(within)).withColumn("low", F.min("sum").over(within))
+    carried, total, low = [], 0, 0
+    for part, last, least in sorted(tuple(r) for r in dealt.groupBy("part").agg(F.sum(F.when(F.col("closes"), -1).otherwise(1)), F.min("sum")).collect()):
+        carried.append((part, total, low))
+        total, low = total + last, min(low, total + least)
+    # one row for each range
+    before = F.broadcast(spark.createDataFrame(carried, "part int, before long, lowest long"))
+    deep = dealt.join(before, "part").withColumn("sum", F.col("sum") + F.col("before")).withColumn("low", F.least(F.col("low") + F.col("before"), F.col("lowest"), F.lit(0)))
+    # a unit that meets no open gap lies at depth 1 below the lowest sum, and follows another unit or nothing there
+    deep = deep.withColumn("depth", F.col("sum") - F.col("low") + F.col("closes").cast("int"))
+    last = Window.partitionBy("depth").orderBy(*order)
+    met = deep.withColumn("gap", F.lag(F.struct("closes", "id", "size")).over(last)).filter(F.col("closes") & ~F.col("gap.closes"))
+    return stage_table(met.select(F.col("id").alias("unit"), "size", F.col("gap.id").alias("sequence"), F.col("gap.size").alias("room")), "matched")
+
+
+def place_units(units: DataFrame, capacity: int) -> DataFrame:
+    """unit, sequence, start of units (unit, size; a table): numbers by falling size, in rounds."""
+    left, gaps, out, opened = units, None, None, 0
+    while True:
+        n, tokens, least = left.agg(F.count(F.lit(1)), F.sum("size"), F.min("size")).first()
+        if not n:
+            return out if out is not None else units.select("unit", F.lit(0).cast("long").alias("sequence"), F.lit(0).cast("long").alias("start"))
+        met = None if gaps is None else sweep(left, gaps.filter(F.col("room") >= least))
+        if met is not None and not met.isEmpty():
+            new = met.select("unit", "sequence", (F.lit(capacity) - F.col("room")).cast("long").alias("start"))
+            left = stage_table(left.join(met.select("unit"), "unit", "left_anti"), "left")
+            rest = gaps.join(met.select("sequence", (F.col("room") - F.col("size")).alias("rest")), "sequence", "left")
+            gaps = stage_table(rest.select("sequence", F.coalesce("rest", "room").alias("room")).filter(F.col("room") >= least), "gaps")
+        else:
+            k = -(-tokens // capacity)
+            ranked = stage_table(global_row_number(left, [F.desc("size"), F.col("unit")], "k"), "ranked")
+            longest = ranked.filter(F.col("k") <= k)
+            new = longest.select("unit", (F.col("k") + opened).alias("sequence"), F.lit(0).cast("long").alias("start"))
+            fresh = longest.select((F.col("k") + opened).alias("sequence"), (capacity - F.col("size")).alias("room"))
+            gaps = stage_table(fresh if gaps is None else gaps.unionByName(fresh), "gaps")
+            left, opened = ranked.filter(F.col("k") > k).drop("k"), opened + k
+        out = new if out is None else out.unionByName(new)
 
 
 def place_pieces(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     """pieces (any columns with length from 1 to capacity, doc_id, piece, ids_crc32) with sequence_id and offset."""
-    ranked, counts = rank_by_length(pieces)
-    plan = best_fit_sweep(counts, capacity)
-    # runs are in the order of falling length and rising rank; one sorted key finds a piece's run
-    key = (capacity - plan["length"]) * (1 << 48) + plan["rank"]
-
-    def place(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in found:
-            length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
-            at = np.searchsorted(key, (capacity - length) * (1 << 48) + rank, side="right") - 1
-            i, each = rank - plan["rank"][at], plan["each"][at]
-            kept = batch.drop_columns(["rank"])
-            yield kept.append_column("sequence_id", pa.array(plan["first"][at] + i // each)).append_column("offset", pa.array(plan["offset"][at] + i % each * length))
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([f for f in ranked.schema.fields if f.name != "rank"] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.mapInArrow(place, schema)
+    (rank,) = free_names([*pieces.columns, "length", "unit", "within", "size"], "rank")
+    ranked = stage_table(global_row_number(pieces, [F.desc("length"), F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], rank), "pieces-ranked")
+    units = stage_table(bundled(ranked, rank), "units")
+    placed = place_units(stage_table(units.select("unit", "size").distinct(), "sizes"), capacity)
+    at = units.join(placed, "unit").select(F.col(rank), F.col("sequence").alias("sequence_id"), (F.col("start") + F.col("within")).alias("offset"))
+    return ranked.join(at, rank).select(*pieces.columns, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
