@@ -13,7 +13,7 @@ import corpus_pipeline
 from lumenrank.llm import ann, pii, registry
 from lumenrank.llm.ann import nearest
 from lumenrank.llm.common import documents
-from lumenrank.llm.packing import best_fit_sweep, pack_documents
+from lumenrank.llm.packing import pack_documents, place_pieces, sweep
 from lumenrank.llm import quality_crf
 from lumenrank.llm.quality_crf import Model, keep_good, line_features, line_measures, marginals, score_documents, train
 from lumenrank.llm.token_store import EliasFano, Shard, encode_shard, token_files, write_token_files
@@ -116,24 +116,39 @@ def test_packing(spark, odd, none, which):
     assert len(held) <= 1.02 * sum(r.length for r in got) / 1024 + 1
 
 
-def test_sweep_is_best_fit_decreasing():
+def test_sweep_matches_successor_gaps(spark):
+    """From the longest unit down, each takes the smallest gap that is left and holds it; ties by number."""
     rng = np.random.default_rng(6)
-    for _ in range(20):
-        lengths = rng.integers(1, 65, 400)
-        plan = best_fit_sweep(Counter(lengths.tolist()).items(), 64)
-        sequences = set()
-        for i, (n, rank, first, each, _) in enumerate(zip(*(plan[k] for k in ("length", "rank", "first", "each", "offset")))):
-            last = i + 1 == len(plan["length"]) or plan["length"][i + 1] != n
-            upto = Counter(lengths.tolist())[n] if last else plan["rank"][i + 1]
-            sequences |= {int(first + (r - rank) // each) for r in range(rank, upto)}
+    for n_units, n_gaps in ((60, 40), (40, 60), (5, 0), (0, 5), (30, 30)):
+        units, gaps = rng.integers(1, 20, n_units).tolist(), rng.integers(1, 25, n_gaps).tolist()
+        got = {r.unit: (r.sequence, r.room) for r in sweep(spark.createDataFrame(list(enumerate(units)), "unit long, size long"), spark.createDataFrame(list(enumerate(gaps)), "sequence long, room long")).collect()}
+        open_, want = dict(enumerate(gaps)), {}
+        for u in sorted(range(n_units), key=lambda u: (-units[u], u)):
+            fits = [(room, -g) for g, room in open_.items() if room >= units[u]]
+            if fits:
+                room, g = min(fits)
+                want[u] = (-g, room)
+                del open_[-g]
+        assert got == want
+
+
+def test_rounds_pack_about_as_well_as_best_fit_decreasing(spark):
+    rng = np.random.default_rng(7)
+    for lengths in (rng.integers(1, 1025, 600), np.minimum(1024, rng.exponential(200, 900).astype(int) + 1), np.ones(5000, dtype=int), np.full(50, 600)):
+        rows = [(i % 7, i, int(n), 0) for i, n in enumerate(lengths)]
+        got = place_pieces(spark.createDataFrame(rows, "doc_id long, piece int, length long, ids_crc32 long")).collect()
+        held = defaultdict(list)
+        for r in got:
+            held[r.sequence_id].append((r.offset, r.length))
+        assert len(got) == len(rows) and all(sum(n for _, n in x) <= 1024 and [o for o, _ in sorted(x)] == [sum(n for _, n in sorted(x)[:i]) for i in range(len(x))] for x in held.values())
         bins = []
         for n in sorted(lengths.tolist(), reverse=True):
             fits = [b for b in range(len(bins)) if bins[b] >= n]
             if fits:
                 bins[min(fits, key=lambda b: bins[b])] -= n
             else:
-                bins.append(64 - n)
-        assert len(sequences) == len(bins)
+                bins.append(1024 - n)
+        assert len(held) <= 1.02 * len(bins) + 1
 
 
 # --- quality
