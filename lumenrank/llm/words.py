@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are hashed in runs of about so many bytes (a longer text makes a run of its own).
-RUN_BYTES = 2_000_000
+RUN_BYTES = 500_000
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
