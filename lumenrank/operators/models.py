@@ -69,7 +69,7 @@ def _elastic_net(train: DataFrame, target: str) -> LinearRegression:
 
 REGRESSORS: dict[str, Callable[[DataFrame, str], object]] = {
     "elasticnet": _elastic_net,
-    "random_forest": lambda train, y: RandomForestRegressor(featuresCol="_x", labelCol=y, numTrees=300, minInstancesPerNode=2, featureSubsetStrategy="all", maxDepth=30, seed=42),
+    "random_forest": lambda train, y: RandomForestRegressor(featuresCol="_x", labelCol=y, numTrees=300, minInstancesPerNode=2, featureSubsetStrategy="all", maxDepth=30, maxMemoryInMB=1024, seed=42),
     "gbt": lambda train, y: GBTRegressor(featuresCol="_x", labelCol=y, maxDepth=4, maxIter=100, stepSize=0.1, seed=42),
 }
 
