@@ -347,11 +347,13 @@ class _Join:
         found = judged.filter("linked").select("a", "b")
         if not judged.filter("tokens IS NOT NULL").isEmpty():
             rows, sure = self.beside_hubs(judged, components(found))
-            tokens = self.prefixes(rows)
-            starred = self.compared(self.stars(tokens), "stars", members=False).filter("linked").select("a", "b")
+            starred = self.compared(self.stars(self.prefixes(rows)), "stars", members=False).filter("linked").select("a", "b")
             found = found.unionByName(sure).unionByName(starred)
-            labels = components(found)
-            tokens = tokens.drop("component").join(labels.select(F.col("v").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+            # members by what the stars have joined; hubs beside which one component is left are done
+            labels = components(found).withColumnRenamed("v", "rep")
+            rows = rows.drop("component").join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+            mixed = rows.groupBy("hub").agg((F.min("component") < F.max("component")).alias("mixed")).filter("mixed").select("hub")
+            tokens = self.prefixes(stage_table(rows.join(mixed, "hub", "left_semi"), "beside"))
             found = found.unionByName(self.compared(self.candidates(tokens), "links", members=False).filter("linked").select("a", "b"))
         # back to documents: rows that repeat an id join its sets
         reps = self.classes.select("v", "rep")
