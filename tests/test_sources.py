@@ -157,3 +157,39 @@ def test_texts(spark):
     assert "mixed visual evidence" in got[1] and "no strong concept signals" in got[1]
     one = with_concepts(spark.createDataFrame([("a",)], "image_id string")).first()
     assert one.concept_layered_depth == 0.5 and one.concept_dramatic_mood == pytest.approx(0.5)
+
+
+def test_phash_against_a_plain_reduction(spark):
+    """Bits of the low frequencies of a 32 x 32 reduction: larger sides are averaged by cell, smaller ones repeated."""
+    rng = np.random.default_rng(4)
+    cos = np.array([[np.sqrt((1 if u == 0 else 2) / 32) * np.cos(np.pi * (2 * k + 1) * u / 64) for k in range(32)] for u in range(8)])
+    rows, want = [], {}
+    for i, (h, w) in enumerate(((8, 8), (40, 50), (32, 20), (64, 7))):
+        image = rng.integers(0, 256, (h, w)).astype(float)
+        rows += [(str(i), y, x, float(image[y, x])) for y in range(h) for x in range(w)]
+        small = image
+        for axis, n in ((0, h), (1, w)):
+            cells = np.arange(n) * 32 // n if n >= 32 else None
+            take = lambda k: np.flatnonzero(cells == k) if cells is not None else [k * n // 32]  # noqa: E731, B023
+            small = np.stack([np.take(small, take(k), axis=axis).mean(axis=axis) for k in range(32)], axis=axis)
+        low = (cos @ small @ cos.T).round(9)
+        middle = np.median(low[1:].ravel())
+        want[str(i)] = "".join("1" if c > middle else "0" for c in low.ravel())
+    px = spark.createDataFrame(rows, "image_id string, y int, x int, gray double")
+    assert {r.image_id: r.phash for r in pixels.phash(px).collect()} == want
+
+
+def test_quantiles_and_safe_swap(spark, tmp_path):
+    from lumenrank.functions.ranks import quantiles
+
+    rng = np.random.default_rng(8)
+    a, b = rng.integers(0, 50, 501).astype(float), rng.normal(size=501)
+    df = spark.createDataFrame([(float(x), None if i % 5 == 0 else float(y), None) for i, (x, y) in enumerate(zip(a, b))], "a double, b double, c double").repartition(5)
+    got = quantiles(df, ["a", "b", "c"], [0.0, 0.25, 0.5, 0.93, 1.0])
+    assert got["c"] == [None] * 5
+    assert np.allclose(got["a"], np.quantile(a, [0.0, 0.25, 0.5, 0.93, 1.0]))
+    assert np.allclose(got["b"], np.quantile(np.delete(b, range(0, 501, 5)), [0.0, 0.25, 0.5, 0.93, 1.0]))
+    path = str(tmp_path / "t")
+    tables.write_table(df, path)
+    tables.write_table(spark.read.parquet(path).select("a"), path)
+    assert spark.read.parquet(path).columns == ["a"] and [p.name for p in tmp_path.iterdir()] == ["t"]
