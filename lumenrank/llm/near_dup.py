@@ -177,6 +177,23 @@ def _compare(percent: int, members: bool):
     return run
 
 
+def _repeated(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """hub, size, token, k: elements that several members of a hub have, counted within each batch (once there: left out)."""
+    for batch in found:
+        tokens = batch.column("tokens")
+        row = np.repeat(np.arange(batch.num_rows), np.diff(tokens.offsets.to_numpy()))
+        own, hub = tokens.flatten().to_numpy(), batch.column("hub").to_numpy()[row]
+        order = np.lexsort((own, hub))
+        own, hub, row = own[order], hub[order], row[order]
+        new = np.ones(len(own), dtype=bool)
+        new[1:] = (own[1:] != own[:-1]) | (hub[1:] != hub[:-1])
+        first = np.flatnonzero(new)
+        k = np.diff(np.append(first, len(own)))
+        first, k = first[k > 1], k[k > 1]
+        size = batch.column("size").to_numpy()[row[first]]
+        yield pa.RecordBatch.from_arrays([pa.array(hub[first]), pa.array(size), pa.array(own[first]), pa.array(k)], names=["hub", "size", "token", "k"])
+
+
 _PREFIXES = "hub long, token long, rep long, n long, d long, e long, component long, odd boolean, low boolean, left long"
 
 
@@ -295,8 +312,10 @@ class _Join:
 
     def prefixes(self, rows: DataFrame) -> DataFrame:
         """Elements by which members of a hub may find each other, as a table."""
-        # common elements come last: those that more than the root of the members have, at most root x mean |D| of a hub
-        often = rows.select("hub", "size", F.explode("tokens").alias("token")).groupBy("hub", "size", "token").agg(F.count(F.lit(1)).alias("k")).filter("k > 2 AND k * k > size")
+        # common elements come last: those that more than the root of the members have, at most root x mean |D| of a hub.
+        # Any one order serves, so those that no batch has twice need not be counted
+        often = rows.select("hub", "size", "tokens").mapInArrow(_repeated, "hub long, size long, token long, k long")
+        often = often.groupBy("hub", "size", "token").agg(F.sum("k").alias("k")).filter("k > 2 AND k * k > size")
         often = often.groupBy("hub").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "token"))), lambda x: x["token"]).alias("often"))
         found = rows.withColumn("lane", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / LANE)))
         heads = found.select("hub", "lane").distinct().join(often, "hub")
