@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenrank.llm.ann import nearest
 from lumenrank.llm.common import documents
+from lumenrank.llm.divergence import source_divergence
 from lumenrank.llm.line_dedup import line_dedup_digest
 from lumenrank.llm.mixing import mix_sources
 from lumenrank.llm.near_dup import near_duplicate_classes
@@ -65,7 +66,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_digest(documents(spark, sf_dir), min_chars=10)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_crf, op2_syncmer_fingerprints, op3_nearest_neighbours, op4_best_fit_packing, op5_source_mix, op6_token_files, op7_substring_dedup, op8_near_duplicates, op9_pii_weak_supervision, op10_line_dedup)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(documents(spark, sf_dir), min_docs=10, top=10)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_crf, op2_syncmer_fingerprints, op3_nearest_neighbours, op4_best_fit_packing, op5_source_mix, op6_token_files, op7_substring_dedup, op8_near_duplicates, op9_pii_weak_supervision, op10_line_dedup, op11_source_divergence)}
 
 SQL: dict[str, str] = {}
 
@@ -132,3 +137,30 @@ edges AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
 reach AS (SELECT doc_id AS v, doc_id AS u FROM n UNION SELECT r.v, e.b FROM reach r JOIN edges e ON r.u = e.a)
 SELECT n.doc_id, n.n AS n_shingles, min(r.u) AS component_id, n.doc_id = min(r.u) AS kept FROM n JOIN reach r ON r.v = n.doc_id GROUP BY n.doc_id, n.n
 """
+
+SQL["op11_source_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+each AS (SELECT r, lang, source, translate(unnest(terms), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+counts AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM each GROUP BY lang, source, term),
+kept AS (SELECT lang, term, sum(n) AS n FROM counts GROUP BY lang, term HAVING sum(docs) >= 10),
+langs AS (SELECT lang, count(*) AS terms, sum(n) AS size FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+sizes AS (
+  SELECT g.lang, g.source, sum(c.n) AS size FROM groups g JOIN kept k ON g.lang = k.lang JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term GROUP BY g.lang, g.source),
+grid AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    CAST(1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2)) // CAST(coalesce(s.size, 0) + 2 * l.terms AS HUGEINT) AS HUGEINT) AS p,
+    CAST(1 + (CAST(1000000000 AS HUGEINT) * CAST(k.n + 2 AS HUGEINT)) // CAST(l.size + 2 * l.terms AS HUGEINT) AS HUGEINT) AS q
+  FROM groups g JOIN kept k ON g.lang = k.lang JOIN langs l ON g.lang = l.lang LEFT JOIN sizes s ON s.lang = g.lang AND s.source = g.source
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM grid a JOIN grid b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(x.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) AS value FROM grid WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
