@@ -20,6 +20,7 @@ from lumenrank.llm.substring import repeats_digest
 from lumenrank.llm.syncmers import compare_with_edits
 from lumenrank.llm.token_store import token_files
 from lumenrank.llm.tokens import vocabulary
+from lumenrank.llm.vector_codes import vector_codes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,7 +71,11 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(documents(spark, sf_dir), min_docs=10, top=10)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_crf, op2_syncmer_fingerprints, op3_nearest_neighbours, op4_best_fit_packing, op5_source_mix, op6_token_files, op7_substring_dedup, op8_near_duplicates, op9_pii_weak_supervision, op10_line_dedup, op11_source_divergence)}
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), parts=16, entries=64, rounds=2, scale=256)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_crf, op2_syncmer_fingerprints, op3_nearest_neighbours, op4_best_fit_packing, op5_source_mix, op6_token_files, op7_substring_dedup, op8_near_duplicates, op9_pii_weak_supervision, op10_line_dedup, op11_source_divergence, op12_vector_codes)}
 
 SQL: dict[str, str] = {}
 
@@ -164,3 +169,29 @@ ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
 SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
 """
+
+
+def _codebook_round(i: int) -> str:
+    """DuckDB SQL of codebooks c{i} from c{i - 1}; a whole-number key holds the distance and, below it, the entry."""
+    return f"""
+a{i} AS (
+  SELECT r, part, min(d * 64 + entry) AS nearest FROM (
+    SELECT e.r, e.part, c.entry, CAST(sum((e.v - c.v) * (e.v - c.v)) AS BIGINT) AS d FROM e JOIN c{i - 1} c ON e.part = c.part AND e.pos = c.pos GROUP BY e.r, e.part, c.entry) GROUP BY r, part),
+m{i} AS (
+  SELECT e.part, a.nearest % 64 AS entry, e.pos, CAST(sum(e.v) AS BIGINT) AS s, count(*) AS n FROM e JOIN a{i} a ON e.r = a.r AND e.part = a.part GROUP BY e.part, a.nearest % 64, e.pos),
+c{i} AS (
+  SELECT c.part, c.entry, c.pos, coalesce((m.s - ((m.s % m.n) + m.n) % m.n) // m.n, c.v) AS v FROM c{i - 1} c LEFT JOIN m{i} m ON m.part = c.part AND m.entry = c.entry AND m.pos = c.pos),"""
+
+
+SQL["op12_vector_codes"] = f"""
+WITH n AS (SELECT row_number() OVER () AS r, vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL),
+x AS (SELECT r, len(embedding) AS dims, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM n),
+odd AS (SELECT DISTINCT r FROM x WHERE x IS NULL OR NOT isfinite(x)),
+k AS (SELECT r, vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM n WHERE r NOT IN (SELECT r FROM odd)),
+e AS (SELECT k.r, CAST(i // (dims // 16) AS BIGINT) AS part, CAST(i % (dims // 16) AS BIGINT) AS pos, CAST(floor(256 * x) AS BIGINT) AS v FROM x JOIN k ON x.r = k.r),
+c0 AS (SELECT e.part, k.entry, e.pos, e.v FROM e JOIN k ON e.r = k.r WHERE k.entry < 64),{"".join(map(_codebook_round, (1, 2, 3)))}
+coded AS (
+  SELECT r, string_agg(printf('%02x', nearest % 64), '' ORDER BY part) AS code, CAST(sum(nearest // 64) AS BIGINT) AS error FROM a3 GROUP BY r),
+books AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, pos)) AS digest FROM c2)
+SELECT k.vec_id, c.code, c.error, CAST(sum(c.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error, b.digest AS codebooks_sha256 FROM coded c JOIN k ON c.r = k.r, books b
+"""
