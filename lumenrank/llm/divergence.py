@@ -18,6 +18,7 @@ without kept terms gives its pairs of sources with the value 0. Other columns ar
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,19 +49,18 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A cell holds a document's place in its block and, above so many bits, a number of occurrences there; more of them make more cells.
 PLACE_BITS = 13
 
-_COUNTED = "block long, chunk string, cells binary, langs array<string>, sources array<string>"
+_COUNTED = "block long, chunk string, cells binary"
 
 
-def _batch(block: int, chunk: pa.Array, counts: np.ndarray, cells: np.ndarray, langs: pa.Array | None = None, sources: pa.Array | None = None) -> pa.RecordBatch:
-    n = len(chunk)
+def _batch(block: int, chunk: pa.Array, counts: np.ndarray, cells: np.ndarray) -> pa.RecordBatch:
     offsets = np.r_[0, np.cumsum(counts * 4)].astype(np.int32)
-    packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(cells.astype("<u4"))])
-    names = [pa.nulls(n, pa.list_(pa.string())) if x is None else pa.array([x.to_pylist()], pa.list_(pa.string())) for x in (langs, sources)]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), chunk, packed, *names], names=["block", "chunk", "cells", "langs", "sources"])
+    packed = pa.Array.from_buffers(pa.binary(), len(chunk), [None, pa.py_buffer(offsets), pa.py_buffer(cells.astype("<u4"))])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(chunk), block)), chunk, packed], names=["block", "chunk", "cells"])
 
 
 def _count_block(held: list[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
-    """A row for each chunk of a block, and one without chunk that names the groups and the places where they begin."""
+    """A row for each chunk of a block, and one without cells that names the groups and the places where they begin; it
+    starts with a space, which no chunk holds."""
     docs = pa.Table.from_batches(held)
     lang, source = (docs.column(c).combine_chunks().dictionary_encode() for c in ("lang", "source"))
     group = np.asarray(lang.indices, dtype=np.int64) * len(source.dictionary) + np.asarray(source.indices)
@@ -69,7 +69,8 @@ def _count_block(held: list[pa.RecordBatch], block: int) -> Iterator[pa.RecordBa
     place[order] = np.arange(len(order))
     found, begins = np.unique(group[order], return_index=True)
     at_lang, at_source = np.divmod(found, len(source.dictionary))
-    yield _batch(block, pa.nulls(1, pa.string()), np.array([len(begins)]), begins, lang.dictionary.take(pa.array(at_lang)), source.dictionary.take(pa.array(at_source)))
+    head = " " + json.dumps([lang.dictionary.take(pa.array(at_lang)).to_pylist(), source.dictionary.take(pa.array(at_source)).to_pylist(), begins.tolist()])
+    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([head]), pa.nulls(1, pa.binary())], names=["block", "chunk", "cells"])
 
     lists = pc.ascii_split_whitespace(docs.column("text").combine_chunks())
     chunks, parent = lists.flatten(), np.asarray(pc.list_parent_indices(lists))
@@ -119,14 +120,13 @@ def _cells(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _merge_block(found: pa.Table) -> pa.Table:
-    """lang, source, term, n, docs of one block; rows hold terms in place of chunks."""
-    found = found.combine_chunks()
-    plain = pc.is_null(found["langs"])
-    head, rows = found.filter(pc.invert(plain)).combine_chunks(), found.filter(plain).combine_chunks()
-    whole = lambda t, c: pa.concat_arrays(t[c].chunks) if t[c].num_chunks else pa.array([], t[c].type)
-    _, begins = _cells(whole(head, "cells"))
-    terms = whole(rows, "term").dictionary_encode()
-    row, cell = _cells(whole(rows, "cells"))
+    """lang, source, term, n, docs of the rows (block, term, cells) of one block."""
+    plain = pc.is_valid(found["cells"])
+    langs, sources, begins = json.loads(found.filter(pc.invert(plain))["term"][0].as_py())
+    rows = found.filter(plain)
+    whole = lambda c: pa.concat_arrays(rows[c].chunks) if rows[c].num_chunks else pa.array([], rows[c].type)
+    terms = whole("term").dictionary_encode()
+    row, cell = _cells(whole("cells"))
     n = cell >> PLACE_BITS
     key = np.asarray(terms.indices, dtype=np.int64)[row] << PLACE_BITS | cell & (1 << PLACE_BITS) - 1
     order = np.argsort(key, kind="stable")
@@ -135,19 +135,19 @@ def _merge_block(found: pa.Table) -> pa.Table:
     fresh = np.r_[True, key[1:] != key[:-1]][: len(key)]  # the first cell of a document and term
     starts = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (group[1:] != group[:-1])][: len(key)])
     sums = lambda v: np.add.reduceat(v.astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
-    named = lambda c: whole(head, c).flatten().take(pa.array(group[starts]))
-    return pa.table({"lang": named("langs"), "source": named("sources"), "term": terms.dictionary.take(pa.array(term[starts])), "n": sums(n), "docs": sums(fresh)})
+    named = lambda names: pa.array(names, pa.string()).take(pa.array(group[starts]))
+    return pa.table({"lang": named(langs), "source": named(sources), "term": terms.dictionary.take(pa.array(term[starts])), "n": sums(n), "docs": sums(fresh)})
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), docs (documents) of docs (lang, source, text without nulls)."""
-    counted = stage_table(chunk_counts(docs), "chunks")
-    chunks = counted.filter("chunk IS NOT NULL")
+    # a chunk's rows, one for each block that has it, lie together: the first is cut into terms, which the others take over
+    same = Window.partitionBy("chunk").orderBy("block")
+    first = chunk_counts(docs).withColumn("first", F.row_number().over(same))
+    cut = F.when(F.col("cells").isNull(), F.array("chunk")).otherwise(F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM_PATTERN), F.lit(0)))
+    terms = first.withColumn("terms", F.when(F.col("first") == 1, cut)).withColumn("terms", F.first("terms", ignorenulls=True).over(same))
     # a term that a chunk holds several times stands in as many rows
-    dictionary = chunks.select("chunk").distinct().select("chunk", F.explode(F.regexp_extract_all("chunk", F.lit(TERM_PATTERN), F.lit(0))).alias("term")).withColumn("term", F.translate("term", UPPER, LOWER))
-    heads = counted.filter("chunk IS NULL").select("block", F.lit(None).cast("string").alias("term"), "cells", "langs", "sources")
-    # a hash table for each partition of the dictionary spares sorting all rows by their texts
-    each = chunks.join(dictionary.hint("shuffle_hash"), "chunk").select(*heads.columns).unionByName(heads)
+    each = terms.select("block", F.explode("terms").alias("term"), "cells")
     merged = each.groupBy("block").applyInArrow(_merge_block, "lang string, source string, term string, n long, docs long")
     return merged.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
