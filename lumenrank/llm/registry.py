@@ -11,6 +11,7 @@ from lumenrank.llm.ann import nearest
 from lumenrank.llm.common import documents
 from lumenrank.llm.divergence import source_divergence
 from lumenrank.llm.line_dedup import line_dedup_digest
+from lumenrank.llm.main_text import main_text
 from lumenrank.llm.mixing import mix_sources
 from lumenrank.llm.near_dup import near_duplicate_classes
 from lumenrank.llm.packing import pack_documents
@@ -75,7 +76,11 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), parts=16, entries=64, rounds=2, scale=256)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_crf, op2_syncmer_fingerprints, op3_nearest_neighbours, op4_best_fit_packing, op5_source_mix, op6_token_files, op7_substring_dedup, op8_near_duplicates, op9_pii_weak_supervision, op10_line_dedup, op11_source_divergence, op12_vector_codes)}
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_crf, op2_syncmer_fingerprints, op3_nearest_neighbours, op4_best_fit_packing, op5_source_mix, op6_token_files, op7_substring_dedup, op8_near_duplicates, op9_pii_weak_supervision, op10_line_dedup, op11_source_divergence, op12_vector_codes, op13_main_text)}
 
 SQL: dict[str, str] = {}
 
