@@ -3,10 +3,10 @@
 Units (pieces, tiny ones bundled) and open gaps are tables. The longest units open as many sequences as all
 tokens need at least. In each round units and gaps are range-sorted together by size, from the largest down, gaps
 first among equals, and matched by a distributed successor sweep: every unit takes the smallest gap before it that no
-longer unit has taken, just as a closing bracket meets its opening one. Running sums give each bracket its depth
-(only a sum and a minimum of each range pass through the driver), and at each depth gaps and units alternate, so the rank in
-the sorted order resolves all conflicts. What is left of a gap is a smaller gap of the next round. When a round matches
-nothing, the longest units that are left open as many sequences as their tokens need.
+longer unit has taken, just as a closing bracket meets its opening one. Ranges are matched apart; of what a range leaves
+over, only counts pass through the driver, and the rank in the sorted order resolves all conflicts. What is left of a gap
+is a smaller gap of the next round. When a round matches nothing, the longest units that are left open as many sequences as their
+tokens need.
 
 A round takes at most one unit for each gap; units have ``TINY`` tokens or more (but for one), so a sequence of
 ``capacity`` is full after capacity / TINY rounds, whatever the number of documents.
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,29 +83,76 @@ def bundled(pieces: DataFrame, rank: str) -> DataFrame:
     return alone.unionByName(shared)
 
 
-def sweep(units: DataFrame, gaps: DataFrame) -> DataFrame:
-    """unit, size, sequence, room: units matched with gaps (sequence, room), each gap once, as a table.
+def _met(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matches within a range of events: a unit takes the last gap of the range that is still open.
 
-    Going from the largest size down, a unit takes the last gap that is still open.
+    Units that meet no gap of their range, and gaps that no unit of it takes, are numbered, in the order of the range.
+    """
+    part, lost, opened = TaskContext.get().partitionId(), 0, []
+    for batch in found:
+        out = []
+        for id_, size, closes in zip(*[batch.column(c).to_pylist() for c in ("id", "size", "closes")], strict=True):
+            if not closes:
+                opened.append((id_, size))
+            elif opened:
+                out.append((part, None, id_, size, *opened.pop()))
+            else:
+                out.append((part, lost, id_, size, None, None))
+                lost += 1
+        yield _events(out)
+    for a in range(0, len(opened), 10_000):
+        yield _events([(part, a + k, None, None, *gap) for k, gap in enumerate(opened[a : a + 10_000])])
+
+
+def _events(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if k == 0 else pa.int64()) for k, v in enumerate(columns)], names=["part", "place", "unit", "size", "sequence", "room"])
+
+
+def _across(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """part, first, last, other, top: units of part with places from first to before last take the gaps of an earlier range
+    with place top - place. counts: part, units and gaps that its range left, in order. The open gaps are a stack of ranges."""
+    stack, out = [], []
+    for part, units, gaps in counts:
+        at = 0
+        while at < units and stack:
+            other, n = stack.pop()
+            taken = min(n, units - at)
+            out.append((part, at, at + taken, other, n - 1 + at))
+            if n > taken:
+                stack.append((other, n - taken))
+            at += taken
+        if gaps:
+            stack.append((part, gaps))
+    return out
+
+
+def matched(units: DataFrame, gaps: DataFrame) -> tuple[DataFrame, int]:
+    """(unit, size, sequence, room of units (unit, size) and gaps (sequence, room), as tables; the number of matches).
+
+    A row is a match, a unit without gap (its sequence is null) or a gap without unit. Going from the largest size down, a
+    unit takes the last gap that is still open. Ranges are matched apart; what a range leaves over is counted, and only
+    these counts (two numbers a range) pass through the driver to tell which range's gaps its units take.
     """
     spark = units.sparkSession
     order = [F.desc("size"), F.col("closes"), F.col("id")]
     events = gaps.select(F.col("sequence").alias("id"), F.col("room").alias("size"), F.lit(False).alias("closes")).unionByName(units.select(F.col("unit").alias("id"), "size", F.lit(True).alias("closes")))
-    dealt = stage_table(events.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "events")
-    within = Window.partitionBy("part").orderBy(*order)
-    dealt = dealt.withColumn("sum", F.sum(F.when(F.col("closes"), -1).otherwise(1)).over(within)).withColumn("low", F.min("sum").over(within))
-    carried, total, low = [], 0, 0
-    for part, last, least in sorted(tuple(r) for r in dealt.groupBy("part").agg(F.sum(F.when(F.col("closes"), -1).otherwise(1)), F.min("sum")).collect()):
-        carried.append((part, total, low))
-        total, low = total + last, min(low, total + least)
-    # one row for each range
-    before = F.broadcast(spark.createDataFrame(carried, "part int, before long, lowest long"))
-    deep = dealt.join(before, "part").withColumn("sum", F.col("sum") + F.col("before")).withColumn("low", F.least(F.col("low") + F.col("before"), F.col("lowest"), F.lit(0)))
-    # a unit that meets no open gap lies at depth 1 below the lowest sum, and follows another unit or nothing there
-    deep = deep.withColumn("depth", F.col("sum") - F.col("low") + F.col("closes").cast("int"))
-    last = Window.partitionBy("depth").orderBy(*order)
-    met = deep.withColumn("gap", F.lag(F.struct("closes", "id", "size")).over(last)).filter(F.col("closes") & ~F.col("gap.closes"))
-    return stage_table(met.select(F.col("id").alias("unit"), "size", F.col("gap.id").alias("sequence"), F.col("gap.size").alias("room")), "matched")
+    met = stage_table(events.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_met, "part int, place long, unit long, size long, sequence long, room long"), "met")
+    whole = F.col("unit").isNotNull() & F.col("sequence").isNotNull()
+    told = met.groupBy("part").agg(F.count_if(F.col("sequence").isNull()), F.count_if(F.col("unit").isNull()), F.count_if(whole)).collect()
+    pieces = _across(sorted((part, left, over) for part, left, over, _ in told))
+    # at most two rows for each range
+    across = F.broadcast(spark.createDataFrame(pieces, "_part int, first long, last long, other int, top long"))
+    left = met.filter("sequence IS NULL").join(across, (F.col("part") == F.col("_part")) & (F.col("place") >= F.col("first")) & (F.col("place") < F.col("last")), "left")
+    left = left.select("unit", "size", F.col("other").alias("part"), (F.col("top") - F.col("place")).alias("place"))
+    joined = left.join(met.filter("unit IS NULL").select("part", "place", "sequence", "room"), ["part", "place"], "full")
+    rest = stage_table(joined.select("unit", "size", "sequence", "room"), "rest")
+    return met.filter(whole).select("unit", "size", "sequence", "room").unionByName(rest), sum(r[3] for r in told) + sum(b - a for _, a, b, _, _ in pieces)
+
+
+def sweep(units: DataFrame, gaps: DataFrame) -> DataFrame:
+    """unit, size, sequence, room: units matched with gaps (sequence, room), each gap once."""
+    return matched(units, gaps)[0].filter("unit IS NOT NULL AND sequence IS NOT NULL")
 
 
 def place_units(units: DataFrame, capacity: int) -> DataFrame:
@@ -114,19 +162,18 @@ def place_units(units: DataFrame, capacity: int) -> DataFrame:
         n, tokens, least = left.agg(F.count(F.lit(1)), F.sum("size"), F.min("size")).first()
         if not n:
             return out if out is not None else units.select("unit", F.lit(0).cast("long").alias("sequence"), F.lit(0).cast("long").alias("start"))
-        met = None if gaps is None else sweep(left, gaps.filter(F.col("room") >= least))
-        if met is not None and not met.isEmpty():
-            new = met.select("unit", "sequence", (F.lit(capacity) - F.col("room")).cast("long").alias("start"))
-            left = stage_table(left.join(met.select("unit"), "unit", "left_anti"), "left")
-            rest = gaps.join(met.select("sequence", (F.col("room") - F.col("size")).alias("rest")), "sequence", "left")
-            gaps = stage_table(rest.select("sequence", F.coalesce("rest", "room").alias("room")).filter(F.col("room") >= least), "gaps")
+        state, met = (None, 0) if gaps is None else matched(left, gaps.filter(F.col("room") >= least))
+        if met:
+            new = state.filter("unit IS NOT NULL AND sequence IS NOT NULL").select("unit", "sequence", (F.lit(capacity) - F.col("room")).cast("long").alias("start"))
+            left = state.filter("sequence IS NULL").select("unit", "size")
+            gaps = state.filter("sequence IS NOT NULL").select("sequence", (F.col("room") - F.coalesce("size", F.lit(0))).alias("room"))
         else:
             k = -(-tokens // capacity)
             ranked = stage_table(global_row_number(left, [F.desc("size"), F.col("unit")], "k"), "ranked")
             longest = ranked.filter(F.col("k") <= k)
             new = longest.select("unit", (F.col("k") + opened).alias("sequence"), F.lit(0).cast("long").alias("start"))
-            fresh = longest.select((F.col("k") + opened).alias("sequence"), (capacity - F.col("size")).alias("room"))
-            gaps = stage_table(fresh if gaps is None else gaps.unionByName(fresh), "gaps")
+            # no open gap holds even the shortest unit
+            gaps = longest.select((F.col("k") + opened).alias("sequence"), (capacity - F.col("size")).alias("room"))
             left, opened = ranked.filter(F.col("k") > k).drop("k"), opened + k
         out = new if out is None else out.unionByName(new)
 
