@@ -6,7 +6,7 @@ neighbouring lines. Forward-backward gives each line's probability of being good
 by length, is the document's score, calibrated by a logistic curve on the same sample.
 
 Training sees only labelled documents outside the held-out fold, at most ``sample`` of them
-(those with the least hash of their id) and ``SAMPLE_LINES`` lines, each line labelled as its document. Scores
+(those with the least hash of their id) and ``SAMPLE_LINES`` lines (of one text the first ``MOST_LINES``), each line labelled as its document. Scores
 depend on the text alone; long texts are measured and weighed in blocks of lines, messages passing from block to block.
 
 Nulls: a null text is the empty text, one empty line; a null doc_id has a score, is in no fold
@@ -30,6 +30,9 @@ from lumenrank.llm.common import small_batches
 #: Labelled documents that training sees at most, the lines that they have together at most, and rounds of gradient steps.
 SAMPLE, SAMPLE_LINES, ROUNDS = 2_000, 400_000, 80
 
+#: Lines that one document may give to the sample; of a longer one the first so many are learned from.
+MOST_LINES = SAMPLE_LINES // 100
+
 #: Characters and lines that are measured and weighed at once (a longer line makes a block of its own).
 BLOCK_CHARS, BLOCK_LINES = 1_000_000, 16_384
 
@@ -322,8 +325,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     # one row of each document (rows may repeat an id), and documents as long as their lines fit; ids, hashes and counts only
     order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")
     first = texts.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "lines")).alias("x")).select("doc_id", "x.*")
-    few = first.withColumn("upto", F.sum("lines").over(order)).filter(F.col("upto") <= SAMPLE_LINES).select("doc_id", "h")
-    texts = texts.join(F.broadcast(few), "doc_id").filter(F.xxhash64("text") == F.col("h")).select("doc_id", "quality", "text").dropDuplicates(["doc_id"])
+    few = first.withColumn("upto", F.sum(F.least("lines", F.lit(MOST_LINES))).over(order)).filter(F.col("upto") <= SAMPLE_LINES).select("doc_id", "h")
+    texts = texts.join(F.broadcast(few), "doc_id").filter(F.xxhash64("text") == F.col("h")).select("doc_id", "quality", F.substring_index("text", "\n", MOST_LINES).alias("text")).dropDuplicates(["doc_id"])
     rows = sorted(texts.select("quality", "text").mapInArrow(_measured, _LINES).collect(), key=lambda r: (r["quality"], bytes(r["measures"])))
     found = np.array([r["quality"] for r in rows], dtype=np.int64)
     if len(set(found.tolist())) < 2:
