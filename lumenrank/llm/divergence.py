@@ -1,11 +1,13 @@
 """How the sources of a language differ in their terms, by chunk factorization.
 
 1. Tasks cut texts into chunks at white space and count them for each document. A task works on blocks of documents; a
-   row holds a chunk of one block, the places of its documents in the block and its occurrences in each, so a frequent
-   chunk costs a row for each block, not one for each document.
-2. Each globally distinct chunk is cut into terms once.
-3. Terms are joined back to the rows of step 1. A document that holds a term through several chunks counts once:
-   places are united within the block, and occurrences and documents of a group (lang, source) are summed over blocks.
+   block's distinct chunks, each with the places of its documents in the block and its occurrences in each, are dealt to
+   buckets by the chunk's hash, and what goes to one bucket is one packed row. A frequent chunk costs an entry a block.
+2. A bucket holds all entries of its chunks, so a task that reads it cuts each globally distinct chunk into terms once; the
+   terms take the chunk's place in every entry, which goes back to its block. (A chunk with more than ``HOT_PLACES`` places in a
+   block is dealt to one of ``HOT_BUCKETS`` buckets by block, and cut once in each.)
+3. A document that holds a term through several chunks counts once: places are united within the block, and occurrences and
+   documents of a group (lang, source) are summed over blocks.
 
 Terms hold no character below U+0041, so no term crosses a chunk. Sources are compared in tiles of ``TILE`` by ``TILE``
 sources and parts of about ``PART`` terms; a term that neither source of a pair holds adds the same value each time, so it is
@@ -19,6 +21,7 @@ without kept terms gives its pairs of sources with the value 0. Other columns ar
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,65 +37,77 @@ from lumenrank.llm.common import small_batches, stage_table
 #: What a term is: letters, and everything above ASCII.
 TERM_PATTERN = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 
-#: Bounds of a block of documents; a longer text is a block of its own.
-BLOCK_BYTES, BLOCK_ROWS = 16 << 20, 8192
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: Bounds of a block of documents; a longer text is a block of its own. Places fit in 2 bytes.
+BLOCK_BYTES, BLOCK_ROWS = 32 << 20, 32_768
 
-#: Chunks in one Arrow batch that a task hands over.
-BATCH_ROWS = 20_000
+#: Buckets of chunks for each shuffle partition of the session; a task keeps the terms of one bucket's distinct chunks.
+BUCKETS = 8
+
+HOT_PLACES, HOT_BUCKETS = 4_096, 16
 
 #: Sources on a side of a tile, and terms in a part of one, about.
 TILE, PART = 256, 4096
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
 
-#: A cell holds a document's place in its block and, above so many bits, a number of occurrences there; more of them make more cells.
-PLACE_BITS = 13
 
-_COUNTED = "block long, chunk string, cells binary"
+_PACKED = "block long, words string, counts binary, places binary, times binary"
 
 
-def _batch(block: int, chunk: pa.Array, counts: np.ndarray, cells: np.ndarray) -> pa.RecordBatch:
-    offsets = np.r_[0, np.cumsum(counts * 4)].astype(np.int32)
-    packed = pa.Array.from_buffers(pa.binary(), len(chunk), [None, pa.py_buffer(offsets), pa.py_buffer(cells.astype("<u4"))])
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(chunk), block)), chunk, packed], names=["block", "chunk", "cells"])
+def _packed(block: list[int], words: list[str], counts: list[bytes | None], places: list[bytes], times: list[bytes], bucket: list[int] | None = None) -> pa.RecordBatch:
+    columns = {"block": pa.array(block, pa.int64()), "words": pa.array(words, pa.string()), "counts": pa.array(counts, pa.binary()), "places": pa.array(places, pa.binary()), "times": pa.array(times, pa.binary())}
+    if bucket is not None:
+        columns["bucket"] = pa.array(bucket, pa.int32())
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def _count_block(held: list[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
-    """A row for each chunk of a block, and one without cells that names the groups and the places where they begin; it
-    starts with a space, which no chunk holds."""
+def _count_block(held: list[pa.RecordBatch], block: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Packed rows of a block's chunks (counts: places of each chunk), and one without counts that names the groups and the
+    places where they begin. A place is repeated where its times do not fit in a byte."""
     docs = pa.Table.from_batches(held)
     lang, source = (docs.column(c).combine_chunks().dictionary_encode() for c in ("lang", "source"))
     group = np.asarray(lang.indices, dtype=np.int64) * len(source.dictionary) + np.asarray(source.indices)
     order = np.argsort(group, kind="stable")  # places follow the groups
-    place = np.empty_like(order)
+    place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     found, begins = np.unique(group[order], return_index=True)
     at_lang, at_source = np.divmod(found, len(source.dictionary))
-    head = " " + json.dumps([lang.dictionary.take(pa.array(at_lang)).to_pylist(), source.dictionary.take(pa.array(at_source)).to_pylist(), begins.tolist()])
-    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([head]), pa.nulls(1, pa.binary())], names=["block", "chunk", "cells"])
+    head = json.dumps([lang.dictionary.take(pa.array(at_lang)).to_pylist(), source.dictionary.take(pa.array(at_source)).to_pylist(), begins.tolist()])
+    yield _packed([block], [head], [None], [b""], [b""], [block % buckets])
 
     lists = pc.ascii_split_whitespace(docs.column("text").combine_chunks())
     chunks, parent = lists.flatten(), np.asarray(pc.list_parent_indices(lists))
     filled = pc.greater(pc.binary_length(chunks), 0)
     chunks, parent = chunks.filter(filled).dictionary_encode(), parent[np.asarray(filled)]
-    keys, times = np.unique(np.asarray(chunks.indices, dtype=np.int64) << PLACE_BITS | place[parent], return_counts=True)
-    most = (1 << 32 - PLACE_BITS) - 1
-    copies = -(-times // most)
-    keys, times = np.repeat(keys, copies), np.repeat(times, copies)
+    if not len(chunks):
+        return
+    words = chunks.dictionary.to_pylist()
+    many = np.bincount(np.asarray(chunks.indices), minlength=len(words)) > HOT_PLACES
+    dealt = pd.util.hash_array(np.array(words, dtype=object), categorize=False) + np.where(many, np.uint64(block % HOT_BUCKETS), np.uint64(0))
+    dealt = (dealt % np.uint64(buckets)).astype(np.int64)
+    sort = np.argsort(dealt, kind="stable")
+    rank = np.empty(len(sort), np.int64)
+    rank[sort] = np.arange(len(sort))
+    keys, times = np.unique(rank[np.asarray(chunks.indices)] << 16 | place[parent], return_counts=True)
+    copies = -(-times // 255)
     last = np.cumsum(copies) - 1
-    rest = np.full(len(keys), most)
-    rest[last] = times[last] - (copies - 1) * most
-    counts = np.bincount(keys >> PLACE_BITS, minlength=len(chunks.dictionary))
-    cells = keys & (1 << PLACE_BITS) - 1 | rest << PLACE_BITS
-    bounds = np.r_[0, np.cumsum(counts)]
-    for a in range(0, len(counts), BATCH_ROWS):
-        b = min(a + BATCH_ROWS, len(counts))
-        yield _batch(block, chunks.dictionary.slice(a, b - a), counts[a:b], cells[bounds[a] : bounds[b]])
-
-
-def chunk_counts(docs: DataFrame) -> DataFrame:
-    """Rows of _COUNTED of the texts of docs (lang, source, text without nulls)."""
+    keys, left = np.repeat(keys, copies), np.full(last[-1] + 1, 255)
+    left[last] = times - (copies - 1) * 255
+    code = keys >> 16
+    counts = np.bincount(code, minlength=len(words)).astype("<u4")
+    places, times = (keys & 65535).astype("<u2"), left.astype("u1")
+    upto = np.r_[0, np.cumsum(counts, dtype=np.int64)]
+    dealt = dealt[sort]
+    words = [words[k] for k in sort]
+    edges = np.flatnonzero(np.r_[True, dealt[1:] != dealt[:-1], True])
+    for a in range(0, len(edges) - 1, 256):
+        some = list(zip(edges[a : a + 256], edges[a + 1 : a + 257], strict=False))
+        yield _packed([block] * len(some), ["\n".join(words[i:j]) for i, j in some], [counts[i:j].tobytes() for i, j in some], [places[upto[i] : upto[j]].tobytes() for i, j in some], [times[upto[i] : upto[j]].tobytes() for i, j in some], [int(dealt[i]) for i, _ in some])
+
+
+def chunk_counts(docs: DataFrame, buckets: int) -> DataFrame:
+    """Packed rows of the texts of docs (lang, source, text without nulls), with their buckets."""
     small_batches(docs.sparkSession)
 
     def cut(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,37 +117,60 @@ def chunk_counts(docs: DataFrame) -> DataFrame:
                 held.append(batch.slice(a, small))
                 size += held[-1].nbytes
                 if size >= BLOCK_BYTES or sum(map(len, held)) + small > BLOCK_ROWS:
-                    yield from _count_block(held, block)
+                    yield from _count_block(held, block, buckets)
                     block, held, size = block + 1, [], 0
         if sum(map(len, held)):
-            yield from _count_block(held, block)
-
-    return docs.select("lang", "source", "text").mapInArrow(cut, _COUNTED)
-
-
-def _cells(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The row and the value of each cell."""
-    if not len(packed):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    offsets = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
-    values = np.frombuffer(packed.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view("<u4").astype(np.int64)
-    return np.repeat(np.arange(len(packed)), np.diff(offsets) // 4), values
+            yield from _count_block(held, block, buckets)
+
+    return docs.select("lang", "source", "text").mapInArrow(cut, f"{_PACKED}, bucket int")
+
+
+_TERM, _LOWER = re.compile(TERM_PATTERN), str.maketrans(UPPER, LOWER)
+
+
+def _cut_chunks(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed rows with terms in place of chunks, of rows that come bucket by bucket."""
+    bucket, known = None, {}
+    for batch in found:
+        out = []
+        for block, words, counts, places, times, own in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if counts is None:
+                out.append((block, words, None, b"", b""))
+                continue
+            if own != bucket:
+                bucket, known = own, {}
+            words = words.split("\n")
+            for w in words:
+                if w not in known:
+                    known[w] = [t.translate(_LOWER) for t in _TERM.findall(w)]
+            terms = [known[w] for w in words]
+            counts, places, times = np.frombuffer(counts, "<u4").astype(np.int64), np.frombuffer(places, "<u2"), np.frombuffer(times, "u1")
+            n = np.fromiter(map(len, terms), np.int64, len(terms))
+            if (n != 1).any():
+                # a term that a chunk holds several times stands there as often
+                which = np.repeat(np.arange(len(n)), n)
+                starts, counts = (np.cumsum(counts) - counts)[which], counts[which]
+                take = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+                places, times = places[take], times[take]
+            if len(counts):
+                out.append((block, "\n".join(t for each in terms for t in each), counts.astype("<u4").tobytes(), places.tobytes(), times.tobytes()))
+        if out:
+            yield _packed(*map(list, zip(*out, strict=True)))
 
 
 def _merge_block(found: pa.Table) -> pa.Table:
-    """lang, source, term, n, docs of the rows (block, term, cells) of one block."""
-    plain = pc.is_valid(found["cells"])
-    langs, sources, begins = json.loads(found.filter(pc.invert(plain))["term"][0].as_py())
+    """lang, source, term, n, docs of the packed rows of one block."""
+    plain = pc.is_valid(found["counts"])
+    langs, sources, begins = json.loads(found.filter(pc.invert(plain))["words"][0].as_py())
     rows = found.filter(plain)
-    whole = lambda c: pa.concat_arrays(rows[c].chunks) if rows[c].num_chunks else pa.array([], rows[c].type)
-    terms = whole("term").dictionary_encode()
-    row, cell = _cells(whole("cells"))
-    n = cell >> PLACE_BITS
-    key = np.asarray(terms.indices, dtype=np.int64)[row] << PLACE_BITS | cell & (1 << PLACE_BITS) - 1
+    words = "\n".join(rows["words"].to_pylist())
+    terms = pa.array(words.split("\n") if words else [], pa.string()).dictionary_encode()
+    counts, place, n = (np.frombuffer(b"".join(rows[c].to_pylist()), k).astype(np.int64) for c, k in (("counts", "<u4"), ("places", "<u2"), ("times", "u1")))
+    key = np.repeat(np.asarray(terms.indices, dtype=np.int64), counts) << 16 | place
     order = np.argsort(key, kind="stable")
     key, n = key[order], n[order]
-    term, group = key >> PLACE_BITS, np.searchsorted(begins, key & (1 << PLACE_BITS) - 1, side="right") - 1
-    fresh = np.r_[True, key[1:] != key[:-1]][: len(key)]  # the first cell of a document and term
+    term, group = key >> 16, np.searchsorted(begins, key & 65535, side="right") - 1
+    fresh = np.r_[True, key[1:] != key[:-1]][: len(key)]  # the first entry of a document and term
     starts = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (group[1:] != group[:-1])][: len(key)])
     sums = lambda v: np.add.reduceat(v.astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
     named = lambda names: pa.array(names, pa.string()).take(pa.array(group[starts]))
@@ -141,13 +179,9 @@ def _merge_block(found: pa.Table) -> pa.Table:
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), docs (documents) of docs (lang, source, text without nulls)."""
-    # a chunk's rows, one for each block that has it, lie together: the first is cut into terms, which the others take over
-    same = Window.partitionBy("chunk").orderBy("block")
-    first = chunk_counts(docs).withColumn("first", F.row_number().over(same))
-    cut = F.when(F.col("cells").isNull(), F.array("chunk")).otherwise(F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM_PATTERN), F.lit(0)))
-    terms = first.withColumn("terms", F.when(F.col("first") == 1, cut)).withColumn("terms", F.first("terms", ignorenulls=True).over(same))
-    # a term that a chunk holds several times stands in as many rows
-    each = terms.select("block", F.explode("terms").alias("term"), "cells")
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = chunk_counts(docs, buckets).repartition("bucket").sortWithinPartitions("bucket")
+    each = dealt.mapInArrow(_cut_chunks, _PACKED)
     merged = each.groupBy("block").applyInArrow(_merge_block, "lang string, source string, term string, n long, docs long")
     return merged.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 

@@ -451,3 +451,23 @@ def test_pipeline_odd_cases(spark, odd, none):
         for _, stage in corpus_pipeline.STAGES:
             seen = stage(spark, seen, SF).persist()
             seen.count()
+
+
+def test_a_long_labelled_text_leaves_room_for_others(spark, monkeypatch):
+    """A text of more lines than the sample may hold, first by hash, does not close the sample."""
+    from pyspark.sql import functions as F
+
+    docs, labels = documents(spark, SF), spark.read.parquet(f"{SF}/labels.parquet")
+    first = labels.filter(~quality_crf.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").first()["doc_id"]
+    long = docs.withColumn("text", F.when(F.col("doc_id") == first, F.repeat(F.lit("a line of words\n"), quality_crf.SAMPLE_LINES + 100)).otherwise(F.col("text")))
+    model = train(long, labels)
+    assert model is not None
+    assert score_documents(docs, model).agg(F.count_distinct("score")).first()[0] > 50
+
+
+def test_units_meet_gaps_of_earlier_ranges():
+    """Left-over units of a range take the last open gaps of the ranges before."""
+    from lumenrank.llm.packing import _across
+
+    assert _across([]) == [] and _across([(0, 5, 0), (3, 2, 1)]) == []
+    assert _across([(0, 0, 3), (1, 1, 1), (2, 5, 0)]) == [(1, 0, 1, 0, 2), (2, 0, 1, 1, 0), (2, 1, 3, 0, 2)]
