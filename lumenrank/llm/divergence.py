@@ -7,7 +7,7 @@
    terms take the chunk's place in every entry, which goes back to its block. (A chunk with more than ``HOT_PLACES`` places in a
    block is dealt to one of ``HOT_BUCKETS`` buckets by block, and cut once in each.)
 3. A document that holds a term through several chunks counts once: places are united within the block, and occurrences and
-   documents of a group (lang, source) are summed over blocks.
+   documents of a group (lang, source) are summed over blocks, in buckets of terms.
 
 Terms hold no character below U+0041, so no term crosses a chunk. Sources are compared in tiles of ``TILE`` by ``TILE``
 sources and parts of about ``PART`` terms; a term that neither source of a pair holds adds the same value each time, so it is
@@ -47,6 +47,9 @@ BUCKETS = 8
 
 HOT_PLACES, HOT_BUCKETS = 4_096, 16
 
+#: Rows in one Arrow batch that a task hands over.
+BATCH_ROWS = 20_000
+
 #: Sources on a side of a tile, and terms in a part of one, about.
 TILE, PART = 256, 4096
 
@@ -158,32 +161,97 @@ def _cut_chunks(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _packed(*map(list, zip(*out, strict=True)))
 
 
-def _merge_block(found: pa.Table) -> pa.Table:
-    """lang, source, term, n, docs of the packed rows of one block."""
+_SUMMED = "bucket int, head string, words string, counts binary, groups binary, n binary, docs binary"
+
+
+def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct keys in order, and the sums of the values of each."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    return (keys[starts], *(np.add.reduceat(v[order], starts) if len(starts) else v[:0] for v in values))
+
+
+def _merge_block(found: pa.Table, buckets: int) -> pa.Table:
+    """Packed rows (occurrences and documents of each term and group) of the packed rows of one block, by the term's bucket."""
     plain = pc.is_valid(found["counts"])
     langs, sources, begins = json.loads(found.filter(pc.invert(plain))["words"][0].as_py())
     rows = found.filter(plain)
     words = "\n".join(rows["words"].to_pylist())
     terms = pa.array(words.split("\n") if words else [], pa.string()).dictionary_encode()
     counts, place, n = (np.frombuffer(b"".join(rows[c].to_pylist()), k).astype(np.int64) for c, k in (("counts", "<u4"), ("places", "<u2"), ("times", "u1")))
-    key = np.repeat(np.asarray(terms.indices, dtype=np.int64), counts) << 16 | place
-    order = np.argsort(key, kind="stable")
-    key, n = key[order], n[order]
-    term, group = key >> 16, np.searchsorted(begins, key & 65535, side="right") - 1
-    fresh = np.r_[True, key[1:] != key[:-1]][: len(key)]  # the first entry of a document and term
-    starts = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (group[1:] != group[:-1])][: len(key)])
-    sums = lambda v: np.add.reduceat(v.astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
-    named = lambda names: pa.array(names, pa.string()).take(pa.array(group[starts]))
-    return pa.table({"lang": named(langs), "source": named(sources), "term": terms.dictionary.take(pa.array(term[starts])), "n": sums(n), "docs": sums(fresh)})
-
-
-def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences), docs (documents) of docs (lang, source, text without nulls)."""
+    words = terms.dictionary.to_pylist()
+    dealt = (pd.util.hash_array(np.array(words, dtype=object), categorize=False) % np.uint64(buckets)).astype(np.int64) if words else np.zeros(0, np.int64)
+    sort = np.argsort(dealt, kind="stable")
+    rank = np.empty(len(sort), np.int64)
+    rank[sort] = np.arange(len(sort))
+    # an entry for each document and term, then one for each group and term
+    key, n = _summed(np.repeat(rank[np.asarray(terms.indices)], counts) << 16 | place, n)
+    key = key >> 16 << 16 | np.searchsorted(begins, key & 65535, side="right") - 1
+    key, n, docs = _summed(key, n, np.ones(len(key), np.int64))
+    counts = np.bincount(key >> 16, minlength=len(words)).astype("<u4")
+    upto = np.r_[0, np.cumsum(counts, dtype=np.int64)]
+    dealt, words = dealt[sort], [words[k] for k in sort]
+    edges = np.flatnonzero(np.r_[True, dealt[1:] != dealt[:-1], True]) if words else np.zeros(1, int)
+    some = list(zip(edges[:-1], edges[1:], strict=True))
+    cells = lambda v, kind: pa.array([v[upto[i] : upto[j]].astype(kind).tobytes() for i, j in some], pa.binary())
+    head = json.dumps([langs, sources])
+    return pa.table({
+        "bucket": pa.array([int(dealt[i]) for i, _ in some], pa.int32()), "head": pa.array([head] * len(some), pa.string()), "words": pa.array(["\n".join(words[i:j]) for i, j in some], pa.string()),
+        "counts": pa.array([counts[i:j].tobytes() for i, j in some], pa.binary()), "groups": cells(key & 65535, "<u2"), "n": cells(n, "<u8"), "docs": cells(docs, "<u4"),
+    })
+
+
+#: Sums that a task holds before it adds up those of equal terms and groups.
+HELD_SUMS = 1 << 21
+
+
+def _kept_terms(found: Iterator[pa.RecordBatch], min_docs: int) -> Iterator[pa.RecordBatch]:
+    """lang, source, term, n, lang_n, first (of its lang and term) of terms in enough documents, of rows that come bucket by bucket."""
+    bucket, names, words, held = None, {}, {}, []
+
+    def put() -> Iterator[pa.RecordBatch]:
+        nonlocal held
+        if not held:
+            return
+        key, n, docs = _summed(*map(np.concatenate, zip(*held, strict=True)))
+        held = [(key, n, docs)]
+        term, group = key >> 32, key & (1 << 32) - 1
+        pairs = list(names)
+        langs = {x: k for k, x in enumerate(dict.fromkeys(lang for lang, _ in pairs))}
+        own = term << 32 | np.array([langs[lang] for lang, _ in pairs], dtype=np.int64)[group]
+        both, lang_n, lang_docs = _summed(own, n, docs)
+        at = np.searchsorted(both, own)
+        kept = np.flatnonzero(lang_docs[at] >= min_docs)
+        first = np.zeros(len(key), np.int64)
+        first[np.unique(own, return_index=True)[1]] = 1
+        all_words, take = pa.array(list(words), pa.string()), lambda values, k: pa.array(values, pa.string()).take(pa.array(k))
+        for a in range(0, len(kept), BATCH_ROWS):
+            k = kept[a : a + BATCH_ROWS]
+            yield pa.RecordBatch.from_arrays([take([x for x, _ in pairs], group[k]), take([x for _, x in pairs], group[k]), all_words.take(pa.array(term[k])), pa.array(n[k]), pa.array(lang_n[at[k]]), pa.array(first[k])], names=["lang", "source", "term", "n", "lang_n", "first"])
+
+    for batch in found:
+        for own, head, terms, counts, groups, n, docs in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if own != bucket:
+                yield from put()
+                bucket, names, words, held = own, {}, {}, []
+            local = np.array([names.setdefault((lang, source), len(names)) for lang, source in zip(*json.loads(head), strict=True)], dtype=np.int64)
+            code = np.array([words.setdefault(w, len(words)) for w in terms.split("\n")], dtype=np.int64)
+            held.append((np.repeat(code, np.frombuffer(counts, "<u4")) << 32 | local[np.frombuffer(groups, "<u2")], np.frombuffer(n, "<u8").astype(np.int64), np.frombuffer(docs, "<u4").astype(np.int64)))
+            if sum(len(x[0]) for x in held[1:]) > HELD_SUMS:
+                held = [_summed(*map(np.concatenate, zip(*held, strict=True)))]
+    yield from put()
+
+
+def kept_terms(docs: DataFrame, min_docs: int) -> DataFrame:
+    """lang, source, term, n (occurrences), lang_n (in the lang), first (1 in one source of a lang and term, else 0) of the terms
+    that at least min_docs documents of a lang hold; docs: lang, source, text without nulls."""
     buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = chunk_counts(docs, buckets).repartition("bucket").sortWithinPartitions("bucket")
     each = dealt.mapInArrow(_cut_chunks, _PACKED)
-    merged = each.groupBy("block").applyInArrow(_merge_block, "lang string, source string, term string, n long, docs long")
-    return merged.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    merged = each.groupBy("block").applyInArrow(lambda found: _merge_block(found, buckets), _SUMMED)
+    sums = merged.repartition("bucket").sortWithinPartitions("bucket")
+    return sums.mapInArrow(lambda found: _kept_terms(found, min_docs), "lang string, source string, term string, n long, lang_n long, first long")
 
 
 def share(n: Column, size: Column, terms: Column) -> Column:
@@ -198,18 +266,17 @@ def distance(p: Column, q: Column) -> Column:
 
 def _tile(found: pd.DataFrame, size: int) -> pd.DataFrame:
     """lang, i, j, value, seen, rest of the pairs of sources in one part of a tile: the sum over terms that some source of the
-    tile holds, their number, and what each other term adds."""
-    heads = found[found["term"].isna()].sort_values("tile")
+    tile holds, their number, and what each other term adds. Rows without a term tell the share of an absent term."""
+    heads = found[found["term"].isna()]
     rows = found[found["term"].notna()]
     codes, _ = pd.factorize(rows["term"])
     seen = int(codes.max()) + 1 if len(codes) else 0
     sides = []
-    for tile, base in zip(heads["tile"], heads["shares"], strict=True):
-        base = np.asarray(base, dtype=np.int64)
+    for tile, own in heads.sort_values("number").groupby("tile"):
+        base = own["share"].to_numpy(np.int64)
         dense = np.repeat(base[:, None], seen, axis=1)
         mine = rows["tile"].to_numpy() == tile
-        for code, at, shares in zip(codes[mine], rows["sources"][mine], rows["shares"][mine], strict=True):
-            dense[np.asarray(at) - tile * size, code] = shares
+        dense[rows["number"].to_numpy()[mine] - tile * size, codes[mine]] = rows["share"].to_numpy()[mine]
         sides.append((int(tile) * size, base, dense))
     (lo, base, left), (lo2, base2, right) = sides[0], sides[-1]
     out = []
@@ -231,13 +298,11 @@ def compare_sources(present: DataFrame, groups: DataFrame, tile: int = TILE, par
     """
     groups = groups.withColumn("tiles", F.ceil(F.col("sources") / tile).cast("int"))
     base = F.when(F.col("terms") > 0, share(F.lit(0), F.col("size"), F.col("terms"))).otherwise(F.lit(1))
-    tiles = groups.groupBy("lang", F.floor(F.col("number") / tile).cast("int").alias("tile"), "terms").agg(F.sort_array(F.collect_list(F.struct("number", base.alias("p")))).alias("x"), F.max("tiles").alias("tiles"))
     parts = F.ceil(F.greatest("terms", F.lit(1)) / part).cast("int")
-    heads = tiles.select("lang", "tile", "tiles", F.lit(None).cast("string").alias("term"), F.lit(None).cast("array<int>").alias("sources"), F.col("x.p").alias("shares"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    known = groups.select("lang", "source", "size", "terms", "number", "tiles")
-    each = present.join(known, ["lang", "source"]).withColumn("tile", F.floor(F.col("number") / tile).cast("int"))
-    held = each.groupBy("lang", "term", "tile").agg(F.max("tiles").alias("tiles"), F.max("terms").alias("terms"), F.collect_list(F.struct("number", share(F.col("n"), F.col("size"), F.col("terms")).alias("p"))).alias("x"))
-    rows = held.select("lang", "tile", "tiles", "term", F.col("x.number").alias("sources"), F.col("x.p").alias("shares"), F.pmod(F.xxhash64("term"), parts).cast("int").alias("part"))
+    own = F.floor(F.col("number") / tile).cast("int")
+    heads = groups.select("lang", own.alias("tile"), "tiles", F.lit(None).cast("string").alias("term"), "number", base.alias("share"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    each = present.join(groups, ["lang", "source"])
+    rows = each.select("lang", own.alias("tile"), "tiles", "term", "number", share(F.col("n"), F.col("size"), F.col("terms")).alias("share"), F.pmod(F.xxhash64("term"), parts).cast("int").alias("part"))
     # a tile's row goes to each pair of tiles that it is part of
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
     sent = heads.unionByName(rows).select("*", other).withColumns({"a": F.least("tile", "other"), "b": F.greatest("tile", "other")})
@@ -253,10 +318,8 @@ def source_divergence(docs: DataFrame, min_docs: int = 10, top: int = 10, tile:
     """lang, source, part, item, value, rank: how far each source is from each other of its lang (part pair), and the
     terms that set it most apart from its lang (part term)."""
     plain = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    counts = stage_table(term_counts(plain), "terms")
-    kept = stage_table(counts.groupBy("lang", "term").agg(F.sum("docs").alias("d"), F.sum("n").alias("lang_n")).filter(F.col("d") >= min_docs).drop("d"), "kept")
-    present = stage_table(counts.select("lang", "source", "term", "n").join(kept, ["lang", "term"]), "present")
-    langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("lang_n").alias("lang_size"))
+    present = stage_table(kept_terms(plain, min_docs), "terms")
+    langs = present.groupBy("lang").agg(F.sum("first").alias("terms"), F.sum("n").alias("lang_size"))
     sizes = present.groupBy("lang", "source").agg(F.sum("n").alias("size"))
     all_groups = plain.select("lang", "source").distinct().join(sizes, ["lang", "source"], "left").join(langs, "lang", "left").fillna(0, ["size", "terms", "lang_size"])
     numbered = all_groups.withColumn("number", (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).cast("int"))
