@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from lumenrank.llm.common import stage_table
 
 #: Points in a block.
-BLOCK = 512
+BLOCK = 128
 
 #: Bits of a Hilbert key.
 KEY_BITS = 62

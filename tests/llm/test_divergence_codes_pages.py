@@ -142,8 +142,8 @@ def test_shortlists_lose_nothing_and_leave_something_out():
     points = rng.integers(-300, 300, (40_000, 4))
     order = np.argsort(vector_codes.hilbert_keys(points, points.min(0), points.max(0)), kind="stable")
     lengths = []
-    for a in range(0, len(points), 512):
-        held = points[order[a : a + 512]]
+    for a in range(0, len(points), vector_codes.BLOCK):
+        held = points[order[a : a + vector_codes.BLOCK]]
         some = vector_codes.shortlist(entries, held.min(0), held.max(0))
         code, error = vector_codes.nearest_entries(held, entries, some)
         want = ((held[:, None] - entries[None]) ** 2).sum(2)
