@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -16,10 +18,49 @@ def _missing(error: AnalysisException) -> bool:
     return "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error)
 
 
+#: CSV as it is written and read: quotes are doubled, values keep their spaces and line breaks (so a file is read by one task).
+_CSV = {"header": True, "escape": '"', "multiLine": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def _filesystem(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _rename(fs, source, target) -> None:
+    if not fs.rename(source, target):
+        raise OSError(f"cannot rename {source} to {target}")
+
+
+def _beside(spark: SparkSession, path: str) -> tuple:
+    """The file system, the table's path, and what a swap may have left beside it, by kind (tmp, ready, old)."""
+    fs, target = _filesystem(spark, path.rstrip("/"))
+    left = {}
+    if target.getParent() is not None and fs.exists(target.getParent()):
+        for kind in ("tmp", "ready", "old"):
+            found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(target.getParent(), f"{target.getName()}__{kind}_*"))
+            left[kind] = sorted((x.getPath() for x in found or []), key=str)
+    return fs, target, left
+
+
+def _current(spark: SparkSession, path: str) -> str:
+    """Where a table is read. In the middle of a swap, when its path is missing, that is the new table, which is whole."""
+    fs, target, left = _beside(spark, path)
+    if not fs.exists(target):
+        for kind in ("ready", "old"):
+            if left.get(kind):
+                return str(left[kind][-1])
+    return path
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A Parquet or CSV table by suffix, with the columns of schema by name; an empty table where there is none."""
+    """A Parquet or CSV table by suffix, with the columns of schema by name; an empty table where there is none.
+
+    A table whose replacement broke off is read as it was before or after, whole.
+    """
+    found = _current(spark, path)
     try:
-        df = spark.read.option("header", True).csv(path) if path.rstrip("/").endswith(".csv") else spark.read.parquet(path)
+        df = spark.read.options(**_CSV).csv(found) if path.rstrip("/").endswith(".csv") else spark.read.parquet(found)
     except AnalysisException as error:
         if not _missing(error):
             raise
@@ -27,35 +68,68 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return conform(df, schema)
 
 
-def _filesystem(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Replace a Parquet or CSV table. It is written beside the old one and swapped, so df may read the old one.
+    """Replace a Parquet or CSV table, by one writer at a time. df may read the old one. In a CSV table an empty text is null.
 
-    The old table is put aside before the swap and deleted after it: a crash leaves one of the two whole.
+    The new table is written beside the old one and marked as ready by a rename; then the old one is put aside, the new
+    one takes its place, and the old one is deleted. Each step is one rename: wherever it breaks off, read_table
+    finds the old table or the new one, and the next write clears up.
     """
     spark = df.sparkSession
-    plain, own = path.rstrip("/"), uuid.uuid4().hex
-    staged, aside = f"{plain}__{own}", f"{plain}__old_{own}"
+    fs, target, left = _beside(spark, path)
+    if not fs.exists(target) and (left.get("ready") or left.get("old")):
+        _rename(fs, (left["ready"] or left["old"])[-1], target)  # a swap that broke off
+        fs, target, left = _beside(spark, path)
+    own = uuid.uuid4().hex
+    at = lambda kind: spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}__{kind}_{own}")
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    if plain.endswith(".csv"):
-        writer.option("header", True).option("escape", '"').csv(staged)
+    if path.rstrip("/").endswith(".csv"):
+        writer.options(**{k: v for k, v in _CSV.items() if k != "multiLine"}).csv(str(at("tmp")))
     else:
-        writer.parquet(staged)
-    fs, target = _filesystem(spark, path)
-    at = spark._jvm.org.apache.hadoop.fs.Path
-    there = fs.exists(target)
-    if there and not fs.rename(target, at(aside)):
-        raise OSError(f"cannot move {path}")
-    if not fs.rename(at(staged), target):
-        if there:
-            fs.rename(at(aside), target)
-        raise OSError(f"cannot replace {path}")
-    if there:
-        fs.delete(at(aside), True)
+        writer.parquet(str(at("tmp")))
+    _rename(fs, at("tmp"), at("ready"))
+    if fs.exists(target):
+        _rename(fs, target, at("old"))
+    _rename(fs, at("ready"), target)
+    for rest in [at("old"), *[x for kind in left.values() for x in kind]]:
+        fs.delete(rest, True)
+
+
+#: Folders that appended rows are dealt to, by rater.
+BUCKETS = 16
+
+
+def _record(spark: SparkSession, path: str) -> dict:
+    """The record of a compaction (Spark's readers pass over files whose names begin so)."""
+    fs, at = _filesystem(spark, path)
+    stream = fs.open(at)
+    try:
+        return json.loads(bytes(stream.readAllBytes()).decode())
+    finally:
+        stream.close()
+
+
+def _listed(spark: SparkSession, folder: str) -> tuple[list[str], list[str], list[str]]:
+    """Paths of the CSV files, of appended Parquet files and of other Parquet files of a folder.
+
+    The last compaction of each log says which files it has merged; they do not count, even where they are still there.
+    """
+    fs, root = _filesystem(spark, folder)
+    files, found = fs.listFiles(root, True), []
+    while files.hasNext():
+        found.append(files.next().getPath().toString())
+    last: dict[str, str] = {}
+    for path in sorted(x for x in found if _COMPACTION.search(x)):
+        last[path.rsplit("/", 1)[0]] = path
+    merged, live = set(), set()
+    for path in last.values():
+        said = _record(spark, path)
+        merged |= set(said["merged"])
+        live.add(f"{path.rsplit('/', 1)[0]}/{said['folder']}/")
+    inner = lambda path: path[len(root.toString()) :]
+    parquet = [x for x in found if x.endswith(".parquet") and x not in merged and (any(x.startswith(k) for k in live) or not re.search("/[_.]", inner(x)))]
+    own = [x for x in parquet if "/bucket=" in x]
+    return [x for x in found if x.endswith(".csv") and not re.search("/[_.]", inner(x))], own, [x for x in parquet if "/bucket=" not in x]
 
 
 def read_annotations(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
@@ -63,39 +137,71 @@ def read_annotations(spark: SparkSession, folder: str, schema: T.StructType) ->
     fs, root = _filesystem(spark, folder)
     if not fs.exists(root):
         return empty_table(spark, schema)
-    every = lambda ending: spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{ending}")
     out = empty_table(spark, schema)
-    # the headers decide: files that agree on theirs are read together; one job finds them all
-    lines = every("csv").text(folder).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")).withColumn("at", F.monotonically_increasing_id())
-    heads = lines.filter("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("head"))
-    for r in heads.groupBy("head").agg(F.collect_list("file").alias("files")).collect():
-        out = out.unionByName(conform(spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(r["files"]), schema))
-    try:
-        found = every("parquet").option("mergeSchema", True).parquet(folder)
-    except AnalysisException as error:
-        if not _missing(error):
-            raise
-        return out
-    return out.unionByName(conform(found, schema))
-
-
-def _append_by_rater(rows: DataFrame, folder: str) -> None:
-    # one file a rater and batch, more for a rater with very many rows
-    rows.withColumn("rater", F.col("rater_id")).hint("rebalance", "rater").write.mode("append").partitionBy("rater").parquet(folder)
-
-
-def append_ratings(df: DataFrame, folder: str) -> None:
+    csv, own, foreign = _listed(spark, folder)
+    plain = spark.read.option("recursiveFileLookup", True)
+    if csv:
+        # the headers decide: files that agree on theirs are read together; one job finds them all
+        lines = plain.text(csv).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")).withColumn("at", F.monotonically_increasing_id())
+        heads = lines.filter("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("head"))
+        for r in heads.groupBy("head").agg(F.collect_list("file").alias("files")).collect():
+            out = out.unionByName(conform(spark.read.options(**_CSV).csv(r["files"]), schema))
+    if own:
+        # what append_ and compact_log have written has the schema's columns
+        out = out.unionByName(conform(plain.schema(schema).parquet(*own), schema))
+    if foreign:
+        out = out.unionByName(conform(plain.option("mergeSchema", True).parquet(*foreign), schema))
+    return out
+
+
+def _append(rows: DataFrame, folder: str, buckets: int) -> None:
+    # at most one file a bucket and append, more for a bucket with very many rows
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("rater_id"), F.lit(buckets)))
+    dealt.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(folder)
+
+
+def append_ratings(df: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
     """Add rating events; ids and times that are missing are given once, when written."""
     rows = conform(df, RATINGS)
     rows = rows.withColumn("rating_id", F.coalesce("rating_id", F.uuid())).withColumn("rating_timestamp", F.coalesce("rating_timestamp", F.current_timestamp()))
-    _append_by_rater(rows, folder)
+    _append(rows, folder, buckets)
 
 
-def append_pairwise(df: DataFrame, folder: str) -> None:
+def append_pairwise(df: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
     """Add preference events."""
     rows = conform(df, PAIRWISE)
     rows = rows.withColumn("pair_id", F.coalesce("pair_id", F.uuid())).withColumn("timestamp", F.coalesce("timestamp", F.current_timestamp()))
-    _append_by_rater(rows, folder)
+    _append(rows, folder, buckets)
+
+
+_COMPACTION = re.compile(r"/_compaction-\d{8}\.json$")
+
+
+def compact_log(spark: SparkSession, folder: str, schema: T.StructType, buckets: int = BUCKETS) -> int:
+    """Merge the Parquet files that appends have left in folder into a few; the number of files merged.
+
+    Merged rows are written to a folder of their own. Then a record that names it, and the files that it stands for, is
+    renamed into place: before that moment readers see the old files, after it the new ones. The old files are deleted last. One
+    compaction at a time; appends may go on meanwhile, as their files are not in the record.
+    """
+    fs, root = _filesystem(spark, folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    _, own, _ = _listed(spark, folder)
+    records = sorted(str(x.getPath()) for x in fs.globStatus(path(root, "_compaction-*.json")) or [])
+    if own:
+        name, number = f"_merged-{uuid.uuid4().hex}", int(records[-1][-13:-5]) + 1 if records else 1
+        _append(conform(spark.read.option("recursiveFileLookup", True).schema(schema).parquet(*own), schema), f"{folder.rstrip('/')}/{name}", buckets)
+        out = fs.create(path(root, f"{name}.json"), True)
+        out.write(bytearray(json.dumps({"folder": name, "merged": own}).encode()))
+        out.close()
+        _rename(fs, path(root, f"{name}.json"), path(root, f"_compaction-{number:08d}.json"))
+        records.append(f"{root}/_compaction-{number:08d}.json")
+    # what the last record stands for, and what earlier ones have left
+    if records:
+        said = _record(spark, records[-1])
+        for old in [*said["merged"], *records[:-1], *[str(x.getPath()) for x in fs.globStatus(path(root, "_merged-*")) or [] if x.getPath().getName() != said["folder"]]]:
+            fs.delete(path(old), True)
+    return len(own)
 
 
 # Fixed value: the header of the older layout of exclusion logs.
