@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenrank.functions.shuffles import shuffled
 from lumenrank.operators.keys import keep_first
+from lumenrank.plans.stages import cut
 
 SCORE = "raw_score_1_to_10"
 
@@ -63,39 +65,67 @@ def aggregate_ratings(ratings: DataFrame, pairs: DataFrame | None = None, trim:
     return labels.join(win_rate(pairs), "image_id", "left").withColumn("pairwise_win_rate", F.coalesce("pairwise_win_rate", F.lit(0.5)))
 
 
-#: Parts that each rater's ratings are cut into where pairs are made.
-RATER_PARTS = 8
+#: Ratings of a rater in one part, about, where pairs are made.
+PART_RATINGS = 2_000
+
+
+def _implied(both: DataFrame) -> DataFrame:
+    """Preferences of rows with the columns rating_id, image_id, score and at of the earlier (_e) and the later rating (_l)."""
+    earlier, later = F.col("_e"), F.col("_l")
+    return both.select(
+        F.sha2(F.concat_ws("|", earlier["rating_id"], later["rating_id"]), 256).alias("pair_id"),
+        earlier["image_id"].alias("left_image_id"),
+        later["image_id"].alias("right_image_id"),
+        "rater_id",
+        F.when(earlier["score"] > later["score"], earlier["image_id"]).otherwise(later["image_id"]).alias("winner"),
+        F.lit(False).alias("tie_flag"),
+        F.abs(earlier["score"] - later["score"]).alias("preference_strength"),
+        later["at"].alias("timestamp"),
+        F.lit("derived_from_ratings").alias("source"),
+    )
+
+
+def _drawn_pairs(numbered: DataFrame, min_gap: float, most: int) -> DataFrame:
+    """rater_id, _e, _l of at most `most` of each rater's pairs that are min_gap apart.
+
+    In the order of their scores, the ratings that lie min_gap below one are the first so many. So a rater's pairs have
+    numbers, running over the upper rating; a keyed bijection draws `most` of them, and each number leads back to its two ratings.
+    """
+    order = Window.partitionBy("rater_id").orderBy("score", "n")
+    below = F.expr(f"count(1) OVER (PARTITION BY rater_id ORDER BY score RANGE BETWEEN UNBOUNDED PRECEDING AND {float(min_gap)}D PRECEDING)")
+    placed = cut(numbered.withColumn("place", F.row_number().over(order) - 1).withColumn("below", below).withColumn("upto", F.sum("below").over(order)), "placed")
+    raters = placed.groupBy("rater_id").agg(F.max("upto").alias("pairs")).filter("pairs > 0")
+    some = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("pairs"), F.lit(most)) - 1)).alias("k")
+    draws = raters.select("rater_id", "pairs", some).withColumn("drawn", F.when(F.col("pairs") <= most, F.col("k")).otherwise(shuffled(F.col("k"), F.col("pairs"), 42)))
+    # the upper rating of a number is the first whose running count exceeds it
+    marks = placed.filter("below > 0").select("rater_id", F.col("upto").alias("at"), F.lit(1).alias("mark"), F.struct("n", "x", "below", "upto").alias("up"))
+    asked = draws.select("rater_id", F.col("drawn").alias("at"), F.lit(0).alias("mark"), F.lit(None).cast(marks.schema["up"].dataType).alias("up"))
+    following = Window.partitionBy("rater_id").orderBy(F.desc("at"), F.desc("mark")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # a mark at the same place ends before the number
+    found = asked.withColumn("at", F.col("at") + 0.5).unionByName(marks.withColumn("at", F.col("at").cast("double"))).withColumn("up", F.last("up", ignorenulls=True).over(following)).filter("mark = 0")
+    found = found.select("rater_id", F.col("up.n").alias("n1"), F.col("up.x").alias("x1"), (F.col("at") - 0.5 - (F.col("up.upto") - F.col("up.below"))).cast("int").alias("place"))
+    both = found.join(placed.select("rater_id", "place", F.col("n").alias("n2"), F.col("x").alias("x2")), ["rater_id", "place"])
+    swap = F.col("n1") < F.col("n2")
+    return both.select("rater_id", F.when(swap, F.col("x1")).otherwise(F.col("x2")).alias("_e"), F.when(swap, F.col("x2")).otherwise(F.col("x1")).alias("_l"))
 
 
 def pseudo_pairs(ratings: DataFrame, min_gap: float = 2.0, max_pairs_per_rater: int | None = None) -> DataFrame:
     """Preferences that a rater's own ratings imply: every two ratings at least min_gap apart, the earlier on the left.
 
     The rows of a rater grow with the square of the rater's ratings. A prolific rater is spread over tasks: left rows
-    are dealt to ``RATER_PARTS`` parts, and each part meets all right rows. max_pairs_per_rater (off by default) keeps the
-    pairs of least hash, which saves later work but not the join.
+    are dealt to parts of about ``PART_RATINGS``, and each part meets all right rows. max_pairs_per_rater (off by default)
+    draws so many of a rater's pairs by their numbers, before any are made.
     """
     order = Window.partitionBy("rater_id").orderBy("rating_timestamp", "rating_id")
-    numbered = ratings.filter(F.col("rater_id").isNotNull()).withColumn("_n", F.row_number().over(order))
-    one = numbered.select("rater_id", "rating_id", "image_id", SCORE, "_n")
-    left = one.select("rater_id", F.pmod("_n", F.lit(RATER_PARTS)).alias("_part"), F.col("rating_id").alias("_lr"), F.col("image_id").alias("left_image_id"), F.col(SCORE).alias("_ls"), F.col("_n").alias("_ln"))
-    right = numbered.select(F.col("rater_id").alias("_rater"), F.explode(F.sequence(F.lit(0), F.lit(RATER_PARTS - 1))).alias("_to"), F.col("rating_id").alias("_rr"), F.col("image_id").alias("right_image_id"), F.col(SCORE).alias("_rs"), F.col("_n").alias("_rn"), F.col("rating_timestamp").alias("timestamp"))
-    gap = F.abs(F.col("_ls") - F.col("_rs"))
-    both = left.join(right, (F.col("rater_id") == F.col("_rater")) & (F.col("_part") == F.col("_to")) & (F.col("_ln") < F.col("_rn")) & (gap >= min_gap))
-    pairs = both.select(
-        F.sha2(F.concat_ws("|", "_lr", "_rr"), 256).alias("pair_id"),
-        "left_image_id",
-        "right_image_id",
-        "rater_id",
-        F.when(F.col("_ls") > F.col("_rs"), F.col("left_image_id")).otherwise(F.col("right_image_id")).alias("winner"),
-        F.lit(False).alias("tie_flag"),
-        gap.alias("preference_strength"),
-        "timestamp",
-        F.lit("derived_from_ratings").alias("source"),
-    )
-    if max_pairs_per_rater is None:
-        return pairs
-    some = Window.partitionBy("rater_id").orderBy("pair_id")
-    return pairs.withColumn("_k", F.row_number().over(some)).filter(F.col("_k") <= max_pairs_per_rater).drop("_k")
+    x = F.struct("rating_id", "image_id", F.col(SCORE).alias("score"), F.col("rating_timestamp").alias("at")).alias("x")
+    numbered = ratings.filter(F.col("rater_id").isNotNull() & F.col(SCORE).isNotNull()).select("rater_id", F.col(SCORE).cast("double").alias("score"), F.row_number().over(order).alias("n"), x)
+    if max_pairs_per_rater is not None:
+        return _implied(_drawn_pairs(numbered, min_gap, max_pairs_per_rater))
+    parts = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("rater_id")) / PART_RATINGS).cast("int")
+    dealt = numbered.withColumn("parts", parts)
+    left = dealt.select("rater_id", F.pmod("n", "parts").alias("part"), F.col("n").alias("n1"), F.col("score").alias("s1"), F.col("x").alias("_e"))
+    right = dealt.select("rater_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("n").alias("n2"), F.col("score").alias("s2"), F.col("x").alias("_l"))
+    return _implied(left.join(right, ["rater_id", "part"]).filter((F.col("n1") < F.col("n2")) & (F.abs(F.col("s1") - F.col("s2")) >= min_gap)))
 
 
 def merge_pairs(explicit: DataFrame, derived: DataFrame) -> DataFrame:

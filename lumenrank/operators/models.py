@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenrank.functions.ranks import global_row_number, quantiles
+from lumenrank.functions.shuffles import shuffled
 from lumenrank.operators.analysis import feature_columns
 from lumenrank.operators.metrics import conformal, ensemble, ranking_metrics, regression_metrics
-from lumenrank.operators.splits import seeded, training_frame
+from lumenrank.operators.splits import training_frame
 from lumenrank.plans.stages import cut
 
 
@@ -182,18 +183,20 @@ def local_contributions(fitted: Fitted, features: DataFrame, reference: DataFram
 
 
 def permutation_importance(fitted: Fitted, df: DataFrame, target: str, repeats: int = 8, seed: int = 42) -> DataFrame:
-    """feature, importance_mean, importance_std: how much R2 falls when a feature's values are shuffled among rows."""
+    """feature, importance_mean, importance_std: how much R2 falls when a feature's values are shuffled among rows.
+
+    Rows are numbered once; in each repeat a keyed bijection of the numbers names the row that a row takes values from, so
+    the shuffles are joins, not sorts.
+    """
     columns = fitted.scaler.columns
-    rows = global_row_number(df.select("image_id", F.col(target).cast("double").alias("_y"), *columns), [F.col("image_id")], "_i")
-    base = regression_metrics(fitted.predict(rows), "_y", "p").first()["r2"]
-    scored = None
-    for r in range(repeats):
-        order = [seeded(seed + r, "image_id"), F.col("image_id")]
-        other = global_row_number(rows.select("image_id", *[F.col(c).alias(f"_o_{c}") for c in columns]), order, "_i").drop("image_id")
-        both = rows.join(other, "_i")
-        variants = F.array(*[F.struct(F.lit(name).alias("feature"), *[(F.col(f"_o_{c}") if c == name else F.col(c)).cast("double").alias(c) for c in columns]) for name in columns])
-        one = fitted.predict(both.select("_y", F.explode(variants).alias("x")).select("_y", "x.*")).select("feature", F.lit(r).alias("_repeat"), "_y", "p")
-        scored = one if scored is None else scored.unionByName(one)
+    rows = cut(global_row_number(df.select("image_id", F.col(target).cast("double").alias("_y"), *columns), [F.col("image_id")], "_i"), "numbered")
+    stats = regression_metrics(fitted.predict(rows), "_y", "p").first()
+    n, base = rows.count(), stats["r2"]
+    partners = F.array(*[F.struct(F.lit(r).alias("_repeat"), (shuffled(F.col("_i") - 1, n, seed + r) + 1).alias("_j")) for r in range(repeats)])
+    other = rows.select(F.col("_i").alias("_j"), *[F.col(c).alias(f"_o_{c}") for c in columns])
+    both = rows.withColumn("_p", F.explode(partners)).select("_y", *columns, "_p.*").join(other, "_j")
+    variants = F.array(*[F.struct(F.lit(name).alias("feature"), *[(F.col(f"_o_{c}") if c == name else F.col(c)).cast("double").alias(c) for c in columns]) for name in columns])
+    scored = fitted.predict(both.select("_repeat", "_y", F.explode(variants).alias("x")).select("_repeat", "_y", "x.*"))
     got = scored.groupBy("feature", "_repeat").agg((1 - F.sum((F.col("_y") - F.col("p")) ** 2) / (F.var_pop("_y") * F.count(F.lit(1)))).alias("_r2"))
     return got.groupBy("feature").agg(F.avg(F.lit(base) - F.col("_r2")).alias("importance_mean"), F.stddev_pop(F.lit(base) - F.col("_r2")).alias("importance_std"))
 
