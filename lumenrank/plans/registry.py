@@ -652,6 +652,6 @@ def exclusions_stream(spark, sf_dir):
 
 
 # sources, sinks, validation, masks and streams register themselves beside these
-from lumenrank.plans import more_queries  # noqa: E402, F401
+from lumenrank.plans import more_queries, stream_queries  # noqa: E402, F401
 
 __all__ = ["QUERIES", "SQL", "Query"]

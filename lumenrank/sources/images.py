@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: The columns of Spark's source of binary files.
+BINARY_FILES = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
 
 # Fixed value: file endings that are scanned.
 EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "tif", "tiff", "webp")
@@ -19,17 +26,45 @@ def with_content_id(df: DataFrame, content: str = "content") -> DataFrame:
     return df.withColumn("sha256", F.sha2(content, 256)).withColumn("image_id", F.substr("sha256", F.lit(1), F.lit(16)))
 
 
-def scan_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
-    """path, relative_path, sha256, image_id of the files with a known ending, whatever its case."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.removeprefix("file://").rstrip("/") + "/"
+def scan_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS, paths: list[str] | None = None) -> DataFrame:
+    """path, relative_path, sha256, image_id of the files under root (or of paths in it) with a known ending, whatever its case."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths or root)
+    base = re.sub("^file:/+", "/", root).rstrip("/") + "/"
     ending = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     named = with_content_id(files.filter(ending.isin(*extensions))).withColumn("path", _plain(F.col("path")))
     return named.select("path", F.replace("path", F.lit(base), F.lit("")).alias("relative_path"), "sha256", "image_id")
 
 
-def scan_images(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
+def scan_images(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS, paths: list[str] | None = None) -> DataFrame:
     """Scanned files that can be decoded, with width, height and the image (blue, green, red bytes)."""
-    decoded = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", True).load(root)
+    decoded = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", True).load(paths or root)
     decoded = decoded.select(_plain(F.col("image.origin")).alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), "image")
-    return scan_files(spark, root, extensions).join(decoded, "path")
+    return scan_files(spark, root, extensions, paths).join(decoded, "path")
+
+
+def bitmap(width: Column, height: Column, rows: Column) -> Column:
+    """The bytes of a bitmap file of 24-bit colours; rows: hexadecimal digits (blue, green, red) of its rows, the lowest first,
+    each filled up to a multiple of 4 bytes."""
+    little = lambda n: F.concat(*[F.lpad(F.hex(F.shiftright(n, 8 * k).bitwiseAND(255)), 2, "0") for k in range(4)])
+    size = (F.char_length(rows) / 2).cast("int")
+    head = F.concat(F.lit("424D"), little(size + 54), F.lit("00000000"), little(F.lit(54)), little(F.lit(40)), little(width), little(height), F.lit("01001800"), F.lit("00000000"), little(size), F.lit("00000000" * 4))
+    return F.unhex(F.concat(head, rows))
+
+
+def write_files(files: DataFrame, folder: str) -> int:
+    """Write each row (name, content) as a file of folder; how many. A task that runs again writes the same files again."""
+
+    def put(found):
+        from pyarrow import fs
+
+        for batch in found:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                where, path = fs.FileSystem.from_uri(target)
+                where.create_dir(path, recursive=True)
+                with where.open_output_stream(f"{path}/{name}") as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)])], names=["n"])
+
+    target = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    target = re.sub("^file:/+", "file:///", target)
+    return files.select("name", "content").mapInArrow(put, "n long").agg(F.sum("n")).first()[0] or 0
