@@ -86,9 +86,10 @@ def bundled(pieces: DataFrame, rank: str) -> DataFrame:
 def _met(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Matches within a range of events: a unit takes the last gap of the range that is still open.
 
-    Units that meet no gap of their range, and gaps that no unit of it takes, are numbered, in the order of the range.
+    Units that meet no gap of their range, and gaps that no unit of it takes, are numbered, in the order of the range. A last
+    row without unit and sequence has the numbers of matches (place), of such units (size) and of such gaps (room).
     """
-    part, lost, opened = TaskContext.get().partitionId(), 0, []
+    part, lost, matches, opened = TaskContext.get().partitionId(), 0, 0, []
     for batch in found:
         out = []
         for id_, size, closes in zip(*[batch.column(c).to_pylist() for c in ("id", "size", "closes")], strict=True):
@@ -96,12 +97,14 @@ def _met(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 opened.append((id_, size))
             elif opened:
                 out.append((part, None, id_, size, *opened.pop()))
+                matches += 1
             else:
                 out.append((part, lost, id_, size, None, None))
                 lost += 1
         yield _events(out)
     for a in range(0, len(opened), 10_000):
         yield _events([(part, a + k, None, None, *gap) for k, gap in enumerate(opened[a : a + 10_000])])
+    yield _events([(part, matches, None, lost, None, len(opened))])
 
 
 def _events(rows: list[tuple]) -> pa.RecordBatch:
@@ -127,27 +130,34 @@ def _across(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int
     return out
 
 
-def matched(units: DataFrame, gaps: DataFrame) -> tuple[DataFrame, int]:
-    """(unit, size, sequence, room of units (unit, size) and gaps (sequence, room), as tables; the number of matches).
+def matched(units: DataFrame, gaps: DataFrame) -> tuple[DataFrame, int, int]:
+    """(unit, size, sequence, room of units (unit, size) and gaps (sequence, room), as tables; the numbers of matches and of
+    units left).
 
     A row is a match, a unit without gap (its sequence is null) or a gap without unit. Going from the largest size down, a
     unit takes the last gap that is still open. Ranges are matched apart; what a range leaves over is counted, and only
-    these counts (two numbers a range) pass through the driver to tell which range's gaps its units take.
+    these counts (three numbers a range) pass through the driver to tell which range's gaps its units take.
     """
     spark = units.sparkSession
     order = [F.desc("size"), F.col("closes"), F.col("id")]
     events = gaps.select(F.col("sequence").alias("id"), F.col("room").alias("size"), F.lit(False).alias("closes")).unionByName(units.select(F.col("unit").alias("id"), "size", F.lit(True).alias("closes")))
     met = stage_table(events.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_met, "part int, place long, unit long, size long, sequence long, room long"), "met")
-    whole = F.col("unit").isNotNull() & F.col("sequence").isNotNull()
-    told = met.groupBy("part").agg(F.count_if(F.col("sequence").isNull()), F.count_if(F.col("unit").isNull()), F.count_if(whole)).collect()
-    pieces = _across(sorted((part, left, over) for part, left, over, _ in told))
+    told = met.filter("unit IS NULL AND sequence IS NULL").select("part", "place", "size", "room").collect()
+    pieces = _across(sorted((r.part, r["size"], r.room) for r in told))
+    columns = ["unit", "size", "sequence", "room"]
+    whole = met.filter("unit IS NOT NULL AND sequence IS NOT NULL").select(*columns)
+    lone, open_ = met.filter("unit IS NOT NULL AND sequence IS NULL"), met.filter("unit IS NULL AND sequence IS NOT NULL")
+    taken = sum(last - first for _, first, last, _, _ in pieces)
+    found, left = sum(r.place for r in told) + taken, sum(r["size"] for r in told) - taken
+    if not pieces:
+        return whole.unionByName(lone.select(*columns)).unionByName(open_.select(*columns)), found, left
     # at most two rows for each range
     across = F.broadcast(spark.createDataFrame(pieces, "_part int, first long, last long, other int, top long"))
-    left = met.filter("sequence IS NULL").join(across, (F.col("part") == F.col("_part")) & (F.col("place") >= F.col("first")) & (F.col("place") < F.col("last")), "left")
-    left = left.select("unit", "size", F.col("other").alias("part"), (F.col("top") - F.col("place")).alias("place"))
-    joined = left.join(met.filter("unit IS NULL").select("part", "place", "sequence", "room"), ["part", "place"], "full")
-    rest = stage_table(joined.select("unit", "size", "sequence", "room"), "rest")
-    return met.filter(whole).select("unit", "size", "sequence", "room").unionByName(rest), sum(r[3] for r in told) + sum(b - a for _, a, b, _, _ in pieces)
+    told_gap = lone.join(across, (F.col("part") == F.col("_part")) & (F.col("place") >= F.col("first")) & (F.col("place") < F.col("last")), "left")
+    sent = told_gap.filter("other IS NOT NULL").select("unit", "size", F.col("other").alias("part"), (F.col("top") - F.col("place")).alias("place"))
+    joined = sent.join(open_.select("part", "place", "sequence", "room"), ["part", "place"], "full").select(*columns)
+    rest = stage_table(joined.unionByName(told_gap.filter("other IS NULL").select(*columns)), "rest")
+    return whole.unionByName(rest), found, left
 
 
 def sweep(units: DataFrame, gaps: DataFrame) -> DataFrame:
@@ -157,25 +167,25 @@ def sweep(units: DataFrame, gaps: DataFrame) -> DataFrame:
 
 def place_units(units: DataFrame, capacity: int) -> DataFrame:
     """unit, sequence, start of units (unit, size; a table): numbers by falling size, in rounds."""
-    left, gaps, out, opened = units, None, None, 0
-    while True:
-        n, tokens, least = left.agg(F.count(F.lit(1)), F.sum("size"), F.min("size")).first()
-        if not n:
-            return out if out is not None else units.select("unit", F.lit(0).cast("long").alias("sequence"), F.lit(0).cast("long").alias("start"))
-        state, met = (None, 0) if gaps is None else matched(left, gaps.filter(F.col("room") >= least))
+    left, gaps, out, opened, n = units, None, None, 0, units.count()
+    least = 0
+    while n:
+        state, met, rest = (None, 0, n) if gaps is None else matched(left, gaps.filter(F.col("room") >= least))
         if met:
             new = state.filter("unit IS NOT NULL AND sequence IS NOT NULL").select("unit", "sequence", (F.lit(capacity) - F.col("room")).cast("long").alias("start"))
-            left = state.filter("sequence IS NULL").select("unit", "size")
+            left, n = state.filter("unit IS NOT NULL AND sequence IS NULL").select("unit", "size"), rest
             gaps = state.filter("sequence IS NOT NULL").select("sequence", (F.col("room") - F.coalesce("size", F.lit(0))).alias("room"))
         else:
+            tokens, least = left.agg(F.sum("size"), F.min("size")).first()
             k = -(-tokens // capacity)
             ranked = stage_table(global_row_number(left, [F.desc("size"), F.col("unit")], "k"), "ranked")
             longest = ranked.filter(F.col("k") <= k)
             new = longest.select("unit", (F.col("k") + opened).alias("sequence"), F.lit(0).cast("long").alias("start"))
             # no open gap holds even the shortest unit
             gaps = longest.select((F.col("k") + opened).alias("sequence"), (capacity - F.col("size")).alias("room"))
-            left, opened = ranked.filter(F.col("k") > k).drop("k"), opened + k
+            left, opened, n = ranked.filter(F.col("k") > k).drop("k"), opened + k, max(0, n - k)
         out = new if out is None else out.unionByName(new)
+    return out if out is not None else units.select("unit", F.lit(0).cast("long").alias("sequence"), F.lit(0).cast("long").alias("start"))
 
 
 def place_pieces(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
