@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenrank.functions.ranks import average_ranks, quantiles
+from lumenrank.functions.ranks import average_ranks, group_quantiles, quantiles, sketched_quantiles
 
 
 
@@ -90,13 +90,22 @@ def ece(df: DataFrame, y: str = "y", p: str = "p", n_bins: int = 10) -> DataFram
     return bins.agg(F.sum(F.col("_gap") * F.col("_n") / F.col("_all")).alias("ece"))
 
 
-def conformal(df: DataFrame, y: str = "y", p: str = "p", alpha: float = 0.1, by: list[str] | None = None) -> DataFrame:
-    """Half width that holds 1 - alpha of the absolute errors; 0 without rows."""
-    error = F.abs(F.col(y) - F.col(p)).cast("double")
+def conformal(df: DataFrame, y: str = "y", p: str = "p", alpha: float = 0.1, by: list[str] | None = None, sketched: bool = False) -> DataFrame:
+    """Half width that holds 1 - alpha of the absolute errors, of each group where by is given; 0 without errors.
+
+    sketched: by KLL sketches, whose rank error is stated there, in place of exact ranks; for many groups or great ones.
+    """
+    errors = df.select(*(by or []), F.abs(F.col(y) - F.col(p)).cast("double").alias("_e"))
     if not by:
-        half = quantiles(df.select(error.alias("_e")), ["_e"], [1 - alpha])["_e"][0]
+        half = quantiles(errors, ["_e"], [1 - alpha])["_e"][0]
         return df.sparkSession.createDataFrame([(half or 0.0,)], "half_width double")
-    return df.groupBy(*by).agg(F.coalesce(F.percentile(error, F.lit(1 - alpha)), F.lit(0.0)).alias("half_width"))
+    found = (sketched_quantiles if sketched else group_quantiles)(errors, by, "_e", 1 - alpha, "half_width")
+    groups = df.select(*by).distinct()
+    same = F.lit(True)
+    for c in by:
+        found = found.withColumnRenamed(c, f"_by_{c}")
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return groups.join(found, same, "left").select(*by, F.coalesce("half_width", F.lit(0.0)).alias("half_width"))
 
 
 def ensemble(predictions: DataFrame, item: str = "image_id", p: str = "p") -> DataFrame:

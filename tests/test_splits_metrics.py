@@ -93,3 +93,26 @@ def test_t_distribution():
     for df, t in ((1, 12.706), (5, 2.571), (30, 2.042), (120, 1.980)):
         assert two_sided(t, df) == pytest.approx(0.05, abs=2e-4)
     assert two_sided(0.0, 5) == pytest.approx(1.0) and two_sided(None, 3) is None
+
+
+def test_widths_of_groups(spark):
+    """Exact quantiles of groups, with ties, nulls and a group of half of all rows; sketches within their rank error."""
+    import numpy as np
+
+    from lumenrank.functions.ranks import group_quantiles, sketched_quantiles
+    from lumenrank.operators.metrics import conformal
+
+    rng = np.random.default_rng(6)
+    groups = {"a": rng.normal(size=4001), "b": rng.integers(0, 4, 300).astype(float), None: rng.normal(size=7), "one": np.array([2.5])}
+    rows = [(g, float(v)) for g, values in groups.items() for v in values] + [("empty", None), ("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    for share in (0.0, 0.37, 0.9, 1.0):
+        got = {r.g: r.q for r in group_quantiles(df, ["g"], "v", share, "q").collect()}
+        assert set(got) == set(groups) and all(abs(got[g] - np.quantile(v, share)) < 1e-12 for g, v in groups.items())
+    near = {r.g: r.q for r in sketched_quantiles(df, ["g"], "v", 0.9, "q").collect()}
+    assert set(near) == set(groups) and abs((groups["a"] <= near["a"]).mean() - 0.9) < 0.01
+    judged = df.select("g", F.lit(0.0).alias("y"), F.col("v").alias("p"))
+    for sketched in (False, True):
+        widths = {r.g: r.half_width for r in conformal(judged, by=["g"], sketched=sketched).collect()}
+        assert set(widths) == {*groups, "empty"} and widths["empty"] == 0.0 and widths["one"] == 2.5
+    assert abs(conformal(judged).first().half_width - np.quantile(np.abs(np.concatenate(list(groups.values()))), 0.9)) < 1e-12
