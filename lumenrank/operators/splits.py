@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenrank.functions.ranks import global_row_number, quantiles
@@ -42,10 +42,13 @@ def group_folds(dev: DataFrame, group: str, bin_column: str, n_splits: int = 5,
     """group and fold: groups dealt to and fro over the folds, within their most frequent bin, the largest first."""
     counts = dev.groupBy(group, bin_column).agg(F.count(F.lit(1)).alias("_k"))
     sized = counts.groupBy(group).agg(F.sum("_k").alias("_size"), F.max_by(bin_column, F.struct("_k", -F.col(bin_column))).alias("_bin"))
-    order = Window.partitionBy("_bin").orderBy(F.desc("_size"), seeded(seed, group), group)
-    place = F.row_number().over(order) - 1
+    # numbered over all bins at once, by ranges; a row for each bin tells where it begins
+    placed = global_row_number(sized, [F.col("_bin"), F.desc("_size"), seeded(seed, group), F.col(group)], "_place")
+    starts = placed.groupBy(F.col("_bin").alias("_of")).agg(F.min("_place").alias("_first"))
+    placed = placed.join(F.broadcast(starts), F.col("_bin").eqNullSafe(F.col("_of")))
+    place = F.col("_place") - F.col("_first")
     lap, at = F.floor(place / n_splits), F.pmod(place, F.lit(n_splits))
-    return sized.withColumn("fold", F.when(lap % 2 == 0, at).otherwise(n_splits - 1 - at).cast("int")).select(group, "fold")
+    return placed.withColumn("fold", F.when(lap % 2 == 0, at).otherwise(n_splits - 1 - at).cast("int")).select(group, "fold")
 
 
 def grouped_splits(manifest: DataFrame, labels: DataFrame, target: str = "mean_score", n_splits: int = 5, bins: int = 5, fraction: float = 0.2, seed: int = 42) -> DataFrame:
