@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lumenrank.functions.ranks import quantiles
 from lumenrank.functions.tdist import two_sided
+from lumenrank.plans.stages import cut
 
 
 def feature_columns(df: DataFrame, key: str = "image_id") -> list[str]:
@@ -115,19 +117,8 @@ def nearest(vectors: DataFrame, item: object, k: int = 5, key: str = "image_id")
 BLOCK_ROWS, SLICE_CELLS = 4_096, 4_000_000
 
 
-def nearest_all(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "image_id") -> DataFrame:
-    """query, key, similarity, rank: the k nearest items of every query, exactly.
-
-    Queries and items are dealt into blocks of about BLOCK_ROWS; a task multiplies one block by another, slice by slice,
-    and keeps k for each query, so no side is broadcast, no group grows with the table, and the best of the
-    blocks are merged. All pairs are compared: the work grows with the product of both sides.
-    """
-    n_q, n_v = (max(1, -(-df.count() // BLOCK_ROWS)) for df in (queries, vectors))
-    deal = lambda c, seed, n: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.select(F.col(key).alias("query"), F.col("vector").alias("qv"), deal(key, 0, n_q).alias("_qb"), every(n_v).alias("_vb"))
-    v = vectors.select(F.col(key).alias("item"), F.col("vector").alias("iv"), deal(key, 1, n_v).alias("_vb"), every(n_q).alias("_qb"))
-    kind = dict(vectors.dtypes)[key]
+def _multiply(k: int, key: str):
+    """A function that multiplies queries (query, qv) by items (item, iv) and keeps k for each query."""
 
     def multiply(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -147,11 +138,107 @@ def nearest_all(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "
             out.append(one[np.isfinite(one["similarity"])])
         return pd.concat(out)
 
-    found = q.groupBy("_qb", "_vb").cogroup(v.groupBy("_qb", "_vb")).applyInPandas(multiply, f"query {kind}, {key} {kind}, similarity double")
+    return multiply
+
+
+def nearest_all(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "image_id") -> DataFrame:
+    """query, key, similarity, rank: the k nearest items of every query, exactly.
+
+    Queries and items are dealt into blocks of about BLOCK_ROWS; a task multiplies one block by another, slice by slice,
+    and keeps k for each query, so no side is broadcast, no group grows with the table, and the best of the
+    blocks are merged. All pairs are compared: the work grows with the product of both sides.
+    """
+    n_q, n_v = (max(1, -(-df.count() // BLOCK_ROWS)) for df in (queries, vectors))
+    deal = lambda c, seed, n: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select(F.col(key).alias("query"), F.col("vector").alias("qv"), deal(key, 0, n_q).alias("_qb"), every(n_v).alias("_vb"))
+    v = vectors.select(F.col(key).alias("item"), F.col("vector").alias("iv"), deal(key, 1, n_v).alias("_vb"), every(n_q).alias("_qb"))
+    kind = dict(vectors.dtypes)[key]
+    found = q.groupBy("_qb", "_vb").cogroup(v.groupBy("_qb", "_vb")).applyInPandas(_multiply(k, key), f"query {kind}, {key} {kind}, similarity double")
     w = Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 12)), key)
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+#: Pivots of nearest_pruned, at most; their vectors pass through the driver.
+PIVOTS = 256
+
+
+def nearest_pruned(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "image_id", pivots: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(query, key, similarity, rank of the k nearest items of every query, exactly, as nearest_all; one row with pairs compared
+    and pairs in all).
+
+    Items lie in the cell of their nearest pivot, whose radius is the largest angle to it. A query first meets its own cell. By the
+    triangle inequality of angles no item of another cell can be nearer than the query's angle to its pivot less the
+    radius, so cells that cannot hold one of the k nearest are skipped. Zero vectors have similarity 0 to all: they are
+    a cell of their own that only a k-th similarity above 0 skips, and such queries skip nothing.
+    """
+    size = F.sqrt(_dot("vector", "vector"))
+    items, asked = (cut(df.select(F.col(key).alias("id"), "vector").filter("vector IS NOT NULL"), "vectors") for df in (vectors, queries))
+    kind, n = dict(items.dtypes)["id"], items.count()
+    wanted = pivots or max(1, min(PIVOTS, round(n**0.5 / 2)))
+    chosen = items.filter(size > 0).orderBy(F.xxhash64("id"), "id").limit(wanted).collect()
+    points = np.array([r["vector"] for r in chosen], dtype=float) if chosen else np.zeros((0, 0))
+    points = points / np.linalg.norm(points, axis=1)[:, None] if len(points) else points
+
+    def angles(pdf: pd.DataFrame) -> np.ndarray:
+        """Angles to the pivots; not a number for zero vectors."""
+        v = np.stack(pdf["vector"].to_numpy())
+        length = np.linalg.norm(v, axis=1)[:, None]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return np.arccos(np.clip(v @ points.T / length, -1, 1)) if len(points) else np.full((len(v), 0), np.nan)
+
+    def celled(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            if len(pdf):
+                at = angles(pdf)
+                none = np.isnan(at).any(axis=1) | (at.shape[1] == 0)
+                near = np.where(none[:, None], 0, at) if at.shape[1] else np.zeros((len(pdf), 1))
+                cell = near.argmin(axis=1)
+                yield pdf.assign(cell=np.where(none, -1, cell), angle=np.where(none, 0.0, near[np.arange(len(pdf)), cell]))
+
+    shape = f"id {kind}, vector array<double>, cell int, angle double"
+    plain = lambda df: df.select("id", F.col("vector").cast("array<double>").alias("vector"))
+    placed, posed = (cut(plain(df).mapInPandas(celled, shape), "cells") for df in (items, asked))
+    # a row for each cell
+    cells = {r["cell"]: (r["n"], r["radius"]) for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).collect()}
+    blocks = lambda n: max(1, -(-n // BLOCK_ROWS))
+    deals = placed.sparkSession.createDataFrame([(c, blocks(m)) for c, (m, _) in cells.items()], "cell int, blocks int")
+    deal = lambda c, seed, n: F.pmod(F.xxhash64(c, F.lit(seed)), n).cast("int")
+
+    def compare(sent: DataFrame) -> DataFrame:
+        """The k nearest among the items of the cells that queries (query, qv, cell) are sent to."""
+        groups = sent.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("groups"))
+        both = cut(deals.join(groups, "cell"), "deals")
+        q = sent.join(both, "cell").select("query", "qv", "cell", deal("query", 0, F.col("groups")).alias("group"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        v = placed.join(both, "cell").select(F.col("id").alias("item"), F.col("vector").alias("iv"), "cell", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), deal("id", 1, F.col("blocks")).alias("block"))
+        by = ("cell", "group", "block")
+        return q.groupBy(*by).cogroup(v.groupBy(*by)).applyInPandas(_multiply(k, key), f"query {kind}, {key} {kind}, similarity double")
+
+    order = Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 12)), key)
+    first = cut(compare(posed.select(F.col("id").alias("query"), F.col("vector").alias("qv"), "cell")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank"), "first")
+    bound = first.groupBy("query").agg(F.when(F.count(F.lit(1)) == k, F.min("similarity")).alias("kth"))
+    known = posed.join(bound, posed["id"] == bound["query"], "left").drop("query")
+    radius = np.array([cells.get(c, (0, 0.0))[1] for c in range(len(points))])
+    filled = np.array([c in cells for c in range(len(points))], dtype=bool)
+
+    def send(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            if len(pdf):
+                at, kth = angles(pdf), pdf["kth"].fillna(-np.inf).to_numpy(float)
+                best = np.where(np.isnan(at), 0.0, np.cos(np.maximum(0, at - radius)))
+                keep = (best >= kth[:, None] - 1e-9) & filled & (np.arange(len(points)) != pdf["cell"].to_numpy()[:, None])
+                row, cell = np.nonzero(keep)
+                zero = np.flatnonzero((kth <= 1e-9) & (pdf["cell"].to_numpy() != -1)) if -1 in cells else np.zeros(0, int)
+                row, cell = np.r_[row, zero], np.r_[cell, np.full(len(zero), -1)]
+                yield pd.DataFrame({"query": pdf["id"].to_numpy()[row], "qv": pdf["vector"].to_numpy()[row], "cell": cell})
+
+    sent = cut(known.mapInPandas(send, f"query {kind}, qv array<double>, cell int"), "sent")
+    found = first.unionByName(compare(sent)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    each = placed.sparkSession.createDataFrame([(c, m) for c, (m, _) in cells.items()], "cell int, n long")
+    met = sent.select("cell").unionByName(posed.select("cell")).join(each, "cell").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("compared"))
+    return found, met.withColumn("pairs", F.lit(n) * F.lit(asked.count()))
+
+
 def compare_items(features: DataFrame, a: object, b: object, n: int = 20) -> DataFrame:
     """feature, a, b, delta: two items side by side, the n largest differences."""
     rows = long_form(features.filter(F.col("image_id").isin(a, b)), feature_columns(features))

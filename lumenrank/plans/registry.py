@@ -336,12 +336,21 @@ def nearest(spark, sf_dir):
     return analysis.nearest(_vectors(spark, sf_dir), 7, 10, "vec_id").select("vec_id", _r("similarity"))
 
 
-@query(f"WITH {_UNIT} SELECT query, vec_id, round(s, 6) AS similarity, CAST(r AS INT) AS rank FROM (SELECT a.vec_id AS query, b.vec_id, list_cosine_similarity(a.v, b.v) AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.v, b.v), 12) DESC, b.vec_id) AS r FROM u a JOIN u b ON a.vec_id <> b.vec_id) WHERE r <= 5")
+_ALL_NEAREST = f"WITH {_UNIT} SELECT query, vec_id, round(s, 6) AS similarity, CAST(r AS INT) AS rank FROM (SELECT a.vec_id AS query, b.vec_id, list_cosine_similarity(a.v, b.v) AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.v, b.v), 12) DESC, b.vec_id) AS r FROM u a JOIN u b ON a.vec_id <> b.vec_id) WHERE r <= 5"
+
+
+@query(_ALL_NEAREST)
 def nearest_all(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     return analysis.nearest_all(v, v, 5, "vec_id").select("query", "vec_id", _r("similarity"), "rank")
 
 
+@query(_ALL_NEAREST)
+def nearest_pruned(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return analysis.nearest_pruned(v, v, 5, "vec_id")[0].select("query", "vec_id", _r("similarity"), "rank")
+
+
 @query(f"--with {_LONG} SELECT a.feature, round(a.value, 6) AS a, round(b.value, 6) AS b, round(b.value - a.value, 6) AS delta FROM long_rows a JOIN long_rows b ON a.feature = b.feature WHERE a.image_id = '1' AND b.image_id = '2'", ("v_features",))
 def compare_items(spark, sf_dir):
     return analysis.compare_items(view(spark, sf_dir, "v_features"), "1", "2").select("feature", _r("a"), _r("b"), _r("delta"))

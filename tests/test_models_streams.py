@@ -92,6 +92,27 @@ def test_neighbours_against_numpy(spark, frame):
     assert analysis.nearest(v, "none", 3).count() == 0
 
 
+def test_pruned_neighbours_equal_all(spark, monkeypatch):
+    """The same neighbours where cells are skipped; on clustered vectors most pairs are."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(12, 6))
+    rows = [(int(k), (centres[k % 12] + rng.normal(0, 0.05, 6)).round(4).tolist()) for k in range(360)]
+    rows += [(1000, rows[0][1]), (1001, rows[0][1]), (1002, [0.0] * 6), (1003, [0.0] * 6), (1004, (-centres[0]).tolist()), (1005, None)]
+    v = spark.createDataFrame(rows, "image_id long, vector array<double>")
+    whole = v.filter("vector IS NOT NULL")
+    told = lambda df: sorted((r.query, r.image_id, round(r.similarity, 9), r["rank"]) for r in df.collect())
+    monkeypatch.setattr(analysis, "BLOCK_ROWS", 50)
+    for asked, k, pivots in ((whole, 5, 12), (whole.filter("image_id % 40 = 0 OR image_id > 999"), 40, None), (whole.filter("image_id > 1001"), 3, 1)):
+        found, met = analysis.nearest_pruned(asked, v, k, pivots=pivots)
+        assert told(found) == told(analysis.nearest_all(asked, whole, k))
+        met = met.first()
+        assert met.compared <= met.pairs == asked.count() * 365
+        if pivots == 12:
+            assert met.compared < 0.5 * met.pairs
+    none = v.limit(0)
+    assert analysis.nearest_pruned(none, v, 3)[0].count() == 0 and analysis.nearest_pruned(whole, none, 3)[0].count() == 0
+
+
 def test_projection_is_centred(spark, frame):
     got = models.embed(frame[0], 2)
     assert abs(got.agg(F.avg("embed_00")).first()[0]) < 1e-9
