@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenrank.operators import analysis, browse, concepts, curation, keys, labels, manifest, metrics, models, pixels, reports, splits, validation
 from lumenrank.plans import jobs
-from lumenrank.plans.fixtures import pixel_cubes, table, view
+from lumenrank.plans.fixtures import VIEWS, pixel_cubes, table, view
 from lumenrank.plans.registering import QUERIES, SQL, Query, query
 from lumenrank.plans.registering import rounded as _r
 from lumenrank.plans.stages import cut, new_path
@@ -459,7 +459,18 @@ def strip_tags(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(curation.strip_tags(F.col("html")), 256).alias("plain_sha256"))
 
 
-@query()
+# one row at a time, with the keys of those kept so far
+_SELECTED = f"""WITH RECURSIVE v_collection AS ({VIEWS["v_collection"]}),
+o AS (SELECT *, row_number() OVER (ORDER BY collection, position) AS n FROM v_collection WHERE width >= 100 AND license <> 'All rights reserved'),
+g AS (
+  SELECT CAST(0 AS BIGINT) AS n, false AS kept, CAST([] AS VARCHAR[]) AS items, CAST([] AS VARCHAR[]) AS urls
+  UNION ALL
+  SELECT n, kept, CASE WHEN kept AND item_id IS NOT NULL THEN list_append(items, item_id) ELSE items END, CASE WHEN kept AND url IS NOT NULL THEN list_append(urls, url) ELSE urls END
+  FROM (SELECT o.n, o.item_id, o.url, g.items, g.urls, NOT (coalesce(list_contains(g.items, o.item_id), false) OR coalesce(list_contains(g.urls, o.url), false)) AS kept FROM g JOIN o ON o.n = g.n + 1))
+SELECT o.position, o.item_id, o.url FROM o JOIN g ON o.n = g.n WHERE g.kept"""
+
+
+@query(_SELECTED)
 def select_collection(spark, sf_dir):
     items = curation.filter_min_size(view(spark, sf_dir, "v_collection").withColumn("height", F.col("width")), 100, 100)
     items = items.filter(curation.licence_allowed([F.col("license")], ["cc", "public domain"]))
