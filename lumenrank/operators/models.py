@@ -156,10 +156,14 @@ def embed(features: DataFrame, k: int = 16, fit_on: DataFrame | None = None) ->
     return out.withColumn("_a", vector_to_array("_e")).select("image_id", *[F.col("_a")[i].alias(f"embed_{i:02d}") for i in range(k)])
 
 
-def train_hybrid(features: DataFrame, labels: DataFrame, splits: DataFrame, target: str = "mean_score", k: int = 16) -> Run:
-    """Boosted trees on features and their principal components, which see dev items only."""
-    dev = splits.filter("partition = 'dev'")
-    return train_baseline(features.join(embed(features, k, dev), "image_id"), labels, splits, target=target, kinds=("gbt",))
+def hybrid_features(features: DataFrame, splits: DataFrame, k: int = 16) -> DataFrame:
+    """features with their principal components, which are fitted on dev items only."""
+    return features.join(embed(features, k, splits.filter("partition = 'dev'")), "image_id")
+
+
+def train_hybrid(features: DataFrame, labels: DataFrame, splits: DataFrame, target: str = "mean_score", k: int = 16, holdout: int = 0, estimator: object | None = None) -> Run:
+    """Boosted trees on features and their principal components; estimator overrides the trees' own settings."""
+    return train_baseline(hybrid_features(features, splits, k), labels, splits, target=target, holdout=holdout, kinds=("gbt",), estimators={"gbt": estimator} if estimator else None)
 
 
 def local_contributions(fitted: Fitted, features: DataFrame, reference: DataFrame, k: int | None = None) -> DataFrame:

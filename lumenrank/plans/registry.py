@@ -540,12 +540,28 @@ def pixel_features(spark, sf_dir):
     return got.select("image_id", *[_r(c) for c in got.columns if c != "image_id"])
 
 
-@query()
+# 8 x 8 rasters fill the reduction's 32 x 32 cells, 4 x 4 cells a pixel
+@query(
+    """--with waves AS (SELECT u, place, sum(sqrt((CASE WHEN u = 0 THEN 1 ELSE 2 END) / 32.0::DOUBLE) * cos(pi() * (2 * (4 * place + j) + 1) * u / 64)) AS w FROM range(8) a(u), range(8) b(place), range(4) c(j) GROUP BY u, place),
+freq AS (SELECT image_id, a.u AS u, b.u AS v, round(sum(gray * a.w * b.w), 9) AS c FROM v_pixels JOIN waves a ON a.place = y JOIN waves b ON b.place = x GROUP BY ALL),
+mid AS (SELECT image_id, median(c) FILTER (WHERE u > 0) AS m FROM freq GROUP BY image_id)
+SELECT image_id, string_agg(CASE WHEN c > m THEN '1' ELSE '0' END, '' ORDER BY u, v) AS phash FROM freq JOIN mid USING (image_id) GROUP BY image_id""",
+    ("v_pixels",),
+)
 def pixel_phash(spark, sf_dir):
     return pixels.phash(_gray(spark, sf_dir))
 
 
-@query()
+# every crop's cells are counted one by one
+@query(
+    """--with sizes AS (SELECT k, CAST(greatest(3, round_even(8 * scale, 0)) AS INT) AS size FROM (VALUES (0, 0.35::DOUBLE), (1, 0.5::DOUBLE), (2, 0.7::DOUBLE), (3, 0.9::DOUBLE), (4, 1.0::DOUBLE)) t(k, scale)),
+spots AS (SELECT DISTINCT k, size, p FROM (SELECT k, size, unnest(list_append(range(0, 8 - size + 1, CAST(greatest(1, round_even(size * 0.5::DOUBLE, 0)) AS INT)), 8 - size)) AS p FROM sizes)),
+counted AS (SELECT image_id, a.k, a.size, a.p AS top, b.p AS side, sum(CAST(gray > 90 AS INT)) / (a.size * a.size) AS sky, sum(CAST(gray > 130 AS INT)) / (a.size * a.size) AS cloud
+  FROM spots a JOIN spots b ON a.k = b.k JOIN v_pixels v ON v.y >= a.p AND v.y < a.p + a.size AND v.x >= b.p AND v.x < b.p + a.size GROUP BY image_id, a.k, a.size, a.p, b.p),
+best AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY sky + cloud * 0.5::DOUBLE DESC, size DESC, k, top, side) AS crop FROM counted WHERE sky >= 0.5 AND cloud >= 0.08::DOUBLE)
+SELECT image_id, CAST(crop AS INT) AS crop, CAST(side AS INT) AS x, CAST(top AS INT) AS y, size, round(sky, 6) AS sky_fraction, round(cloud, 6) AS cloud_fraction FROM best WHERE crop <= 8""",
+    ("v_pixels",),
+)
 def crop_candidates(spark, sf_dir):
     masks = _gray(spark, sf_dir).withColumn("sky", (F.col("gray") > 90).cast("int")).withColumn("cloud", (F.col("gray") > 130).cast("int"))
     got = pixels.crop_candidates(masks, min_size=3, min_sky=0.5)
@@ -672,6 +688,6 @@ def exclusions_stream(spark, sf_dir):
 
 
 # sources, sinks, validation, masks and streams register themselves beside these
-from lumenrank.plans import more_queries, stream_queries  # noqa: E402, F401
+from lumenrank.plans import more_queries, stream_queries, whole_job_queries  # noqa: E402, F401
 
 __all__ = ["QUERIES", "SQL", "Query"]

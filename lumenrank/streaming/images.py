@@ -9,14 +9,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lumenrank.operators.keys import missing, upsert
 from lumenrank.operators.models import Fitted
-from lumenrank.plans.jobs import analyze_batch, extract_features
+from lumenrank.operators.pixels import pixels
+from lumenrank.plans.jobs import analyze_batch, extract_features, important_regions
 from lumenrank.plans.stages import cut
 from lumenrank.schemas import PREDICTIONS
 from lumenrank.sources.images import BINARY_FILES, EXTENSIONS, scan_images
 from lumenrank.sources.tables import read_table, write_table
 
 #: Predictions of a stream: those of a batch, with what analyze_batch adds.
-STREAM_PREDICTIONS = T.StructType([f for f in PREDICTIONS if f.name not in ("explanation_path", "overlay_path")] + [T.StructField(n, k) for n, k in (("neighbours", T.StringType()), ("label", T.DoubleType()), ("explanation", T.StringType()))])
+STREAM_PREDICTIONS = T.StructType([f for f in PREDICTIONS if f.name not in ("explanation_path", "overlay_path")] + [T.StructField(n, k) for n, k in (("top_regions", T.StringType()), ("neighbours", T.StringType()), ("label", T.DoubleType()), ("explanation", T.StringType()))])
 
 
 def analyze_images(images: DataFrame, batch_id: str, run_id: str, fitted: Fitted | None, feature_table: str, prediction_table: str, half_width: float = 0.0, extractors: tuple[str, ...] = ("color", "texture", "composition")) -> None:
@@ -24,6 +25,7 @@ def analyze_images(images: DataFrame, batch_id: str, run_id: str, fitted: Fitted
 
     Features are made for images that the feature table lacks; predictions for those that (batch, run) lacks. So a batch
     that comes again, whole or after it broke off between the two tables, leaves the tables as one run of it does.
+    A prediction's regions are tiles by saliency.
     """
     spark = images.sparkSession
     found = cut(images.dropDuplicates(["image_id"]), "images")
@@ -35,7 +37,8 @@ def analyze_images(images: DataFrame, batch_id: str, run_id: str, fitted: Fitted
     features = read_table(spark, feature_table, known.schema)
     manifest = found.select("image_id", "relative_path", F.lit(batch_id).alias("import_batch_id"))
     done = read_table(spark, prediction_table, STREAM_PREDICTIONS)
-    got, counts = analyze_batch(manifest, batch_id, run_id, features, fitted, half_width, existing=done)
+    regions = important_regions(pixels(found.select("image_id", "image")))
+    got, counts = analyze_batch(manifest, batch_id, run_id, features, fitted, half_width, existing=done, regions=regions)
     if counts["analyzed"]:
         write_table(got.select(*[f.name for f in STREAM_PREDICTIONS]), prediction_table)
 
