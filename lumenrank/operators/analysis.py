@@ -114,28 +114,62 @@ def nearest(vectors: DataFrame, item: object, k: int = 5, key: str = "image_id")
 
 
 #: Queries and items in one block of nearest_all, about, and cells of their product that are held at once.
-BLOCK_ROWS, SLICE_CELLS = 4_096, 4_000_000
+BLOCK_ROWS, SLICE_CELLS = 16_384, 4_000_000
+
+#: Columns of a product whose largest cells are looked at first, and pairs whose similarity is told at once.
+MAXIMA, EXACT_PAIRS = 512, 65_536
+
+
+def _likely(near: np.ndarray, k: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the cells that may be among the k largest of their rows, if cells are off by less than half of slack.
+
+    Columns are dealt into runs; the k-th of the runs' maxima is no larger than the k-th largest cell.
+    """
+    runs = min(near.shape[1], max(MAXIMA, 4 * k))
+    whole = near.shape[1] // runs * runs
+    best = near[:, :whole].reshape(len(near), -1, runs).max(axis=1)
+    least = np.partition(best, runs - k, axis=1)[:, runs - k] if runs >= k else np.full(len(near), -np.inf)
+    return np.nonzero((near >= (least - slack)[:, None]) & (near > -np.inf))
 
 
 def _multiply(k: int, key: str):
-    """A function that multiplies queries (query, qv) by items (item, iv) and keeps k for each query."""
+    """A function that multiplies queries (query, qv) by items (item, iv) and keeps k for each query.
 
-    def multiply(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    A product of unit vectors, in single precision where they are long, tells the few cells that can be among the k; their
+    similarities are then told in double precision.
+    """
+
+    def multiply(left: pd.DataFrame, right: pd.DataFrame, asks: np.ndarray | None = None) -> pd.DataFrame:
+        """asks: which queries (rows) meet the items whose column part is so much."""
         if not len(left) or not len(right):
             return pd.DataFrame({"query": pd.Series([], dtype=object), key: pd.Series([], dtype=object), "similarity": np.zeros(0)})
         right = right.sort_values("item", kind="stable")
-        items, b = right["item"].to_numpy(), np.stack(right["iv"].to_numpy())
-        size_b, out = np.linalg.norm(b, axis=1)[None, :], []
+        items, b, every = right["item"].to_numpy(), np.stack(right["iv"].to_numpy()), left["query"].to_numpy()
+        kind = np.float32 if b.shape[1] >= 32 else np.float64
+        size_b, out = np.linalg.norm(b, axis=1), []
+        unit = lambda v, size: (v / np.where(size > 0, size, 1)[:, None]).astype(kind)
+        across, slack = np.ascontiguousarray(unit(b, size_b).T), 8 * b.shape[1] * float(np.finfo(kind).eps) + 2e-12
+        own = pd.DataFrame({"id": every, "row": np.arange(len(every))}).merge(pd.DataFrame({"id": items, "col": np.arange(len(items))}), on="id").sort_values("row")
+        own_row, own_col = own["row"].to_numpy(), own["col"].to_numpy()
+        parts = [] if asks is None else [np.flatnonzero(right["part"].to_numpy() == j) for j in range(asks.shape[1])]
         step = max(1, SLICE_CELLS // len(right))
         for at in range(0, len(left), step):
-            asked, a = left["query"].to_numpy()[at : at + step], np.stack(left["qv"].to_numpy()[at : at + step])
-            sizes = np.linalg.norm(a, axis=1)[:, None] * size_b
-            near = np.where(sizes > 0, a @ b.T / np.where(sizes > 0, sizes, 1), 0.0)
-            near = np.where(asked[:, None] == items[None, :], -np.inf, near)
-            top = np.argsort(-near.round(12), axis=1, kind="stable")[:, :k]
-            row = np.repeat(np.arange(len(asked)), top.shape[1])
-            one = pd.DataFrame({"query": asked[row], key: items[top.ravel()], "similarity": near[row, top.ravel()]})
-            out.append(one[np.isfinite(one["similarity"])])
+            asked, a = every[at : at + step], np.stack(left["qv"].to_numpy()[at : at + step])
+            size_a = np.linalg.norm(a, axis=1)
+            near = unit(a, size_a) @ across
+            same = slice(*np.searchsorted(own_row, [at, at + step]))
+            near[own_row[same] - at, own_col[same]] = -np.inf
+            for j, columns in enumerate(parts):
+                near[np.ix_(np.flatnonzero(~asks[at : at + step, j]), columns)] = -np.inf
+            row, col = _likely(near, k, slack)
+            sizes, dot = size_a[row] * size_b[col], np.zeros(len(row))
+            for i in range(0, len(row), EXACT_PAIRS):
+                dot[i : i + EXACT_PAIRS] = np.einsum("ij,ij->i", a[row[i : i + EXACT_PAIRS]], b[col[i : i + EXACT_PAIRS]])
+            told = np.where(sizes > 0, dot / np.where(sizes > 0, sizes, 1), 0.0)
+            order = np.lexsort((col, -told.round(12), row))
+            row, col, told = row[order], col[order], told[order]
+            kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+            out.append(pd.DataFrame({"query": asked[row[kept]], key: items[col[kept]], "similarity": told[kept]}))
         return pd.concat(out)
 
     return multiply
@@ -154,18 +188,19 @@ def nearest_all(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "
     q = queries.select(F.col(key).alias("query"), F.col("vector").alias("qv"), deal(key, 0, n_q).alias("_qb"), every(n_v).alias("_vb"))
     v = vectors.select(F.col(key).alias("item"), F.col("vector").alias("iv"), deal(key, 1, n_v).alias("_vb"), every(n_q).alias("_qb"))
     kind = dict(vectors.dtypes)[key]
-    found = q.groupBy("_qb", "_vb").cogroup(v.groupBy("_qb", "_vb")).applyInPandas(_multiply(k, key), f"query {kind}, {key} {kind}, similarity double")
+    multiply = _multiply(k, key)
+    found = q.groupBy("_qb", "_vb").cogroup(v.groupBy("_qb", "_vb")).applyInPandas(lambda left, right: multiply(left, right), f"query {kind}, {key} {kind}, similarity double")
     w = Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 12)), key)
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-#: Pivots of nearest_pruned, at most; their vectors pass through the driver.
-PIVOTS = 256
+#: Pivots of nearest_pruned, at most, whose vectors pass through the driver; queries that are sent to cells at once.
+PIVOTS, SEND_ROWS = 256, 2_000
 
 
 def nearest_pruned(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "image_id", pivots: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(query, key, similarity, rank of the k nearest items of every query, exactly, as nearest_all; one row with pairs compared
-    and pairs in all).
+    """(query, key, similarity, rank of the k nearest items of every query, exactly, as nearest_all; one row with pairs that
+    could not be skipped and pairs in all).
 
     Items lie in the cell of their nearest pivot, whose radius is the largest angle to it. A query first meets its own cell. By the
     triangle inequality of angles no item of another cell can be nearer than the query's angle to its pivot less the
@@ -201,44 +236,104 @@ def nearest_pruned(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str
     placed, posed = (cut(plain(df).mapInPandas(celled, shape), "cells") for df in (items, asked))
     # a row for each cell
     cells = {r["cell"]: (r["n"], r["radius"]) for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).collect()}
+    # cells in the order of a walk from pivot to near pivot fill packs of about BLOCK_ROWS items; a larger cell is dealt into blocks
+    walk, left = [c for c in (-1,) if c in cells], [c for c in cells if c >= 0]
+    while left:
+        at = left[0] if not walk or walk[-1] < 0 else max(left, key=dict(zip(left, points[left] @ points[walk[-1]], strict=True)).get)
+        walk.append(at)
+        left.remove(at)
+    packs: list[list[int]] = []
+    held = 0
+    for c in walk:
+        if not packs or held + cells[c][0] > BLOCK_ROWS:
+            packs.append([])
+            held = 0
+        packs[-1].append(c)
+        held += cells[c][0]
     blocks = lambda n: max(1, -(-n // BLOCK_ROWS))
-    deals = placed.sparkSession.createDataFrame([(c, blocks(m)) for c, (m, _) in cells.items()], "cell int, blocks int")
+    deals = placed.sparkSession.createDataFrame([(c, p, blocks(sum(cells[x][0] for x in pack))) for p, pack in enumerate(packs) for c in pack], "cell int, pack int, blocks int")
     deal = lambda c, seed, n: F.pmod(F.xxhash64(c, F.lit(seed)), n).cast("int")
+    multiply = _multiply(k, key)
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """Queries (with the bits of the cells they ask for) by the items of a pack: in one product where most are asked for."""
+        if not len(left) or not len(right):
+            return multiply(left, right)
+        members, cell = packs[right["pack"].iloc[0]], right["cell"].to_numpy()
+        asks = np.unpackbits(np.frombuffer(b"".join(left["cells"]), np.uint8).reshape(len(left), -1), axis=1)[:, : len(members)].astype(bool)
+        there = [j for j, c in enumerate(members) if (cell == c).any()]
+        if asks[:, there].mean() > 0.5:
+            return multiply(left, right.assign(part=right["cell"].map({members[j]: i for i, j in enumerate(there)})), asks[:, there])
+        return pd.concat([multiply(left[asks[:, j]], right[cell == members[j]]) for j in there])
+
+    def asking(wanted, vectors: bool):
+        """A function that gives a row for each query and pack: with vector and bits of the pack's cells, or with how many pairs they are."""
+
+        def send(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in parts:
+                for at in range(0, len(pdf), SEND_ROWS):
+                    some = pdf.iloc[at : at + SEND_ROWS]
+                    asks = wanted(some)
+                    for p, pack in enumerate(packs):
+                        own = asks[:, [x + 1 for x in pack]]
+                        row = np.flatnonzero(own.any(axis=1))
+                        if len(row) and vectors:
+                            bits = np.packbits(own[row], axis=1)
+                            yield pd.DataFrame({"query": some["id"].to_numpy()[row], "qv": some["vector"].to_numpy()[row], "pack": p, "cells": [x.tobytes() for x in bits]})
+                        elif len(row):
+                            yield pd.DataFrame({"pack": [p], "rows": [len(row)], "pairs": [int((own * np.array([cells[x][0] for x in pack])).sum())]})
+
+        return send
+
+    def compare(known: DataFrame, wanted) -> tuple[DataFrame, DataFrame]:
+        """The k nearest of queries among the items of the cells that wanted names (one column a cell, from -1), and how many pairs they are, by pack."""
+        counted = cut(known.mapInPandas(asking(wanted, False), "pack int, rows long, pairs long").groupBy("pack").agg(F.sum("rows").alias("rows"), F.sum("pairs").alias("pairs")), "counted")
+        both = cut(deals.join(counted, "pack").select("cell", "pack", "blocks", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("groups")), "deals")
+        sent = known.mapInPandas(asking(wanted, True), f"query {kind}, qv array<double>, pack int, cells binary")
+        q = sent.join(F.broadcast(both.select("pack", "blocks", "groups").distinct()), "pack").select("query", "qv", "cells", "pack", deal("query", 0, F.col("groups")).alias("group"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        v = placed.join(F.broadcast(both), "cell").select(F.col("id").alias("item"), F.col("vector").alias("iv"), "cell", "pack", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), deal("id", 1, F.col("blocks")).alias("block"))
+        by = ("pack", "group", "block")
+        return q.groupBy(*by).cogroup(v.groupBy(*by)).applyInPandas(meet, f"query {kind}, {key} {kind}, similarity double"), counted
+
+    def own_cell(pdf: pd.DataFrame) -> np.ndarray:
+        there = np.zeros((len(pdf), len(points) + 1), dtype=bool)
+        there[np.arange(len(pdf)), pdf["cell"].to_numpy() + 1] = True
+        return there & filled
+
+    filled = np.array([c in cells for c in range(-1, len(points))], dtype=bool)
+    radius = np.array([cells.get(c, (0, 0.0))[1] for c in range(len(points))])
 
-    def compare(sent: DataFrame) -> DataFrame:
-        """The k nearest among the items of the cells that queries (query, qv, cell) are sent to."""
-        groups = sent.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("groups"))
-        both = cut(deals.join(groups, "cell"), "deals")
-        q = sent.join(both, "cell").select("query", "qv", "cell", deal("query", 0, F.col("groups")).alias("group"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        v = placed.join(both, "cell").select(F.col("id").alias("item"), F.col("vector").alias("iv"), "cell", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), deal("id", 1, F.col("blocks")).alias("block"))
-        by = ("cell", "group", "block")
-        return q.groupBy(*by).cogroup(v.groupBy(*by)).applyInPandas(_multiply(k, key), f"query {kind}, {key} {kind}, similarity double")
+    def other_cells(pdf: pd.DataFrame) -> np.ndarray:
+        at, kth, cell = angles(pdf), pdf["kth"].fillna(-np.inf).to_numpy(float), pdf["cell"].to_numpy()
+        # angles near 0 are told to about 1e-8
+        best = np.where(np.isnan(at), 0.0, np.cos(np.maximum(0, at - radius - 1e-7)))
+        there = np.c_[(kth <= 1e-9) & (cell != -1), best >= kth[:, None] - 1e-9]
+        there[np.arange(len(pdf)), cell + 1] = False
+        return there & filled
 
     order = Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 12)), key)
-    first = cut(compare(posed.select(F.col("id").alias("query"), F.col("vector").alias("qv"), "cell")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank"), "first")
+    first, near = compare(posed, own_cell)
+    first = cut(first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank"), "first")
     bound = first.groupBy("query").agg(F.when(F.count(F.lit(1)) == k, F.min("similarity")).alias("kth"))
-    known = posed.join(bound, posed["id"] == bound["query"], "left").drop("query")
-    radius = np.array([cells.get(c, (0, 0.0))[1] for c in range(len(points))])
-    filled = np.array([c in cells for c in range(len(points))], dtype=bool)
-
-    def send(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            if len(pdf):
-                at, kth = angles(pdf), pdf["kth"].fillna(-np.inf).to_numpy(float)
-                best = np.where(np.isnan(at), 0.0, np.cos(np.maximum(0, at - radius)))
-                keep = (best >= kth[:, None] - 1e-9) & filled & (np.arange(len(points)) != pdf["cell"].to_numpy()[:, None])
-                row, cell = np.nonzero(keep)
-                zero = np.flatnonzero((kth <= 1e-9) & (pdf["cell"].to_numpy() != -1)) if -1 in cells else np.zeros(0, int)
-                row, cell = np.r_[row, zero], np.r_[cell, np.full(len(zero), -1)]
-                yield pd.DataFrame({"query": pdf["id"].to_numpy()[row], "qv": pdf["vector"].to_numpy()[row], "cell": cell})
-
-    sent = cut(known.mapInPandas(send, f"query {kind}, qv array<double>, cell int"), "sent")
-    found = first.unionByName(compare(sent)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    each = placed.sparkSession.createDataFrame([(c, m) for c, (m, _) in cells.items()], "cell int, n long")
-    met = sent.select("cell").unionByName(posed.select("cell")).join(each, "cell").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("compared"))
+    known = cut(posed.join(bound, posed["id"] == bound["query"], "left").drop("query"), "known")
+    rest, far = compare(known, other_cells)
+    found = first.unionByName(rest).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    met = near.unionByName(far).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("compared"))
     return found, met.withColumn("pairs", F.lit(n) * F.lit(asked.count()))
 
 
+#: Pairs that are all compared sooner than pivots are looked for.
+ALL_PAIRS = 20_000_000_000
+
+
+def nearest_exact(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "image_id") -> DataFrame:
+    """As nearest_all; by pivots where the pairs are more than ALL_PAIRS."""
+    queries, vectors = (cut(df, "vectors") for df in (queries, vectors))
+    if queries.count() * vectors.count() <= ALL_PAIRS:
+        return nearest_all(queries, vectors, k, key)
+    return nearest_pruned(queries, vectors, k, key)[0]
+
+
 def compare_items(features: DataFrame, a: object, b: object, n: int = 20) -> DataFrame:
     """feature, a, b, delta: two items side by side, the n largest differences."""
     rows = long_form(features.filter(F.col("image_id").isin(a, b)), feature_columns(features))
