@@ -43,13 +43,21 @@ def bijection(numbers: np.ndarray, n: np.ndarray, key: int) -> np.ndarray:
     return out
 
 
-def shuffled(number: Column, n: Column | int, key: int) -> Column:
-    """The place, from 0, of a row number from 0 under the keyed bijection of n numbers."""
+def shuffled(number: Column, n: Column | int, key: Column | int) -> Column:
+    """The place, from 0, of a row number from 0 under the keyed bijection of n numbers.
 
-    @F.pandas_udf("long")
-    def go(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for numbers, sizes in parts:
-            yield pd.Series(bijection(numbers.to_numpy(np.int64), sizes.to_numpy(np.int64), key))
+    Each use in a query holds a Python process for each task; several keys in one column need only one.
+    """
 
-    return go(number, n if isinstance(n, Column) else F.lit(n).cast("long"))
+    @F.pandas_udf("long")
+    def go(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for numbers, sizes, keys in parts:
+            out = np.zeros(len(numbers), dtype=np.int64)
+            for k in keys.unique():
+                at = (keys == k).to_numpy()
+                out[at] = bijection(numbers.to_numpy(np.int64)[at], sizes.to_numpy(np.int64)[at], int(k))
+            yield pd.Series(out)
+
+    long = lambda x: x if isinstance(x, Column) else F.lit(x).cast("long")
+    return go(number, long(n), long(key))
 
