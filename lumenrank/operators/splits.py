@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenrank.functions.ranks import global_row_number, quantiles
+from lumenrank.plans.stages import cut
 
 
 def seeded(seed: int, *columns: str) -> Column:
@@ -56,7 +57,7 @@ def grouped_splits(manifest: DataFrame, labels: DataFrame, target: str = "mean_s
 
     Test rows have fold -1; with fewer dev rows than folds all are in fold 0.
     """
-    merged = manifest.select("image_id", F.col("split_group_id").cast("string").alias("split_group_id")).join(labels.select("image_id", target), "image_id")
+    merged = cut(manifest.select("image_id", F.col("split_group_id").cast("string").alias("split_group_id")).join(labels.select("image_id", target), "image_id"), "merged")
     binned = grouped_holdout(score_bins(merged, target, bins), "split_group_id", fraction, seed)
     dev = binned.filter("partition = 'dev'")
     folds = group_folds(dev, "split_group_id", "score_bin", n_splits, seed)

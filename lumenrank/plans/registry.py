@@ -600,8 +600,13 @@ def top_concepts(spark, sf_dir):
 
 # --- models
 
-def _run(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...], pairs: bool = False) -> models.Run:
-    return models.train_baseline(view(spark, sf_dir, "v_features"), _labels(spark, sf_dir), cut(_splits(spark, sf_dir)), view(spark, sf_dir, "v_pairs") if pairs else None, kinds=kinds)
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature table, made once from the tables that it is a view of."""
+    return cut(view(spark, sf_dir, "v_features"), "features")
+
+
+def _run(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...], pairs: bool = False, features: DataFrame | None = None) -> models.Run:
+    return models.train_baseline(view(spark, sf_dir, "v_features") if features is None else features, _labels(spark, sf_dir), cut(_splits(spark, sf_dir)), view(spark, sf_dir, "v_pairs") if pairs else None, kinds=kinds)
 
 
 @query()
@@ -622,22 +627,22 @@ def feature_embedding(spark, sf_dir):
 
 @query()
 def local_contributions(spark, sf_dir):
-    features = view(spark, sf_dir, "v_features")
-    run = _run(spark, sf_dir, ("elasticnet",))
+    features = _features(spark, sf_dir)
+    run = _run(spark, sf_dir, ("elasticnet",), features=features)
     return models.local_contributions(run.models["elasticnet"], features, features, k=4).select("image_id", "feature", _r("delta_prediction"))
 
 
 @query()
 def permutation_importance(spark, sf_dir):
-    features, known = view(spark, sf_dir, "v_features"), _labels(spark, sf_dir)
-    run = _run(spark, sf_dir, ("elasticnet",))
+    features, known = _features(spark, sf_dir), _labels(spark, sf_dir)
+    run = _run(spark, sf_dir, ("elasticnet",), features=features)
     return models.permutation_importance(run.models["elasticnet"], features.join(known, "image_id"), "mean_score")
 
 
 @query()
 def analyze_batches(spark, sf_dir):
-    features = view(spark, sf_dir, "v_features")
-    run = _run(spark, sf_dir, ("elasticnet",))
+    features = _features(spark, sf_dir)
+    run = _run(spark, sf_dir, ("elasticnet",), features=features)
     width = run.half_widths.first()["half_width"]
     got = jobs.analyze_batches(view(spark, sf_dir, "v_manifest"), "run", features, run.models["elasticnet"], width, labels=_labels(spark, sf_dir))
     return got.drop("created_at")

@@ -1,8 +1,10 @@
 """Steps whose memory, shuffles or time grew too fast: same results, with less of it."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from lumenrank.operators import analysis
+from lumenrank.functions import shuffles
+from lumenrank.operators import analysis, models
 
 
 def test_likely_cells_hold_the_largest():
@@ -32,3 +34,26 @@ def test_queries_go_once_to_a_pack_of_cells(spark, monkeypatch):
     assert "sent" not in made
     monkeypatch.setattr(analysis, "ALL_PAIRS", 0)
     assert told(analysis.nearest_exact(v, v, 4)) == told(found)
+
+
+def _line(spark):
+    rows = [(f"i{k}", float(a), float(b), float(3 * a)) for k, (a, b) in enumerate(np.random.default_rng(1).normal(size=(60, 2)))]
+    df = spark.createDataFrame(rows, "image_id string, f_a double, f_b double, y double")
+    return df, models.fit_regressor("elasticnet", df, ["f_a", "f_b"], "y")
+
+
+def test_repeats_share_one_python_process(spark, monkeypatch):
+    """The partners of all repeats come from one use of the bijection, and are those of each repeat's own key."""
+    df, fitted = _line(spark)
+    uses = []
+    monkeypatch.setattr(models, "shuffled", lambda *a, shuffled=models.shuffled: (uses.append(a), shuffled(*a))[1])
+    assert models.permutation_importance(fitted, df, "y", 4).count() == 2 and len(uses) == 1
+    got = spark.range(30).withColumn("k", F.explode(F.array(*[F.lit(x).cast("long") for x in (4, 9)]))).select("id", "k", shuffles.shuffled(F.col("id"), 30, F.col("k")).alias("at")).collect()
+    for k in (4, 9):
+        assert [r["at"] for r in sorted(got) if r["k"] == k] == shuffles.bijection(np.arange(30), 30, k).tolist()
+
+
+def test_contributions_need_no_join(spark, capsys):
+    df, fitted = _line(spark)
+    models.local_contributions(fitted, df.drop("y"), df.drop("y")).explain()
+    assert "Join" not in capsys.readouterr().out
