@@ -69,7 +69,7 @@ def aggregate_ratings(ratings: DataFrame, pairs: DataFrame | None = None, trim:
 PART_RATINGS = 2_000
 
 
-def _implied(both: DataFrame) -> DataFrame:
+def _implied(both: DataFrame, *kept: str) -> DataFrame:
     """Preferences of rows with the columns rating_id, image_id, score and at of the earlier (_e) and the later rating (_l)."""
     earlier, later = F.col("_e"), F.col("_l")
     return both.select(
@@ -82,6 +82,7 @@ def _implied(both: DataFrame) -> DataFrame:
         F.abs(earlier["score"] - later["score"]).alias("preference_strength"),
         later["at"].alias("timestamp"),
         F.lit("derived_from_ratings").alias("source"),
+        *kept,
     )
 
 
@@ -133,5 +134,43 @@ def merge_pairs(explicit: DataFrame, derived: DataFrame) -> DataFrame:
     a = explicit.withColumn("_rank", F.lit(0))
     b = derived.withColumn("_rank", F.lit(1))
     both = a.unionByName(b, allowMissingColumns=True)
-    keys = ["left_image_id", "right_image_id", "rater_id", "timestamp"]
-    return keep_first(both, keys, [F.col("_rank"), F.col("pair_id")]).drop("_rank")
+    return keep_first(both, PAIR_KEYS, [F.col("_rank"), F.col("pair_id")]).drop("_rank")
+
+
+#: Implied preferences that a task makes, about, where they are sorted in its memory.
+TASK_PAIRS = 500_000
+
+#: What tells one preference from another.
+PAIR_KEYS = ["left_image_id", "right_image_id", "rater_id", "timestamp"]
+
+
+def _distinct_pairs(ratings: DataFrame, min_gap: float) -> DataFrame:
+    """pseudo_pairs, one for each (left, right, rater, timestamp), the least pair_id.
+
+    Only ratings are shuffled: the later ones are dealt to parts by item and time, so that preferences with the same
+    key arise in the same task, which sorts its own. There are so many tasks that each makes about TASK_PAIRS.
+    """
+    order = Window.partitionBy("rater_id").orderBy("rating_timestamp", "rating_id")
+    rater = Window.partitionBy("rater_id")
+    x = F.struct("rating_id", "image_id", F.col(SCORE).alias("score"), F.col("rating_timestamp").alias("at")).alias("x")
+    known = ratings.filter(F.col("rater_id").isNotNull() & F.col(SCORE).isNotNull())
+    sizes = known.groupBy("rater_id").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    tasks = int((sizes.agg(F.sum(F.col("n") * F.col("n") / 2)).first()[0] or 0) / TASK_PAIRS) + 1
+    numbered = known.select("rater_id", F.col(SCORE).cast("double").alias("score"), F.row_number().over(order).alias("n"), x, F.ceil(F.count(F.lit(1)).over(rater) / PART_RATINGS).cast("int").alias("parts"))
+    left = numbered.select("rater_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("n").alias("n1"), F.col("score").alias("s1"), F.col("x").alias("_e"))
+    right = numbered.select("rater_id", F.pmod(F.xxhash64("x.image_id", "x.at"), "parts").cast("int").alias("part"), F.col("n").alias("n2"), F.col("score").alias("s2"), F.col("x").alias("_l"))
+    left, right = (side.repartition(tasks, "rater_id", "part") for side in (left, right))
+    both = left.hint("merge").join(right, ["rater_id", "part"]).filter((F.col("n1") < F.col("n2")) & (F.abs(F.col("s1") - F.col("s2")) >= min_gap))
+    return keep_first(_implied(both, "part"), [*PAIR_KEYS, "part"], [F.col("pair_id")]).drop("part")
+
+
+def merged_pairs(explicit: DataFrame, ratings: DataFrame, min_gap: float = 2.0) -> DataFrame:
+    """merge_pairs of explicit preferences and those that ratings imply, without a shuffle of the implied ones.
+
+    Only those of raters who also gave explicit ones can meet an explicit one; these alone are merged with them.
+    """
+    both = cut(explicit.select("rater_id").distinct().join(ratings.select("rater_id").distinct(), "rater_id"), "raters")
+    stamp = explicit.schema["timestamp"].dataType
+    stamped = lambda df: df.withColumn("timestamp", F.col("timestamp").cast(stamp))
+    met = merge_pairs(explicit, stamped(pseudo_pairs(ratings.join(both, "rater_id", "left_semi"), min_gap)))
+    return met.unionByName(stamped(_distinct_pairs(ratings.join(both, "rater_id", "left_anti"), min_gap)), allowMissingColumns=True)

@@ -74,8 +74,8 @@ SELECT left_image_id, right_image_id, rater_id, winner, k = 0 AS explicit FROM (
 )
 def merge_pairs(spark, sf_dir):
     explicit = view(spark, sf_dir, "v_pairs").withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    derived = labels.pseudo_pairs(view(spark, sf_dir, "v_ratings")).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    got = labels.merge_pairs(explicit, derived)
+    ratings = view(spark, sf_dir, "v_ratings").withColumn("rating_timestamp", F.col("rating_timestamp").cast("timestamp"))
+    got = labels.merged_pairs(explicit, ratings)
     return got.select("left_image_id", "right_image_id", "rater_id", "winner", F.col("source").isNull().alias("explicit"))
 
 

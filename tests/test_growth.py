@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lumenrank.functions import shuffles
-from lumenrank.operators import analysis, models
+from lumenrank.operators import analysis, labels, models
 
 
 def test_likely_cells_hold_the_largest():
@@ -57,3 +57,24 @@ def test_contributions_need_no_join(spark, capsys):
     df, fitted = _line(spark)
     models.local_contributions(fitted, df.drop("y"), df.drop("y")).explain()
     assert "Join" not in capsys.readouterr().out
+
+
+def test_merged_pairs_without_a_shuffle_of_pairs(spark, monkeypatch, capsys):
+    """As merge_pairs of all implied preferences, with repeated keys, shared raters, nulls and raters in parts."""
+    rng = np.random.default_rng(6)
+    pick = lambda n, p: None if rng.random() < p else f"k{rng.integers(n)}"
+    rows = [(f"r{k}", pick(4, 0.1), pick(5, 0.1), float(rng.integers(1, 9)), int(rng.integers(6))) for k in range(150)]
+    df = spark.createDataFrame(rows, "rating_id string, image_id string, rater_id string, raw_score_1_to_10 double, t int").withColumn("rating_timestamp", F.timestamp_seconds("t")).drop("t")
+    every = labels.pseudo_pairs(df)
+    explicit = every.filter("rater_id IN ('k0', 'k1')").dropDuplicates(labels.PAIR_KEYS).limit(40).select(F.concat(F.lit("e"), "pair_id").alias("pair_id"), *labels.PAIR_KEYS, "winner")
+    explicit = spark.createDataFrame(explicit.collect(), explicit.schema)
+    told = lambda pairs: sorted((tuple(r) for r in pairs.select("pair_id", *labels.PAIR_KEYS, "winner", "source").collect()), key=repr)
+    want = told(labels.merge_pairs(explicit, every))
+    assert len(want) < every.count()
+    for part, most in ((2_000, 500_000), (7, 100)):
+        monkeypatch.setattr(labels, "PART_RATINGS", part)
+        monkeypatch.setattr(labels, "TASK_PAIRS", most)
+        assert told(labels.merged_pairs(explicit, df)) == want
+    labels._distinct_pairs(df, 2.0).explain()
+    plan = capsys.readouterr().out
+    assert plan.index("Exchange") > plan.index("SortMergeJoin")
