@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenrank.operators.analysis import as_vector, feature_columns, nearest_all
+from lumenrank.operators.analysis import as_vector, feature_columns, nearest_exact
 from lumenrank.operators.concepts import CONCEPTS, explanation_text, top_concepts, with_concepts
 from lumenrank.operators.keys import missing, upsert
-from lumenrank.operators.labels import aggregate_ratings, merge_pairs, pseudo_pairs
+from lumenrank.operators.labels import aggregate_ratings, merged_pairs
 from lumenrank.operators.manifest import item_kind
 from lumenrank.operators.models import Fitted, local_contributions
 from lumenrank.operators.pixels import cloud_mask, extract, gray, pixels, region_table, saliency
@@ -23,7 +23,7 @@ def aggregate_labels(manifest: DataFrame, ratings: DataFrame, pairs: DataFrame,
     """Tables that labelling leads to: ratings (valid), pairwise (explicit and derived), aggregated, splits, rejected."""
     valid, rejected = validate(ratings, rating_rules())
     labels = aggregate_ratings(valid, pairs)
-    return {"ratings": valid, "rejected": rejected, "pairwise": merge_pairs(pairs, pseudo_pairs(valid, min_gap)), "aggregated": labels, "splits": grouped_splits(manifest, labels)}
+    return {"ratings": valid, "rejected": rejected, "pairwise": merged_pairs(pairs, valid, min_gap), "aggregated": labels, "splits": grouped_splits(manifest, labels)}
 
 
 def extract_features(images: DataFrame, existing: DataFrame | None = None, extractors: tuple[str, ...] = ("color", "texture", "composition"), concepts: bool = True, long_edge: int = 512) -> DataFrame:
@@ -60,7 +60,7 @@ def _analysed(todo: DataFrame, run_id: str, features: DataFrame, fitted: Fitted
         strongest = each.groupBy("image_id").agg(F.transform(order, lambda x: F.struct(x["feature"].alias("feature"), x["delta_prediction"].alias("delta_prediction"))).alias("features"))
     top = top_concepts(rows).groupBy("image_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "concept", "score"))), lambda x: F.struct(x["concept"].alias("concept"), x["score"].alias("score"))).alias("concepts"))
     base = features.select("image_id", *columns)
-    near = None if neighbours == 0 else nearest_all(as_vector(base.join(ids, "image_id", "left_semi")), as_vector(base), neighbours)
+    near = None if neighbours == 0 else nearest_exact(as_vector(base.join(ids, "image_id", "left_semi")), as_vector(base), neighbours)
     near = ids.select("image_id", F.lit(None).cast("array<string>").alias("neighbours")) if near is None else near.withColumnRenamed("image_id", "_n").groupBy(F.col("query").alias("image_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "_n"))), lambda x: x["_n"]).alias("neighbours"))
     out = todo.join(scored, "image_id", "left").join(strongest, "image_id", "left").join(top, "image_id", "left").join(near, "image_id", "left")
     if labels is not None:
