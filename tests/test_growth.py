@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lumenrank.functions import shuffles
-from lumenrank.operators import analysis, labels, models
+from lumenrank.operators import analysis, labels, models, near_hashes
 
 
 def test_likely_cells_hold_the_largest():
@@ -78,3 +78,17 @@ def test_merged_pairs_without_a_shuffle_of_pairs(spark, monkeypatch, capsys):
     labels._distinct_pairs(df, 2.0).explain()
     plan = capsys.readouterr().out
     assert plan.index("Exchange") > plan.index("SortMergeJoin")
+
+
+def test_near_hashes_in_blocks(spark, monkeypatch):
+    """Hashes of hot bands, or all of them, are compared in blocks."""
+    rng = np.random.default_rng(8)
+    values = [int(x) for x in rng.integers(0, 2**62, 150)] + [int(x) for x in rng.integers(0, 2**9, 60)]
+    df = spark.createDataFrame([(f"{x:064b}",) for x in values], "phash string")
+    want = {(f"{x:064b}", f"{y:064b}", (x ^ y).bit_count()) for x in set(values) for y in set(values) if x < y and (x ^ y).bit_count() <= 6}
+    monkeypatch.setattr(near_hashes, "BLOCK_HASHES", 13)
+    for hot in (20, 1):  # some bands in blocks; all pairs in blocks
+        monkeypatch.setattr(near_hashes, "HOT_BAND", hot)
+        got = near_hashes.near_pairs(df, 6)
+        rows = [tuple(r) for r in got.collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == want
