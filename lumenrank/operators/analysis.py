@@ -175,14 +175,14 @@ def _multiply(k: int, key: str):
     return multiply
 
 
-def nearest_all(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "image_id") -> DataFrame:
-    """query, key, similarity, rank: the k nearest items of every query, exactly.
+def nearest_all(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "image_id", sizes: tuple[int, int] | None = None) -> DataFrame:
+    """query, key, similarity, rank: the k nearest items of every query, exactly. sizes: rows of both, if they are known.
 
     Queries and items are dealt into blocks of about BLOCK_ROWS; a task multiplies one block by another, slice by slice,
     and keeps k for each query, so no side is broadcast, no group grows with the table, and the best of the
     blocks are merged. All pairs are compared: the work grows with the product of both sides.
     """
-    n_q, n_v = (max(1, -(-df.count() // BLOCK_ROWS)) for df in (queries, vectors))
+    n_q, n_v = (max(1, -(-n // BLOCK_ROWS)) for n in sizes or (queries.count(), vectors.count()))
     deal = lambda c, seed, n: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     q = queries.select(F.col(key).alias("query"), F.col("vector").alias("qv"), deal(key, 0, n_q).alias("_qb"), every(n_v).alias("_vb"))
@@ -329,8 +329,9 @@ ALL_PAIRS = 20_000_000_000
 def nearest_exact(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "image_id") -> DataFrame:
     """As nearest_all; by pivots where the pairs are more than ALL_PAIRS."""
     queries, vectors = (cut(df, "vectors") for df in (queries, vectors))
-    if queries.count() * vectors.count() <= ALL_PAIRS:
-        return nearest_all(queries, vectors, k, key)
+    sizes = queries.count(), vectors.count()
+    if sizes[0] * sizes[1] <= ALL_PAIRS:
+        return nearest_all(queries, vectors, k, key, sizes)
     return nearest_pruned(queries, vectors, k, key)[0]
 
 
