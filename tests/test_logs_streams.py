@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -189,6 +190,21 @@ def test_image_stream(spark, pictures, tmp_path):
     assert plain(read()) == plain(first)
 
 
+def test_stream_adds_to_tables(spark, pictures, tmp_path):
+    """A later batch leaves the files of earlier ones as they are, and adds features with other columns, too."""
+    folder, _ = pictures
+    found = images.scan_images(spark, str(folder)).persist()
+    features, predictions = str(tmp_path / "features"), str(tmp_path / "predictions")
+    files = lambda path: {x.name for x in Path(path).glob("*.parquet")}
+    image_streams.analyze_images(found.filter("relative_path < 'p05'"), "one", "run", None, features, predictions, extractors=("color",))
+    before = files(features), files(predictions)
+    image_streams.analyze_images(found, "two", "run", None, features, predictions, extractors=("color",))
+    assert all(old and old < files(path) for old, path in zip(before, (features, predictions), strict=True))
+    assert spark.read.parquet(features).count() == 11 and spark.read.parquet(predictions).groupBy("batch_id").count().count() == 2
+    tables.append_table(spark.range(1).select(F.lit("x").alias("image_id"), F.lit(1.0).alias("other")), features)
+    assert spark.read.parquet(features).filter("other IS NULL AND mean_brightness IS NOT NULL").count() == 11
+
+
 # --- shuffles, pairs, chains, hashes
 
 
