@@ -246,11 +246,16 @@ def _wave_weights(sizes: DataFrame, side: int, low: int) -> DataFrame:
     return each.select("n", "at", weight.alias("weight"))
 
 
+# Frequencies nearer than this are the same: sums of doubles are off by less than a hundredth of it.
+SAME_FREQUENCY = 5e-10
+
+
 def phash(px: DataFrame, side: int = 32, low: int = 8) -> DataFrame:
     """image_id, phash: 64 bits of the low cosine frequencies of a side x side reduction, against their median.
 
     Reduction and cosines are linear and go row by column, so a pixel's weights are those of its row times those of its
-    column: no image is blown up to the side.
+    column: no image is blown up to the side. Two frequencies that are the same and share the middle are not above it,
+    in whatever order their sums were made; rounding would part those at a boundary of the last place.
     """
     g = gray(px)
     sizes = g.groupBy(ID).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
@@ -258,12 +263,12 @@ def phash(px: DataFrame, side: int = 32, low: int = 8) -> DataFrame:
     across = g.join(sizes.select(ID, "w"), ID).join(weights, (F.col("n") == F.col("w")) & (F.col("at") == F.col("x")))
     across = across.groupBy(ID, "y").agg(*[F.sum(F.col("gray") * F.col("weight")[v]).alias(f"_{v}") for v in range(low)])
     down = across.join(sizes.select(ID, "h"), ID).join(weights, (F.col("n") == F.col("h")) & (F.col("at") == F.col("y")))
-    down = down.groupBy(ID).agg(*[F.round(F.sum(F.col(f"_{v}") * F.col("weight")[u]), 9).alias(f"c_{u}_{v}") for u in range(low) for v in range(low)])
+    down = down.groupBy(ID).agg(*[F.sum(F.col(f"_{v}") * F.col("weight")[u]).alias(f"c_{u}_{v}") for u in range(low) for v in range(low)])
     cells = F.array(*[F.col(f"c_{u}_{v}") for u in range(low) for v in range(low)])
     rest = F.array_sort(F.slice(cells, low + 1, low * (low - 1)))
     half = low * (low - 1) // 2
     middle = (F.element_at(rest, half) + F.element_at(rest, half + 1)) / 2
-    return down.withColumn("_m", middle).select(ID, F.array_join(F.transform(cells, lambda c: F.when(c > F.col("_m"), "1").otherwise("0")), "").alias("phash"))
+    return down.withColumn("_m", middle).select(ID, F.array_join(F.transform(cells, lambda c: F.when(c > F.col("_m") + SAME_FREQUENCY / 2, "1").otherwise("0")), "").alias("phash"))
 
 
 def region_table(px: DataFrame, importance: str, tile: int = 32, region: str | None = None) -> DataFrame:

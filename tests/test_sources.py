@@ -179,6 +179,28 @@ def test_phash_against_a_plain_reduction(spark):
     assert {r.image_id: r.phash for r in pixels.phash(px).collect()} == want
 
 
+def test_phash_of_equal_middle_frequencies(spark):
+    """Frequencies (2, 6) and (6, 2) are equal and the two middle ones, 6e-14 from a boundary of the ninth place: neither is above the median."""
+    long = np.longdouble
+    cos = np.array([[np.sqrt(long(1 if u == 0 else 2) / 32) * np.cos(4 * np.arctan(long(1)) * (2 * k + 1) * u / 64) for k in range(32)] for u in range(8)])
+    rasters = (
+        "4d9f6b739d6e5994706b93647066715e65598d844b6a836d8c7676767e3e668a858f66a06a86708751728c7a606e736997689f7c7e61695c709a7555975e658c",
+        "7979829b8b9e97b07276863f8950824a617785529797927655b971969c745e83535b6951899a9aa87c93427d67ac54666970b77d626cad7c909d766f2c759068",
+    )
+    rows, want = [], {}
+    for i, raster in enumerate(rasters):
+        image = np.frombuffer(bytes.fromhex(raster), dtype=np.uint8).reshape(8, 8)
+        rows += [(str(i), y, x, float(image[y, x])) for y in range(8) for x in range(8)]
+        low = cos @ np.kron(image, np.ones((4, 4), dtype=long)) @ cos.T
+        assert abs(low[2, 6] - low[6, 2]) < 1e-15
+        middle = np.sort(low[1:].ravel())[27:29].mean()
+        want[str(i)] = "".join("1" if c - middle > 1e-12 else "0" for c in low.ravel())
+        assert want[str(i)][22] == want[str(i)][50] == "0" and want[str(i)][8:].count("1") == 27
+    for order in (rows, rows[::-1], [r for _, r in sorted((r[2], r) for r in rows)]):
+        px = spark.createDataFrame(order, "image_id string, y int, x int, gray double")
+        assert {r.image_id: r.phash for r in pixels.phash(px).collect()} == want
+
+
 def test_quantiles_and_safe_swap(spark, tmp_path):
     from lumenrank.functions.ranks import quantiles
 
