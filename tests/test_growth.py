@@ -3,8 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from lumenrank.functions import shuffles
-from lumenrank.operators import analysis, labels, models, near_hashes
+from lumenrank.functions import ranks, shuffles
+from lumenrank.operators import analysis, labels, models, near_hashes, pixels
 
 
 def test_likely_cells_hold_the_largest():
@@ -92,3 +92,71 @@ def test_near_hashes_in_blocks(spark, monkeypatch):
         got = near_hashes.near_pairs(df, 6)
         rows = [tuple(r) for r in got.collect()]
         assert len(rows) == len(set(rows)) and set(rows) == want
+
+
+def test_smoothing_sorts_rows_four_times(spark):
+    """Opening and closing give what eight windows in turn give; the two dilations between them are one."""
+    rng = np.random.default_rng(2)
+    rasters = [(rng.random((h, w)) < 0.6).astype(int) for h, w in ((7, 9), (1, 5), (12, 3), (20, 20))]
+    px = spark.createDataFrame([(str(k), y, x, int(v)) for k, a in enumerate(rasters) for (y, x), v in np.ndenumerate(a)], "image_id string, y int, x int, m int")
+    got = pixels.smooth(px, "m")
+    want = {}
+    for k, a in enumerate(rasters):
+        for f in (np.min, np.max, np.max, np.min):
+            a = np.array([[f(a[max(0, y - 2) : y + 3, max(0, x - 2) : x + 3]) for x in range(a.shape[1])] for y in range(a.shape[0])])
+        want |= {(str(k), y, x): int(v) for (y, x), v in np.ndenumerate(a)}
+    assert {(r.image_id, r.y, r.x): r.m for r in got.collect()} == want
+    assert got._jdf.queryExecution().sparkPlan().toString().count("Window [") == 6
+    assert got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Sort [") == 4
+
+
+def test_images_are_reduced_where_they_are_decoded(spark):
+    """Blocks, those at the edges too, have the means of their pixels, and no pixel is shuffled for it; an image listed twice counts once."""
+    rng = np.random.default_rng(4)
+    cubes = {f"i{k}": rng.integers(0, 256, (h, w, c), dtype=np.uint8) for k, (h, w, c) in enumerate(((5, 7, 3), (2, 3, 3), (9, 4, 1), (4, 4, 4)))}
+    rows = [(k, (c.shape[0], c.shape[1], c.shape[2], bytearray(c.tobytes()))) for k, c in cubes.items()]
+    images = spark.createDataFrame([*rows, rows[0]], "image_id string, image struct<height:int,width:int,nChannels:int,data:binary>")
+    want = {}
+    for k, c in cubes.items():
+        step = -(-max(c.shape[:2]) // 4)
+        for y in range(0, c.shape[0], step):
+            for x in range(0, c.shape[1], step):
+                blue, green, red = (c[y : y + step, x : x + step, min(i, c.shape[2] - 1)].astype(float).mean() for i in (0, 1, 2))
+                want[k, y // step, x // step] = (red, green, blue)
+    found = pixels.pixels(images, long_edge=4)
+    rows = found.collect()
+    assert len(rows) == len(want)
+    assert {(r.image_id, r.y, r.x): (r.r, r.g, r.b) for r in rows} == want
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_few_values_are_sorted_in_a_task_a_column(spark, monkeypatch):
+    """Quantiles of few values take one table; those of many, by ranges, are the same."""
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(float(a), None if k % 3 else float(b)) for k, (a, b) in enumerate(zip(rng.integers(0, 9, 400), rng.normal(size=400)))], "a double, b double")
+    made = []
+    monkeypatch.setattr(ranks, "cut", lambda df, name="stage", cut=ranks.cut: (made.append(name), cut(df, name))[1])
+    few = ranks.quantiles(df, ["a", "b"], [0.0, 0.3, 0.5, 1.0])
+    assert made == ["counted"]
+    monkeypatch.setattr(ranks, "FEW_VALUES", 0)
+    assert few == ranks.quantiles(df, ["a", "b"], [0.0, 0.3, 0.5, 1.0])
+
+
+def test_a_stream_lists_its_batches_in_few_tasks(spark, tmp_path):
+    """Each batch lists its paths when it begins, long after the stream was started: the session keeps to few tasks."""
+    from lumenrank.sources import images
+
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    spark.conf.unset(name)
+    folder, listed = tmp_path / "in", []
+    folder.mkdir()
+    for k in range(80):
+        (folder / f"f{k}.png").write_bytes(b"x")
+    images.few_listing_tasks(spark)
+    files = spark.readStream.format("binaryFile").schema(images.BINARY_FILES).option("maxFilesPerTrigger", 40).load(str(folder))
+
+    def step(batch, number):
+        listed.append((batch.count(), int(spark.conf.get(name))))
+
+    files.writeStream.foreachBatch(step).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    assert listed == [(40, spark.sparkContext.defaultParallelism)] * 2
