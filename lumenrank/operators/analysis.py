@@ -132,8 +132,8 @@ def _likely(near: np.ndarray, k: int, slack: float) -> tuple[np.ndarray, np.ndar
     return np.nonzero((near >= (least - slack)[:, None]) & (near > -np.inf))
 
 
-def _multiply(k: int, key: str):
-    """A function that multiplies queries (query, qv) by items (item, iv) and keeps k for each query.
+def _multiply(k: int, key: str, itself: bool = False):
+    """A function that multiplies queries (query, qv) by items (item, iv) and keeps k for each query; itself: its own key may be among them.
 
     A product of unit vectors, in single precision where they are long, tells the few cells that can be among the k; their
     similarities are then told in double precision.
@@ -149,7 +149,8 @@ def _multiply(k: int, key: str):
         size_b, out = np.linalg.norm(b, axis=1), []
         unit = lambda v, size: (v / np.where(size > 0, size, 1)[:, None]).astype(kind)
         across, slack = np.ascontiguousarray(unit(b, size_b).T), 8 * b.shape[1] * float(np.finfo(kind).eps) + 2e-12
-        own = pd.DataFrame({"id": every, "row": np.arange(len(every))}).merge(pd.DataFrame({"id": items, "col": np.arange(len(items))}), on="id").sort_values("row")
+        left_out = pd.DataFrame({"id": items[:0] if itself else items, "col": np.arange(0 if itself else len(items))})
+        own = pd.DataFrame({"id": every, "row": np.arange(len(every))}).merge(left_out, on="id").sort_values("row")
         own_row, own_col = own["row"].to_numpy(), own["col"].to_numpy()
         parts = [] if asks is None else [np.flatnonzero(right["part"].to_numpy() == j) for j in range(asks.shape[1])]
         step = max(1, SLICE_CELLS // len(right))
@@ -175,8 +176,9 @@ def _multiply(k: int, key: str):
     return multiply
 
 
-def nearest_all(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "image_id", sizes: tuple[int, int] | None = None) -> DataFrame:
-    """query, key, similarity, rank: the k nearest items of every query, exactly. sizes: rows of both, if they are known.
+def nearest_all(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "image_id", sizes: tuple[int, int] | None = None, itself: bool = False) -> DataFrame:
+    """query, key, similarity, rank: the k nearest items of every query, exactly. sizes: rows of both, if they are known; itself: the item of
+    a query's own key is not left out.
 
     Queries and items are dealt into blocks of about BLOCK_ROWS; a task multiplies one block by another, slice by slice,
     and keeps k for each query, so no side is broadcast, no group grows with the table, and the best of the
@@ -188,7 +190,7 @@ def nearest_all(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "
     q = queries.select(F.col(key).alias("query"), F.col("vector").alias("qv"), deal(key, 0, n_q).alias("_qb"), every(n_v).alias("_vb"))
     v = vectors.select(F.col(key).alias("item"), F.col("vector").alias("iv"), deal(key, 1, n_v).alias("_vb"), every(n_q).alias("_qb"))
     kind = dict(vectors.dtypes)[key]
-    multiply = _multiply(k, key)
+    multiply = _multiply(k, key, itself)
     found = q.groupBy("_qb", "_vb").cogroup(v.groupBy("_qb", "_vb")).applyInPandas(lambda left, right: multiply(left, right), f"query {kind}, {key} {kind}, similarity double")
     w = Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 12)), key)
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
@@ -198,7 +200,7 @@ def nearest_all(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "
 PIVOTS, SEND_ROWS = 256, 2_000
 
 
-def nearest_pruned(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "image_id", pivots: int | None = None) -> tuple[DataFrame, DataFrame]:
+def nearest_pruned(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "image_id", pivots: int | None = None, itself: bool = False) -> tuple[DataFrame, DataFrame]:
     """(query, key, similarity, rank of the k nearest items of every query, exactly, as nearest_all; one row with pairs that
     could not be skipped and pairs in all).
 
@@ -253,7 +255,7 @@ def nearest_pruned(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str
     blocks = lambda n: max(1, -(-n // BLOCK_ROWS))
     deals = placed.sparkSession.createDataFrame([(c, p, blocks(sum(cells[x][0] for x in pack))) for p, pack in enumerate(packs) for c in pack], "cell int, pack int, blocks int")
     deal = lambda c, seed, n: F.pmod(F.xxhash64(c, F.lit(seed)), n).cast("int")
-    multiply = _multiply(k, key)
+    multiply = _multiply(k, key, itself)
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """Queries (with the bits of the cells they ask for) by the items of a pack: in one product where most are asked for."""
@@ -326,13 +328,43 @@ def nearest_pruned(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str
 ALL_PAIRS = 20_000_000_000
 
 
-def nearest_exact(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "image_id") -> DataFrame:
+#: Pairs that are compared before equal vectors are looked for.
+FEW_PAIRS = 1_000_000_000
+
+
+def _nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str, sizes: tuple[int, int], itself: bool = False) -> DataFrame:
     """As nearest_all; by pivots where the pairs are more than ALL_PAIRS."""
+    if sizes[0] * sizes[1] <= ALL_PAIRS:
+        return nearest_all(queries, vectors, k, key, sizes, itself)
+    return nearest_pruned(queries, vectors, k, key, itself=itself)[0]
+
+
+def nearest_exact(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "image_id") -> DataFrame:
+    """As nearest_all. Where the pairs are many and equal vectors make half of them or more, each vector is compared once.
+
+    Of the items with one vector the k + 1 of least key can be among the k nearest of any item. So the k + 1 nearest of
+    distinct vectors, each with these of its items, hold the k + 1 nearest items of all queries with one vector; a query leaves itself out.
+    """
     queries, vectors = (cut(df, "vectors") for df in (queries, vectors))
     sizes = queries.count(), vectors.count()
-    if sizes[0] * sizes[1] <= ALL_PAIRS:
-        return nearest_all(queries, vectors, k, key, sizes)
-    return nearest_pruned(queries, vectors, k, key)[0]
+    if sizes[0] * sizes[1] <= FEW_PAIRS:
+        return _nearest(queries, vectors, k, key, sizes)
+    least = Window.partitionBy("vector").orderBy(key)
+    few = vectors.filter("vector IS NOT NULL").select(key, "vector").withColumn("_r", F.row_number().over(least)).filter(F.col("_r") <= k + 1)
+    groups = cut(few.groupBy("vector").agg(F.array_sort(F.collect_list(key)).alias("ids")).select(F.col("ids")[0].alias(key), "vector", "ids"), "groups")
+    asked = cut(queries.filter("vector IS NOT NULL").groupBy("vector").agg(F.min(key).alias(key)).select(key, "vector"), "asked")
+    distinct = asked.count(), groups.count()
+    if 2 * distinct[0] * distinct[1] > sizes[0] * sizes[1]:
+        return _nearest(queries, vectors, k, key, sizes)
+    near = _nearest(asked, groups.select(key, "vector"), k + 1, key, distinct, itself=True)
+    each = near.select("query", key, "similarity").join(groups.select(key, "ids"), key).select("query", F.explode("ids").alias("id"), "similarity")
+    first = Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 12)), "id")
+    each = each.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= k + 1)
+    told = each.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("_r", "id", "similarity"))).alias("told"))
+    told = asked.select(F.col(key).alias("query"), "vector").join(told, "query").select("vector", "told")
+    others = F.slice(F.filter("told", lambda x: x["id"] != F.col(key)), 1, k)
+    found = queries.select(key, "vector").join(told, "vector").select(F.col(key).alias("query"), F.posexplode(others).alias("_p", "x"))
+    return found.select("query", F.col("x.id").alias(key), F.col("x.similarity").alias("similarity"), (F.col("_p") + 1).alias("rank"))
 
 
 def compare_items(features: DataFrame, a: object, b: object, n: int = 20) -> DataFrame:

@@ -160,3 +160,23 @@ def test_a_stream_lists_its_batches_in_few_tasks(spark, tmp_path):
 
     files.writeStream.foreachBatch(step).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
     assert listed == [(40, spark.sparkContext.defaultParallelism)] * 2
+
+
+def test_equal_vectors_are_compared_once(spark, monkeypatch):
+    """Items with the same vectors, zero vectors and a vector that only a query has: as nearest_all, on distinct vectors only."""
+    rng = np.random.default_rng(6)
+    v = rng.integers(1, 9, (30, 3)).astype(float)[rng.integers(0, 30, 400)]
+    v[:20] = 0
+    v[20:24] *= 2
+    ids = [f"i{k}" for k in rng.permutation(400)]
+    items = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v)], "image_id string, vector array<double>")
+    asked = items.filter("substr(image_id, -1) IN ('1', '4')").unionByName(spark.createDataFrame([("new", [1.0, 2.0, 30.0]), ("none", [0.0, 0.0, 0.0])], "image_id string, vector array<double>"))
+    told = lambda df: sorted((r["query"], r["rank"], r["image_id"], round(r["similarity"], 10)) for r in df.collect())
+    want, sizes = told(analysis.nearest_all(asked, items)), []
+    whole = analysis.nearest_all
+    monkeypatch.setattr(analysis, "nearest_all", lambda q, v, k, key, size, itself: (sizes.append(size), whole(q, v, k, key, size, itself))[1])
+    monkeypatch.setattr(analysis, "FEW_PAIRS", 0)
+    assert told(analysis.nearest_exact(asked, items)) == want
+    assert sizes == [(len({tuple(r.vector) for r in asked.collect()}), len({tuple(x) for x in v}))] and sizes[0][1] < 40
+    monkeypatch.setattr(analysis, "ALL_PAIRS", 0)
+    assert told(analysis.nearest_exact(asked, items)) == want
