@@ -119,6 +119,9 @@ BLOCK_ROWS, SLICE_CELLS = 16_384, 4_000_000
 #: Columns of a product whose largest cells are looked at first, and pairs whose similarity is told at once.
 MAXIMA, EXACT_PAIRS = 512, 65_536
 
+#: Items of a block that are too few for cells.
+FEW_ITEMS = 1_024
+
 
 def _likely(near: np.ndarray, k: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of the cells that may be among the k largest of their rows, if cells are off by less than half of slack.
@@ -135,47 +138,99 @@ def _likely(near: np.ndarray, k: int, slack: float) -> tuple[np.ndarray, np.ndar
 def _multiply(k: int, key: str, itself: bool = False):
     """A function that multiplies queries (query, qv) by items (item, iv) and keeps k for each query; itself: its own key may be among them.
 
-    A product of unit vectors, in single precision where they are long, tells the few cells that can be among the k; their
+    Items of a block lie in cells of their nearest pivot, queries are grouped by theirs: the own cell tells how near the k-th item
+    is at least, and by the triangle inequality of angles a group skips cells that cannot hold a nearer one. A product of
+    unit vectors, in single precision where they are long, tells the few cells of the product that can be among the k; their
     similarities are then told in double precision.
     """
 
     def multiply(left: pd.DataFrame, right: pd.DataFrame, asks: np.ndarray | None = None) -> pd.DataFrame:
-        """asks: which queries (rows) meet the items whose column part is so much."""
+        """asks: which queries (rows) meet the items whose column part is so much. Where left has bound, items less like a query than
+        its bound may be left out."""
+        none = pd.DataFrame({"query": pd.Series([], dtype=object), key: pd.Series([], dtype=object), "similarity": np.zeros(0)})
         if not len(left) or not len(right):
-            return pd.DataFrame({"query": pd.Series([], dtype=object), key: pd.Series([], dtype=object), "similarity": np.zeros(0)})
+            return none
         right = right.sort_values("item", kind="stable")
-        items, b, every = right["item"].to_numpy(), np.stack(right["iv"].to_numpy()), left["query"].to_numpy()
+        items, b, a = right["item"].to_numpy(), np.stack(right["iv"].to_numpy()), np.stack(left["qv"].to_numpy())
         kind = np.float32 if b.shape[1] >= 32 else np.float64
-        size_b, out = np.linalg.norm(b, axis=1), []
-        unit = lambda v, size: (v / np.where(size > 0, size, 1)[:, None]).astype(kind)
-        across, slack = np.ascontiguousarray(unit(b, size_b).T), 8 * b.shape[1] * float(np.finfo(kind).eps) + 2e-12
+        size_a, size_b, out = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1), []
+        unit = lambda v, size: v / np.where(size > 0, size, 1)[:, None]
+        points, cell, radius = _cells(unit(b, size_b), size_b > 0)
+        # zero queries, which skip nothing, are a group of their own
+        angle = np.arccos(np.clip(unit(a, size_a) @ points.T, -1, 1))
+        group = np.where(size_a > 0, angle.argmin(axis=1), len(points))
+        by = np.argsort(group, kind="stable")
+        every, a, size_a, group, angle = left["query"].to_numpy()[by], a[by], size_a[by], group[by], angle[by]
+        bound = left["bound"].fillna(-np.inf).to_numpy(float)[by] if "bound" in left else np.full(len(a), -np.inf)
+        asked = None if asks is None else asks[by]
+        part = None if asks is None else right["part"].to_numpy()
+        whole, across = unit(a, size_a).astype(kind), np.ascontiguousarray(unit(b, size_b).astype(kind).T)
+        slack = 8 * b.shape[1] * float(np.finfo(kind).eps) + 2e-12
         left_out = pd.DataFrame({"id": items[:0] if itself else items, "col": np.arange(0 if itself else len(items))})
         own = pd.DataFrame({"id": every, "row": np.arange(len(every))}).merge(left_out, on="id").sort_values("row")
         own_row, own_col = own["row"].to_numpy(), own["col"].to_numpy()
-        parts = [] if asks is None else [np.flatnonzero(right["part"].to_numpy() == j) for j in range(asks.shape[1])]
-        step = max(1, SLICE_CELLS // len(right))
-        for at in range(0, len(left), step):
-            asked, a = every[at : at + step], np.stack(left["qv"].to_numpy()[at : at + step])
-            size_a = np.linalg.norm(a, axis=1)
-            near = unit(a, size_a) @ across
-            same = slice(*np.searchsorted(own_row, [at, at + step]))
-            near[own_row[same] - at, own_col[same]] = -np.inf
-            for j, columns in enumerate(parts):
-                near[np.ix_(np.flatnonzero(~asks[at : at + step, j]), columns)] = -np.inf
-            row, col = _likely(near, k, slack)
-            sizes, dot = size_a[row] * size_b[col], np.zeros(len(row))
-            for i in range(0, len(row), EXACT_PAIRS):
-                dot[i : i + EXACT_PAIRS] = np.einsum("ij,ij->i", a[row[i : i + EXACT_PAIRS]], b[col[i : i + EXACT_PAIRS]])
-            told = np.where(sizes > 0, dot / np.where(sizes > 0, sizes, 1), 0.0)
-            order = np.lexsort((col, -told.round(12), row))
-            row, col, told = row[order], col[order], told[order]
-            kept = np.arange(len(row)) - np.searchsorted(row, row) < k
-            out.append(pd.DataFrame({"query": asked[row[kept]], key: items[col[kept]], "similarity": told[kept]}))
-        return pd.concat(out)
+
+        def product(low: int, high: int, columns: np.ndarray) -> np.ndarray:
+            """Similarities, about, of queries from low to high with items of some columns; nothing for those that do not meet."""
+            near = whole[low:high] @ (across if len(columns) == len(items) else across[:, columns])
+            same = slice(*np.searchsorted(own_row, [low, high]))
+            at = np.searchsorted(columns, own_col[same])
+            hit = columns[np.minimum(at, len(columns) - 1)] == own_col[same]
+            near[own_row[same][hit] - low, at[hit]] = -np.inf
+            if asked is not None:
+                near[~asked[low:high][:, part[columns]]] = -np.inf
+            return near
+
+        edges = np.flatnonzero(np.diff(group, prepend=-1, append=len(points) + 1))
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            at, mine = group[low], np.flatnonzero(cell == group[low])
+            needed = np.ones(len(radius), dtype=bool)
+            if at < len(points) and len(points) > 1:
+                if len(mine) >= k:
+                    step = max(1, SLICE_CELLS // len(mine))
+                    for i in range(low, high, step):
+                        j = min(high, i + step)
+                        kth = np.partition(product(i, j, mine), len(mine) - k, axis=1)[:, len(mine) - k]
+                        bound[i:j] = np.maximum(bound[i:j], kth)
+                # angles near 0 are told to about 1e-8
+                far = np.where(bound[low:high] > -1, np.arccos(np.clip(bound[low:high] - slack, -1, 1)), np.inf)
+                needed[:-1] = (angle[low:high] - radius[:-1] <= far[:, None] + 1e-7).any(axis=0)
+            columns = np.flatnonzero(needed[cell])
+            step = max(1, SLICE_CELLS // max(1, len(columns)))
+            for i in range(low, high, step) if len(columns) else ():
+                j = min(high, i + step)
+                near = product(i, j, columns)
+                near[near < (bound[i:j] - slack)[:, None]] = -np.inf
+                row, col = _likely(near, k, slack)
+                row, col = row + i, columns[col]
+                sizes, dot = size_a[row] * size_b[col], np.zeros(len(row))
+                for p in range(0, len(row), EXACT_PAIRS):
+                    dot[p : p + EXACT_PAIRS] = np.einsum("ij,ij->i", a[row[p : p + EXACT_PAIRS]], b[col[p : p + EXACT_PAIRS]])
+                told = np.where(sizes > 0, dot / np.where(sizes > 0, sizes, 1), 0.0)
+                order = np.lexsort((col, -told.round(12), row))
+                row, col, told = row[order], col[order], told[order]
+                kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+                out.append((every[row[kept]], items[col[kept]], told[kept]))
+        return pd.DataFrame(dict(zip(("query", key, "similarity"), map(np.concatenate, zip(*out, strict=True)), strict=True))) if out else none
 
     return multiply
 
 
+def _cells(units: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pivots, the cell of each unit vector, the largest angle to a pivot in each cell). Vectors that are not there (zero) are a last cell.
+
+    About as many cells as cells have vectors; one where vectors are few.
+    """
+    some = np.flatnonzero(there)
+    count = max(1, round(len(some) ** 0.5)) if len(some) >= FEW_ITEMS else 1
+    points = units[some[np.linspace(0, len(some) - 1, count).astype(int)]] if len(some) else np.zeros((1, units.shape[1]))
+    cell, radius = np.full(len(units), len(points)), np.zeros(len(points) + 1)
+    near = units[some] @ points.T
+    cell[some] = near.argmax(axis=1)
+    np.maximum.at(radius, cell[some], np.arccos(np.clip(near.max(axis=1, initial=-1), -1, 1)))
+    return points, cell, radius
+
+
 def nearest_all(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "image_id", sizes: tuple[int, int] | None = None, itself: bool = False) -> DataFrame:
     """query, key, similarity, rank: the k nearest items of every query, exactly. sizes: rows of both, if they are known; itself: the item of
     a query's own key is not left out.
@@ -281,7 +336,8 @@ def nearest_pruned(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str
                         row = np.flatnonzero(own.any(axis=1))
                         if len(row) and vectors:
                             bits = np.packbits(own[row], axis=1)
-                            yield pd.DataFrame({"query": some["id"].to_numpy()[row], "qv": some["vector"].to_numpy()[row], "pack": p, "cells": [x.tobytes() for x in bits]})
+                            kth = some["kth"].to_numpy(float)[row] if "kth" in some else np.full(len(row), np.nan)
+                            yield pd.DataFrame({"query": some["id"].to_numpy()[row], "qv": some["vector"].to_numpy()[row], "bound": kth, "pack": p, "cells": [x.tobytes() for x in bits]})
                         elif len(row):
                             yield pd.DataFrame({"pack": [p], "rows": [len(row)], "pairs": [int((own * np.array([cells[x][0] for x in pack])).sum())]})
 
@@ -291,8 +347,8 @@ def nearest_pruned(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str
         """The k nearest of queries among the items of the cells that wanted names (one column a cell, from -1), and how many pairs they are, by pack."""
         counted = cut(known.mapInPandas(asking(wanted, False), "pack int, rows long, pairs long").groupBy("pack").agg(F.sum("rows").alias("rows"), F.sum("pairs").alias("pairs")), "counted")
         both = cut(deals.join(counted, "pack").select("cell", "pack", "blocks", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("groups")), "deals")
-        sent = known.mapInPandas(asking(wanted, True), f"query {kind}, qv array<double>, pack int, cells binary")
-        q = sent.join(F.broadcast(both.select("pack", "blocks", "groups").distinct()), "pack").select("query", "qv", "cells", "pack", deal("query", 0, F.col("groups")).alias("group"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        sent = known.mapInPandas(asking(wanted, True), f"query {kind}, qv array<double>, bound double, pack int, cells binary")
+        q = sent.join(F.broadcast(both.select("pack", "blocks", "groups").distinct()), "pack").select("query", "qv", "bound", "cells", "pack", deal("query", 0, F.col("groups")).alias("group"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
         v = placed.join(F.broadcast(both), "cell").select(F.col("id").alias("item"), F.col("vector").alias("iv"), "cell", "pack", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), deal("id", 1, F.col("blocks")).alias("block"))
         by = ("pack", "group", "block")
         return q.groupBy(*by).cogroup(v.groupBy(*by)).applyInPandas(meet, f"query {kind}, {key} {kind}, similarity double"), counted

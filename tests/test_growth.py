@@ -1,6 +1,7 @@
 """Steps whose memory, shuffles or time grew too fast: same results, with less of it."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lumenrank.functions import ranks, shuffles
@@ -180,3 +181,35 @@ def test_equal_vectors_are_compared_once(spark, monkeypatch):
     assert sizes == [(len({tuple(r.vector) for r in asked.collect()}), len({tuple(x) for x in v}))] and sizes[0][1] < 40
     monkeypatch.setattr(analysis, "ALL_PAIRS", 0)
     assert told(analysis.nearest_exact(asked, items)) == want
+
+
+def test_blocks_skip_cells_of_items(monkeypatch):
+    """On vectors of few dimensions a block's queries meet few of its items, with the results of all products; also with zero
+    and equal vectors, parts that are not asked for and bounds."""
+    rng = np.random.default_rng(7)
+    n = 2500
+    v = np.c_[rng.normal(5.3, 0.5, n), rng.poisson(30, n), rng.integers(0, 51, n), 50 - np.minimum(15, rng.geometric(0.5, n))].astype(float)
+    v[:3], v[100:140], v[200:210] = 0, v[99], 2 * v[300:310]
+    ids = np.array([f"i{k}" for k in rng.permutation(n)], dtype=object)
+    items = pd.DataFrame({"item": ids, "iv": list(v), "part": rng.integers(0, 2, n)})
+    asks = rng.random((n, 2)) < 0.7
+    asks[~asks.any(axis=1), 0] = True
+    looked, likely = [], analysis._likely
+    monkeypatch.setattr(analysis, "_likely", lambda near, k, slack: (looked.append(near.size), likely(near, k, slack))[1])
+    queries = pd.DataFrame({"query": ids, "qv": list(v)})
+
+    def told(few, **more):
+        looked.clear()
+        monkeypatch.setattr(analysis, "FEW_ITEMS", few)
+        got = analysis._multiply(5, "image_id", **more)(queries, items, asks if len(more) else None)
+        return got.assign(similarity=got["similarity"].round(12)).sort_values(["query", "similarity", "image_id"], ascending=[True, False, True]).reset_index(drop=True), sum(looked)
+
+    for more in ({}, {"itself": True}):
+        (want, whole), (got, some) = told(10**9, **more), told(1_024, **more)
+        assert want.equals(got) and len(got) == 5 * n
+        assert whole >= n * n and some < whole / 2
+    # what is less like a query than its bound may be left out, nothing else
+    kth = want.groupby("query")["similarity"].min()
+    queries["bound"] = queries["query"].map(kth)
+    got, fewer = told(1_024, itself=True)
+    assert want.equals(got) and fewer <= some
