@@ -405,6 +405,10 @@ def nearest_exact(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str =
     sizes = queries.count(), vectors.count()
     if sizes[0] * sizes[1] <= FEW_PAIRS:
         return _nearest(queries, vectors, k, key, sizes)
+    # about how many differ: tables without equal vectors are not grouped for nothing
+    about = [df.agg(F.approx_count_distinct("vector")).first()[0] for df in (queries, vectors)]
+    if about[0] * about[1] > 0.6 * sizes[0] * sizes[1]:
+        return _nearest(queries, vectors, k, key, sizes)
     least = Window.partitionBy("vector").orderBy(key)
     few = vectors.filter("vector IS NOT NULL").select(key, "vector").withColumn("_r", F.row_number().over(least)).filter(F.col("_r") <= k + 1)
     groups = cut(few.groupBy("vector").agg(F.array_sort(F.collect_list(key)).alias("ids")).select(F.col("ids")[0].alias(key), "vector", "ids"), "groups")
